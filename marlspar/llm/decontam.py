@@ -178,19 +178,24 @@ def leaks(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE, blo
     """(doc_id, item_id, start_char, end_char, edits) of every leaked passage in whole texts."""
     spark = docs.sparkSession
     prepare(spark)
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size // block_bytes) + 1
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()], q, rate))  # about block_bytes of text
+    for index in _indexes(items, q, rate, block_bytes):
         found = docs.mapInArrow(_scan(index), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _indexes(items: DataFrame, q: int, rate: float, block_bytes: int) -> Iterator:
+    """Broadcast indexes of blocks of items, each of about block_bytes of text."""
+    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = int(size // block_bytes) + 1
+    for k in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield items.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in part.collect()], q, rate))
+
+
 def _scan(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Index = index.value
@@ -208,7 +213,24 @@ def _scan(index):
     return run
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without a leaked passage, in their own columns."""
-    found = leaks(docs, items).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without a leaked passage, in their own columns; one scan for each block of items."""
+    prepare(docs.sparkSession)
+    schema = docs.schema
+    for index in _indexes(items, q, rate, block_bytes):
+        docs = docs.mapInArrow(_without(index), schema)
+    return docs
+
+
+def _without(index):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Index = index.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, _, data, offsets in text_slices(batch, size=_SCAN_BYTES):
+                lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                for found in own.search(characters(data), lead[offsets]) if own.ids else ():
+                    keep[lo + found[0]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lengths, packing, rules, urlrules
+from . import bpe, chat, decontam, jaccard, lengths, packing, rules, suffixes, urlrules
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
-def _tokenizer() -> str:
+def tokenizer_file() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(BPE_FILE)
@@ -22,9 +22,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items, exact or within the edit budget, in all documents."""
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard.link(_table(spark, sf_dir, "documents"), percent=90, width=3)
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier in the corpus."""
+    return suffixes.deduplicate(_table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
-    return bpe.encode(_table(spark, sf_dir, "documents"), _tokenizer())
+    return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,17 +112,20 @@ FROM e GROUP BY conv_id
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact length histogram of all documents with its running sums."""
-    return lengths.limits(lengths.histogram(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return lengths.limits(lengths.histogram(_table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_bpe": op2_bpe,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
         "op6_sharding": op6_sharding,
         "op7_url_filters": op7_url_filters,
         "op8_chat": op8_chat,
         "op9_token_counts": op9_token_counts,
+        "op10_suffix_dedup": op10_suffix_dedup,
     }
 
 

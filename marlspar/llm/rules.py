@@ -203,3 +203,14 @@ def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & rules.verdict(features())).alias("kept"),
     )
+
+
+def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
+    """The documents that `judge` keeps, in their own columns.
+
+    The row number keeps the optimizer from pushing the filter, and with it the window expressions, into loops.
+    """
+    df = base_columns(with_words(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row"))
+    kept = (~F.col("base_failed") & rules.verdict(features())).alias("_kept")
+    df = df.select("_row", kept).withColumn("_number", F.monotonically_increasing_id())
+    return df.where("_kept").select("_row.*")
