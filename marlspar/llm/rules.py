@@ -213,4 +213,4 @@ def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
     df = base_columns(with_words(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row"))
     kept = (~F.col("base_failed") & rules.verdict(features())).alias("_kept")
     df = df.select("_row", kept).withColumn("_number", F.monotonically_increasing_id())
-    return df.where("_kept").select("_row.*")
+    return df.where("_kept and _number >= 0").select("_row.*")
