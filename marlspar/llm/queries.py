@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, lengths, packing, rules, suffixes, urlrules
+from . import bpe, chat, decontam, jaccard, kneser_ney, lengths, packing, rules, suffixes, urlrules
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -27,6 +27,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model learned from those not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    return kneser_ney.score(docs, kneser_ney.train(docs))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
     return jaccard.link(_table(spark, sf_dir, "documents"), percent=90, width=3)
@@ -119,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_bpe": op2_bpe,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_quality_rules": op5_quality_rules,
         "op6_sharding": op6_sharding,
