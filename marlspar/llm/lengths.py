@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .shared import stored
 
 #: Lengths of one block are summed together; blocks are then summed over, so no task sees all lengths at once.
 BLOCK = 4096
@@ -19,7 +20,8 @@ BLOCK = 4096
 
 def histogram(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """(n_tokens, n_docs), exact."""
-    return bpe.lengths(docs, tokenizer_path).groupBy("n_tokens").agg(F.sum("n_docs").cast("long").alias("n_docs"))
+    rows = bpe.lengths(docs, tokenizer_path).groupBy("n_tokens").agg(F.sum("n_docs").cast("long").alias("n_docs"))
+    return stored(rows, "lengths")  # read several times; the texts only once
 
 
 def limits(hist: DataFrame) -> DataFrame:
