@@ -141,8 +141,7 @@ class InducedSorter:
         parts = len(ends)
         self.x = np.zeros(len(data) + parts, np.uint16)
         starts = np.concatenate(([0], ends[:-1])) if parts else ends
-        self.at = np.arange(len(data), dtype=np.int64) + np.repeat(np.arange(parts), ends - starts)
-        self.x[self.at] = data.astype(np.uint16) + 1
+        self.x[np.arange(len(data)) + np.repeat(np.arange(parts), ends - starts)] = data.astype(np.uint16) + 1
         self._limit = queue_bytes
 
     def buckets(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:

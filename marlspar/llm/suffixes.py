@@ -41,8 +41,10 @@ _SPAN = WINDOW - ANCHOR + 1
 #: Position bits of the packed (hash, position) minimum; slices are cut to less.
 _PLACE = 26
 #: Windows of one huge text that are taken at a time.
-_PART = 16 << 20
-_FLUSH_BYTES = 24 << 20
+_PART = 2 << 20
+_FLUSH_BYTES = 6 << 20
+#: Bytes of text in one vectorised step, which takes some 70 times as much memory.
+_SLICE = 1 << 20
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def _anchor_rows(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([p.tobytes() for p in np.split(h[order], first[1:])], pa.binary())], ["bucket", "hashes"])
 
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch):
+            for _, _, data, offsets in text_slices(batch, size=_SLICE):
                 kept.append(window_anchors(data, offsets)[3])
                 if sum(map(len, kept)) * 8 > _FLUSH_BYTES:
                     yield flush()
@@ -150,7 +152,7 @@ def _run_rows(folder: str, buckets: int, filled: frozenset[int]):
         size = 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in text_slices(batch):
+            for lo, _, data, offsets in text_slices(batch, size=_SLICE):
                 row, first, last, h = window_anchors(data, offsets)
                 bucket = _deal(h, buckets)
                 hit = np.zeros(len(h), bool)
@@ -264,7 +266,8 @@ def removals(docs: DataFrame) -> tuple[str, int, frozenset[int]]:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    buckets = max(8, 2 * docs.rdd.getNumPartitions())
+    # shards of some 3 MB of runs, which take some 40 times as much memory while they are sorted
+    buckets = max(8, 8 * docs.rdd.getNumPartitions())
     anchors, out = scratch(spark, "anchors"), scratch(spark, "intervals")
     twice = docs.mapInArrow(_anchor_rows(buckets), "bucket int, hashes binary").groupBy("bucket").applyInPandas(_write_twice(anchors), "bucket int, n long")
     # one row for each bucket comes back
@@ -283,7 +286,7 @@ def _kept(folder: str, buckets: int, have: frozenset[int]):
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[tuple[int, bytes, int]]]]:
         ids = batch.column("doc_id").cast(pa.int64()).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)
-        for lo, hi, data, offsets in text_slices(batch):
+        for lo, hi, data, offsets in text_slices(batch, size=_SLICE):
             part = _deal(ids[lo:hi].view(U64), buckets)
             out = []
             for k in range(hi - lo):
