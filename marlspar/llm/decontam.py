@@ -148,6 +148,8 @@ class Index:
         key = np.stack([np.tile(row, 2), np.tile(item, 2), np.concatenate([diagonal // width, diagonal // width - 1])], 1)
         bands, n = np.unique(key, axis=0, return_counts=True)
         bands = bands[n >= self.bounds[bands[:, 1]]]
+        if not len(bands):
+            return []
         bands = bands[np.argsort([len(self.items[i]) for i in bands[:, 1]], kind="stable")]
         for part in np.split(bands, range(256, len(bands), 256)):
             r, i, band = part.T
