@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import SLICE_BYTES, U64, prefix_sums, span_hashes, text_slices
+from .scan import U64, prefix_sums, span_hashes, text_slices
 from .shared import prepare
 
 #: Words of more bytes than this pass through the transducer's window instead of the vectorised rounds.
 WINDOW = 512
+#: Bytes of text in one vectorised step: larger ones share more words.
+SLICE_BYTES = 4 << 20
 NO_RANK = np.uint32(0xFFFFFFFF)
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -388,7 +390,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(raw.value)
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch):
+            for lo, hi, data, offsets in text_slices(batch, size=SLICE_BYTES):
                 counts, ids_sha, text_sha, kept = [], [], [], []
                 for ids in encoder.rows(data, offsets):
                     packed = ids.astype("<u4").tobytes()
@@ -415,7 +417,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(raw.value)
         for batch in batches:
-            for _, _, data, offsets in text_slices(batch):
+            for _, _, data, offsets in text_slices(batch, size=SLICE_BYTES):
                 size, count = np.unique([len(ids) for ids in encoder.rows(data, offsets)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(count, pa.int64())], ["n_tokens", "n_docs"])
 

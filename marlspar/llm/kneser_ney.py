@@ -36,7 +36,7 @@ from .shared import map_file, prepare, put_bytes, scratch
 
 #: A context takes part of more than one bucket if it has over 1 / SPREAD of a bucket's even share of tokens.
 SPREAD = 2
-_FLUSH = 1_500_000
+_FLUSH = 600_000
 
 
 def held_out(ids: np.ndarray, parts: int, part: int) -> np.ndarray:

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 REPO = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of an Arrow batch that a Python worker holds; texts of any length come whole.
+BATCH_BYTES = "16m"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, wherever the driver was started."""
+    """Let Python workers import this package, wherever the driver was started, and take batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in parts:
