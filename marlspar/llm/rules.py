@@ -135,7 +135,7 @@ def cover(rows: list[tuple[list[float], bool]], names: list[str]) -> DecisionLis
     """Sequential covering; rows are (feature values, is bad). Row sets are bit masks, so a literal costs one AND."""
     everything = (1 << len(rows)) - 1
     bad = sum(1 << i for i, (_, b) in enumerate(rows) if b)
-    grow = sum(1 << i for i in range(len(rows)) if i % 3)
+    grow = sum(1 << i for i in range(len(rows)) if (i * 2654435761 >> 9) % 3)  # scattered: labels may follow the order of ids
     literals: list[tuple[Literal, int]] = []
     for k, name in enumerate(names):
         values = sorted(r[0][k] for r in rows)
@@ -196,21 +196,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> D
     return cover([(v, b) for _, v, b in rows], list(named)) if rows else DecisionList()
 
 
+def _fenced(df: DataFrame, *columns: str | Column) -> DataFrame:
+    """A selection that filters are not pushed through: pushed, they would nest the window expressions in loops."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:
     """doc_id, the base statistics, base_failed and kept, for every whole text."""
     df = base_columns(with_words(docs))
-    return df.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & rules.verdict(features())).alias("kept"),
-    )
+    kept = (~F.col("base_failed") & rules.verdict(features())).alias("kept")
+    return _fenced(df, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept)
 
 
 def keep(docs: DataFrame, rules: DecisionList) -> DataFrame:
-    """The documents that `judge` keeps, in their own columns.
-
-    The row number keeps the optimizer from pushing the filter, and with it the window expressions, into loops.
-    """
+    """The documents that `judge` keeps, in their own columns."""
     df = base_columns(with_words(docs.select("doc_id", "text", F.struct("*").alias("_row")), "_row"))
     kept = (~F.col("base_failed") & rules.verdict(features())).alias("_kept")
-    df = df.select("_row", kept).withColumn("_number", F.monotonically_increasing_id())
-    return df.where("_kept and _number >= 0").select("_row.*")
+    return _fenced(df, "_row", kept).where("_kept").select("_row.*")
