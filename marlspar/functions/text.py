@@ -103,7 +103,7 @@ def slugify(c: Column) -> Column:
 
 
 def split_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(text_or_empty(c), "[,，、]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_or_empty(c), "[,，、]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def markdown_link(c: Column) -> Column:
@@ -114,7 +114,7 @@ def markdown_link(c: Column) -> Column:
 
 def parse_int(c: Column) -> Column:
     """The first run of digits, commas dropped; null if none."""
-    return F.expr("try_cast(NULL as int)") if c is None else F.nullif(F.regexp_extract(F.replace(text_or_empty(c), F.lit(","), F.lit("")), r"\d+", 0), F.lit("")).try_cast("int")
+    return F.nullif(F.regexp_extract(F.replace(text_or_empty(c), F.lit(","), F.lit("")), r"\d+", 0), F.lit("")).try_cast("int")
 
 
 def labelled(section: Column, label: str) -> Column:
@@ -128,7 +128,7 @@ def first_labelled(section: Column, *labels: str) -> Column:
 
 def all_labelled(section: Column, label: str, limit: int = 30) -> Column:
     found = F.regexp_extract_all(section, F.lit(rf"(?mi)^\s*-+\s*{re.escape(label)}\s*[:：]\s*(.+)$"), F.lit(1))
-    return F.slice(F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x != "")), 1, limit)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")), 1, limit)
 
 
 def compact(c: Column, limit: int = 2400) -> Column:
@@ -170,7 +170,7 @@ def keywords(text: Column, leading: list[str], limit: int = 24) -> Column:
     stop = F.array(*map(F.lit, vocab.KEYWORD_STOPWORDS))
     words = F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(f"[a-z][a-z0-9_+#.-]{{2,}}|[{CJK}]{{2,12}}"), F.lit(0))
     kept = F.filter(words, lambda x: ~F.array_contains(stop, x) & (F.length(x) <= 40))
-    start = F.expr("map_from_entries(array_distinct(array()))").cast("map<string,int>")
+    start = F.expr("cast(map() as map<string, int>)")
     counts = F.aggregate(kept, start, lambda acc, x: F.map_concat(F.map_filter(acc, lambda k, _: k != x), F.create_map(x, F.coalesce(F.try_element_at(acc, x), F.lit(0)) + 1)))
     ranked = F.sort_array(F.transform(F.map_entries(counts), lambda e: F.struct((-e.value).alias("n"), F.array_position(kept, e.key).alias("p"), e.key.alias("k"))))
     return F.slice(F.array_distinct(F.concat(F.array(*map(F.lit, leading)).cast("array<string>"), F.transform(F.slice(ranked, 1, limit * 3), lambda r: r.k))), 1, limit)

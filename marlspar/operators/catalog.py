@@ -54,7 +54,7 @@ def metadata(section: Column) -> Column:
     lines = F.split(section, "\n")
     quoted = F.get(F.filter(lines, lambda x: x.startswith("> ") & x.rlike("比赛[：:]") & x.rlike("来源[：:]")), F.lit(0))
     pair = lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^：:]*)[：:]", 1)).alias("key"), F.trim(F.regexp_extract(x, "^[^：:]*[：:](.*)$", 1)).alias("value"))
-    chunks = F.filter(F.split(F.expr("''") if quoted is None else F.substring(quoted, 3, 1 << 20), r"\s*·\s*"), lambda x: x.rlike("[：:]"))
+    chunks = F.filter(F.split(F.substring(quoted, 3, 1 << 20), r"\s*·\s*"), lambda x: x.rlike("[：:]"))
     items = F.filter(F.slice(lines, 1, 40), lambda x: x.rlike(r"^\s*-\s*[^:：]+\s*[:：]\s*.+"))
     listed = F.filter(F.transform(F.transform(items, lambda x: F.regexp_replace(x, r"^\s*-\s*", "")), pair), lambda e: e.key.isin(META_KEYS))
     last = lambda entries: F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f.key == e.key)))

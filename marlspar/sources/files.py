@@ -79,7 +79,8 @@ def archive_suffixes(files: DataFrame, most: int = 12) -> DataFrame:
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8 (without a byte-order mark) if valid, else GB18030."""
     plain = F.regexp_replace(F.try_validate_utf8(content.cast("string")), "^﻿", "")
-    return F.coalesce(plain, F.decode(content, "GB18030"))
+    other = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else b.decode("gb18030", "replace")), "string")
+    return F.coalesce(plain, other(F.when(plain.isNull(), content)))  # Python sees only what is not UTF-8
 
 
 def text_stats(body: Column, most: int = 200_000) -> Column:
