@@ -6,13 +6,13 @@ start) is removed; strings are judged on the input. The steps:
 1. Anchors. Of each window of WINDOW bytes, the ANCHOR-byte substring with the least hash is its anchor; windows
    with equal bytes have equal anchors. Anchor hashes are dealt by value; those seen twice are kept as sorted
    arrays in the shared folder and mapped into memory by the workers.
-2. Runs. Neighbouring windows with one anchor form a run of bytes. Runs whose anchor occurs twice go, with
-   their place, to the shard of their anchor. So each window is in one shard, with all its equals, and text
-   that shares nothing is never sorted.
-3. Shards. Equal runs count once, with their earliest place; later ones are removed whole. The other runs are
-   put through external induced suffix sorting (`induced`), whose queues go to disk beyond a memory limit. A
-   chain of suffixes with a common prefix of WINDOW bytes or more is one string; all places but the earliest
-   are removed.
+2. Runs. Neighbouring windows with one anchor form a run of bytes. Of runs whose anchor occurs twice, place and
+   content hash go to the shard of their anchor. So each window belongs to one shard, with all its equals. Equal
+   runs count once, with their earliest place; later ones are removed whole. Only where an anchor has different
+   runs do the bytes of one run of each kind follow.
+3. Shards. These runs are put through external induced suffix sorting (`induced`), whose queues go to disk beyond
+   a memory limit. A chain of suffixes with a common prefix of WINDOW bytes or more is one string; all places
+   but the earliest are removed.
 4. Removed intervals are merged by document into sorted arrays in the shared folder, mapped by the workers that
    then read the texts once more. Texts themselves are never shuffled.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .induced import InducedSorter
 from .scan import U64, mix, prefix_sums, span_hashes, text_slices
-from .shared import map_file, prepare, put_bytes, remove, scratch
+from .shared import map_file, prepare, put_bytes, remove, scratch, stored
 
 WINDOW, ANCHOR = 100, 32
 _SPAN = WINDOW - ANCHOR + 1
@@ -125,52 +125,121 @@ def _write_twice(folder: str):
     return run
 
 
-_RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
+_ENTRY = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
+_WANTED = np.dtype([("content", "<u8"), ("doc", "<i8"), ("start", "<i8")])
+
+
+def _runs(batch: pa.RecordBatch, buckets: int, lookup) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, entries, first byte, last byte + 1, slice's bytes) of the runs of a batch that `lookup(bucket, entries)` takes."""
+    ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+    for lo, _, data, offsets in text_slices(batch, size=_SLICE):
+        row, first, last, h = window_anchors(data, offsets)
+        if not len(h):
+            continue
+        entries = np.empty(len(h), _ENTRY)
+        end = last + WINDOW - 1
+        entries["anchor"], entries["doc"], entries["start"], entries["size"] = h, ids[lo + row], first - offsets[row], end - first
+        entries["content"] = span_hashes(prefix_sums(data, False), first, end)
+        order, cut, names = _split(_deal(h, buckets))
+        hit = np.zeros(len(h), bool)
+        for name, part in zip(names.tolist(), np.split(order, cut[1:]), strict=True):
+            hit[part] = lookup(name, entries[part])
+        if hit.any():
+            yield _deal(h[hit], buckets), entries[hit], first[hit], end[hit], data
 
 
 def _run_rows(folder: str, buckets: int, filled: frozenset[int]):
-    """(bucket, places, bytes) of the runs whose anchor occurs twice."""
+    """(bucket, entries): place and content hash of the runs whose anchor occurs twice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps: dict[int, np.ndarray] = {}
+
+        def twice(name: int, entries: np.ndarray) -> np.ndarray | bool:
+            if name not in filled:
+                return False
+            if name not in maps:
+                maps[name] = np.frombuffer(map_file(folder, f"{name}.anchors"), U64)
+            k = np.minimum(np.searchsorted(maps[name], entries["anchor"]), len(maps[name]) - 1)
+            return maps[name][k] == entries["anchor"]
+
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            entries = np.concatenate([e for _, e in kept])
+            order, first, names = _split(np.concatenate([b for b, _ in kept]))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([p.tobytes() for p in np.split(entries[order], first[1:])], pa.binary())], ["bucket", "entries"])
+
+        for batch in batches:
+            for bucket, entries, *_ in _runs(batch, buckets, twice):
+                kept.append((bucket, entries))
+                if sum(e.nbytes for _, e in kept) > _FLUSH_BYTES:
+                    yield flush()
+                    kept = []
+        if kept:
+            yield flush()
+
+    return run
+
+
+def _group_runs(folder: str, buckets: int):
+    """Equal runs: all but the earliest are removed whole. Earliest runs whose anchor has other runs too are wanted in a shard."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = np.concatenate([np.frombuffer(b, _ENTRY) for b in pdf["entries"]])
+        e = e[np.lexsort((e["start"], e["doc"], e["content"], e["anchor"]))]
+        new_anchor = np.concatenate(([True], e["anchor"][1:] != e["anchor"][:-1]))
+        new = new_anchor | np.concatenate(([True], e["content"][1:] != e["content"][:-1]))
+        group = np.cumsum(new_anchor) - 1
+        contents = np.bincount(group, weights=new).astype(np.int64)
+        own = e[new & (contents[group] > 1)]
+        wanted = np.empty(len(own), _WANTED)
+        for c in _WANTED.names:
+            wanted[c] = own[c]
+        name = int(pdf["bucket"].iloc[0])
+        put_bytes(folder, f"{name}.wanted", np.sort(wanted, order="content").tobytes())
+        later = e[~new]
+        out = _interval_rows(*merge(later["doc"], later["start"], later["start"] + later["size"]), buckets)
+        return pd.concat([out, pd.DataFrame({"bucket": [-1 - name], "intervals": [b""]})]) if len(own) else out
+
+    return run
+
+
+def _shard_rows(folder: str, buckets: int, filled: frozenset[int]):
+    """(bucket, places, bytes) of the wanted runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
+
+        def wanted(name: int, entries: np.ndarray) -> np.ndarray | bool:
+            if name not in filled:
+                return False
+            if name not in maps:
+                maps[name] = np.frombuffer(map_file(folder, f"{name}.wanted"), _WANTED)
+            table = maps[name]
+            k = np.minimum(np.searchsorted(table["content"], entries["content"]), len(table) - 1)
+            return (table["content"][k] == entries["content"]) & (table["doc"][k] == entries["doc"]) & (table["start"][k] == entries["start"])
+
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            bucket = np.concatenate([b for b, _, _ in kept])
-            runs = np.concatenate([r for _, r, _ in kept])
-            data = np.concatenate([d for _, _, d in kept])
-            order, first, names = _split(bucket)
-            ends = np.cumsum(runs["size"])
+            runs, data = np.concatenate([r for _, r, _ in kept]), np.concatenate([d for _, _, d in kept])
+            order, first, names = _split(np.concatenate([b for b, _, _ in kept]))
+            ends = np.cumsum(runs["size"].astype(np.int64))
             places, blobs = [], []
             for part in np.split(order, first[1:]):
-                size = runs["size"][part].astype(np.int64)
-                pick = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(ends[part] - size, size)
+                length = runs["size"][part].astype(np.int64)
+                pick = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(ends[part] - length, length)
                 places.append(runs[part].tobytes())
                 blobs.append(data[pick].tobytes())
             return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(places, pa.binary()), pa.array(blobs, pa.binary())], ["bucket", "places", "bytes"])
 
-        size = 0
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in text_slices(batch, size=_SLICE):
-                row, first, last, h = window_anchors(data, offsets)
-                bucket = _deal(h, buckets)
-                hit = np.zeros(len(h), bool)
-                order, cut, names = _split(bucket) if len(h) else (None, [], [])
-                for name, part in zip(names, np.split(order, cut[1:]) if len(h) else [], strict=True):
-                    if name not in filled:
-                        continue
-                    if name not in maps:
-                        maps[name] = np.frombuffer(map_file(folder, f"{name}.anchors"), U64)
-                    twice = maps[name]
-                    k = np.minimum(np.searchsorted(twice, h[part]), len(twice) - 1)
-                    hit[part] = twice[k] == h[part]
-                row, first, last, bucket = row[hit], first[hit], last[hit], bucket[hit]
-                if not len(row):
-                    continue
-                runs = np.empty(len(row), _RUN)
-                length = last - first + WINDOW - 1
-                runs["doc"], runs["start"], runs["size"] = ids[lo + row], first - offsets[row], length
+            for bucket, entries, first, end, data in _runs(batch, buckets, wanted):
+                runs = np.empty(len(entries), _RUN)
+                for c in _RUN.names:
+                    runs[c] = entries[c]
+                length = end - first
                 pick = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
                 kept.append((bucket, runs, data[pick]))
                 size += len(pick)
@@ -183,6 +252,9 @@ def _run_rows(folder: str, buckets: int, filled: frozenset[int]):
     return run
 
 
+_RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
+
+
 def repeated(runs: np.ndarray, data: np.ndarray, queue_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of the bytes to remove, from the runs of one shard (their bytes one after another)."""
     size = runs["size"].astype(np.int64)
@@ -237,15 +309,19 @@ def merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
     return doc[first], start[first], reach[np.append(first[1:], len(doc)) - 1]
 
 
+def _interval_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> pd.DataFrame:
+    if not len(doc):
+        return pd.DataFrame({"bucket": np.empty(0, np.int32), "intervals": []})
+    order, first, names = _split(_deal(doc.view(U64), buckets))
+    return pd.DataFrame({"bucket": names.astype(np.int32), "intervals": [p.tobytes() for p in np.split(np.stack([doc, start, end], 1)[order], first[1:])]})
+
+
 def _shard(buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         runs = np.concatenate([np.frombuffer(b, _RUN) for b in pdf["places"]])
         data = np.concatenate([np.frombuffer(b, np.uint8) for b in pdf["bytes"]])
         del pdf
-        doc, start, end = merge(*repeated(runs, data))
-        order, first, names = _split(_deal(doc.view(U64), buckets)) if len(doc) else (doc, np.empty(0, np.int64), np.empty(0, np.int64))
-        table = np.stack([doc, start, end], 1)[order]
-        return pd.DataFrame({"bucket": names.astype(np.int32), "intervals": [p.tobytes() for p in np.split(table, first[1:])] if len(doc) else []})
+        return _interval_rows(*merge(*repeated(runs, data)), buckets)
 
     return run
 
@@ -272,8 +348,12 @@ def removals(docs: DataFrame) -> tuple[str, int, frozenset[int]]:
     twice = docs.mapInArrow(_anchor_rows(buckets), "bucket int, hashes binary").groupBy("bucket").applyInPandas(_write_twice(anchors), "bucket int, n long")
     # one row for each bucket comes back
     filled = frozenset(r["bucket"] for r in twice.collect() if r["n"])
-    runs = docs.mapInArrow(_run_rows(anchors, buckets, filled), "bucket int, places binary, bytes binary")
-    found = runs.groupBy("bucket").applyInPandas(_shard(buckets), "bucket int, intervals binary")
+    entries = docs.mapInArrow(_run_rows(anchors, buckets, filled), "bucket int, entries binary")
+    whole = stored(entries.groupBy("bucket").applyInPandas(_group_runs(anchors, buckets), "bucket int, intervals binary"), "whole")
+    # a negative bucket names a shard that is wanted
+    shards = frozenset(-1 - r["bucket"] for r in whole.where("bucket < 0").select("bucket").collect())
+    runs = docs.mapInArrow(_shard_rows(anchors, buckets, shards), "bucket int, places binary, bytes binary")
+    found = runs.groupBy("bucket").applyInPandas(_shard(buckets), "bucket int, intervals binary").unionByName(whole.where("bucket >= 0"))
     written = found.groupBy("bucket").applyInPandas(_write_intervals(out), "bucket int, n long")
     have = frozenset(r["bucket"] for r in written.collect() if r["n"])
     remove(spark, anchors)
