@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import has_any, has_phrase, holds_tokens, normalize, tokens
+from .text import has_any, has_phrase, holds_tokens, normalize, tokens, tokens_py
 
 
 def _ranked(scores: dict[str, Column], order: list[str] | None = None) -> Column:
@@ -103,9 +103,13 @@ def entry_domain_scores(token_set: Column, chapter_tokens: Column) -> Column:
     """map<domain, score> of a catalog entry: 2 or 1 a phrase, 5 for a chapter hint; zeros left out."""
     parts = []
     for domain, phrases in vocab.phrases(vocab.DOMAINS).items():
+        # phrases as literal token lists, so that a row costs two filters a domain rather than a branch a phrase
+        own = [(tokens_py(p), " " in p) for p in phrases]
         total = F.lit(0)
-        for p in phrases:
-            total = total + F.when(holds_tokens(token_set, p), 2 if " " in p else 1).otherwise(0)
+        for points, chosen in ((2, [t for t, long in own if t and long]), (1, [t for t, long in own if t and not long])):
+            if chosen:
+                table = F.array(*[F.array(*map(F.lit, sorted(set(t)))) for t in chosen])
+                total = total + points * F.size(F.filter(table, lambda p: F.size(F.array_except(p, token_set)) == 0))
         hint = F.lit(False)
         for h in vocab.phrases(vocab.CHAPTER_HINTS).get(domain, []):
             hint = hint | holds_tokens(chapter_tokens, h)

@@ -255,7 +255,7 @@ def retrieve(entries: DataFrame, profile: dict, queries: list[str] | None = None
     table = spark.createDataFrame([(n, t, float(w)) for n, t, w, _ in specs], "query string, text string, weight double")
     post = postings(entries, "id", entry_fields()).cache()
     hits = bm25(post, query_tokens(table, "query", F.col("text")), top=max(2 * recall, vocab.RANKING["minimum_candidate_pool"]))
-    scored = facets(entries, profile, intent).select(F.col("id").alias("entry"), "facet", "level", "reasons", "title", "competition_slug")
+    scored = facets(entries, profile, intent).select(F.col("id").alias("entry"), "facet", "level", "reasons", "title", "competition_slug").cache()
     both = hits.join(scored, "entry").withColumn("raw", F.col("score") + F.col("facet")).where("raw > 0").join(F.broadcast(table.select("query", "weight")), "query")
     order = Window.partitionBy("query").orderBy(F.desc("raw"), "entry")
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= recall)
