@@ -97,12 +97,14 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_B
 def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of a slice, and where each row's words begin (length rows + 1).
 
-    Words never reach over a row's end: a space is put between rows.
+    Words never reach over a row's end: they begin and end there too.
     """
-    rows = len(offsets) - 1
-    apart = np.full(len(data) + rows, 32, np.uint8)
-    keep = np.arange(len(data), dtype=np.int64) + np.repeat(np.arange(rows, dtype=np.int64), np.diff(offsets))
-    apart[keep] = data
-    starts, ends = words(apart)
-    bounds = offsets + np.arange(rows + 1)
-    return span_hashes(prefix_sums(apart, True), starts, ends), np.searchsorted(starts, bounds, "left")
+    solid = ~SPACE[data]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    first[cuts] = solid[cuts]
+    last[cuts - 1] = solid[cuts - 1]
+    starts = np.flatnonzero(first)
+    return span_hashes(prefix_sums(data, True), starts, np.flatnonzero(last) + 1), np.searchsorted(starts, offsets, "left")
