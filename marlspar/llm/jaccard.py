@@ -12,6 +12,9 @@ of a bucket that it shares most tokens with; what is verified joins into compone
 in one bucket, and all of them that pass both filters are verified. No link between components is lost; links
 inside one cannot change the components.
 
+The number of links is counted afterwards: where a component's known links are fewer than its pairs, its sets are
+dealt into blocks, and the overlaps of all pairs of two blocks are counted at once, token by token.
+
 Hashes have 64 bits (a pair is misjudged by a collision with probability about 2**-44). The sketch is a fixed
 table (256 KB) and only sorts tokens; it cannot change results.
 
@@ -42,6 +45,10 @@ SKETCH_BITS, SLICES = 18, 16
 FILTER_BITS = 23
 #: Bytes of text a step takes where it fills no table; its arrays then fit the cache.
 _STEP_BYTES = 1 << 18
+#: Sets and tokens in a block of a component; two blocks are compared at a time.
+BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 19
+#: Columns of the dense product, and token pairs listed at a time beside it.
+_COLUMNS, _PAIRS = 2048, 1 << 21
 #: Prefix rows that a task packs at a time.
 _FLUSH_ROWS = 400_000
 _SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03))
@@ -275,10 +282,98 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, sketc
     return stored(rows.select("a", "b", "x", "y").mapInArrow(_verify(percent, sketch), "a long, b long").distinct(), "links")
 
 
-def link(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
+def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of xs with every set of ys."""
+    p, q = len(xs), len(ys)
+    out = np.zeros((p, q), np.int64)
+    row = np.repeat(np.arange(p + q), [len(s) for s in (*xs, *ys)])
+    code = np.unique(np.concatenate([*xs, *ys]), return_inverse=True)[1]
+    order = np.lexsort((row, code))
+    row, code = row[order], code[order]
+    first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    n = np.diff(np.append(first, len(code)))
+    nx = np.add.reduceat((row < p).astype(np.int64), first)
+    ny = n - nx
+    dense = nx * ny * 128 > p * q
+    for at in np.array_split(np.flatnonzero(dense), -(-int(dense.sum()) // _COLUMNS) or 1):
+        take = np.arange(int(n[at].sum())) - np.repeat(np.cumsum(n[at]) - n[at], n[at]) + np.repeat(first[at], n[at])
+        table = np.zeros((p + q, len(at)), np.float32)
+        table[row[take], np.repeat(np.arange(len(at)), n[at])] = 1
+        out += (table[:p] @ table[p:].T).astype(np.int64)  # exact, as a column adds one at most
+    rare = np.flatnonzero(~dense & (nx > 0) & (ny > 0))
+    size = nx[rare] * ny[rare]
+    for at in np.split(rare, np.flatnonzero(np.diff(np.cumsum(size) // _PAIRS)) + 1):
+        size = nx[at] * ny[at]
+        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        begin, many = np.repeat(first[at], size), np.repeat(ny[at], size)
+        x, y = row[begin + k // many], row[begin + np.repeat(nx[at], size) + k % many] - p
+        out += np.bincount(x * q + y, minlength=p * q).reshape(p, q)
+    return out
+
+
+def _degrees(percent: int):
+    """(id, k): links of each set in a pair of blocks; rows (label, lo, hi, left, id, tokens) come sorted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+
+        def count() -> pa.RecordBatch:
+            xs, ys = [r for r in kept if r[0]], [r for r in kept if not r[0]]
+            x = [s for _, _, s in xs]
+            y = x if key[1] == key[2] else [s for _, _, s in ys]
+            ids, degree = [i for _, i, _ in xs], np.zeros(len(x), np.int64)
+            if x and y:
+                both = overlaps(x, y)
+                total = np.add.outer([len(s) for s in x], [len(s) for s in y])
+                linked = 100 * both >= percent * (total - both)
+                if y is x:
+                    np.fill_diagonal(linked, False)
+                    degree = linked.sum(1)
+                else:
+                    ids, degree = ids + [i for _, i, _ in ys], np.concatenate((linked.sum(1), linked.sum(0)))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(degree, pa.int64())], ["id", "k"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("label", "lo", "hi", "left", "id")]
+            for label, lo, hi, left, i, blob in zip(*columns, batch.column("tokens"), strict=True):
+                if (label, lo, hi) != key:
+                    if kept:
+                        yield count()
+                    key, kept = (label, lo, hi), []
+                if not kept or kept[-1][1] != i:  # repeated rows
+                    kept.append((left, i, np.frombuffer(blob.as_buffer(), U64).copy()))
+        if kept:
+            yield count()
+
+    return run
+
+
+def _all_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
+    """(rep, n_links) of the classes in `groups`, from links that connect these components but need not be all."""
+    pairs = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    found = pairs.join(groups.withColumnRenamed("id", "a"), "a").groupBy("label").agg(F.count(F.lit(1)).alias("found"))
+    member = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    total = member.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).join(found, "label")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_TOKENS)).cast("int")
+    total = total.select("label", blocks.alias("blocks"), (2 * F.col("found") < F.col("m") * (F.col("m") - 1)).alias("open"))
+    member = stored(member.join(total, "label").select("id", "label", "blocks", "open"), "members")
+    known = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).join(member.where("not open"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    some = member.where("open")
+    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(some.select("id")))
+    sets = some.join(docs.mapInArrow(_sets(width, wanted), "id long, tokens binary"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = sets.select("id", "label", "block", "tokens", other)
+    dealt = dealt.select("label", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") <= F.col("other")).alias("left"), "id", "tokens")
+    dealt = dealt.repartition(max(8, docs.rdd.getNumPartitions()), "label", "lo", "hi").sortWithinPartitions("label", "lo", "hi", "id")
+    counted = dealt.mapInArrow(_degrees(percent), "id long, k long")
+    return stored(known.union(counted).groupBy(F.col("id").alias("rep")).agg(F.sum("k").alias("n_links")), "degrees")
+
+
+def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links.
 
-    n_links counts the document's links that had to be verified (to other texts); exact copies are not listed.
+    n_links counts the classes of other sets that the document's class links with; copies of one class have the same
+    number. Without `counted` this column is left out.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -339,14 +434,16 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
         links = spark.createDataFrame([], "a long, b long")
         groups = spark.createDataFrame([], "id long, label long")
 
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    labels = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    labels = stored(labels.select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "labels")
+    labels = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("label", "rep"))
+    if counted:
+        labels = labels.join(_all_links(docs, classes, groups, links, width, percent), "rep", "left")
+    columns = ["n_links"] if counted else []
+    labels = stored(labels.select("n", "f1", "f2", "component_id", *columns), "labels")
     out = rows.join(labels, ["n", "f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
 
 
 def deduplicate(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, in its own columns."""
-    heads = stored(link(docs, percent, width).where("component_id = doc_id").select("doc_id"), "heads")
+    heads = stored(link(docs, percent, width, False).where("component_id = doc_id").select("doc_id"), "heads")
     return docs.join(heads.distinct(), "doc_id", "left_semi").select(docs.columns)

@@ -103,6 +103,36 @@ def test_jaccard_components(spark, percent, width):
         assert jaccard.link(df.limit(0)).count() == 0
 
 
+def brute_links(texts, percent, width):
+    sets = {}
+    for k, t in texts:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[k] = frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    kinds = set(sets.values())
+    return {k: sum(s != o and 100 * len(s & o) >= percent * len(s | o) for o in kinds if o) if s else 0 for k, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_jaccard_links_inside_components(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    r = random.Random(block)
+    base = [f"w{k}" for k in range(120)]
+    texts = [(k, " ".join([*base, f"end{k}"])) for k in range(40)]  # all link with each other
+    for k in range(40, 70):  # a chain: neighbours link, ends do not
+        texts.append((k, " ".join(f"c{j}" for j in range(3 * (k - 40), 3 * (k - 40) + 100))))
+    texts += [(80, texts[0][1]), (81, texts[50][1]), (90, "alone in the world"), (91, None), (92, prose(r, 50, 3000))]
+    got = jaccard.link(spark.createDataFrame([*texts, texts[3], texts[45]], "doc_id long, text string").repartition(3), 90, 3)
+    want = brute_links(texts, 90, 3)
+    assert max(want.values()) == 39 and {x.doc_id: x.n_links for x in got.collect()} == want
+
+
+def test_overlaps():
+    r = np.random.default_rng(3)
+    for top in (20, 300, 100_000):
+        xs, ys = ([np.unique(r.integers(0, top, r.integers(1, 200))).astype(np.uint64) for _ in range(n)] for n in (30, 50))
+        assert jaccard.overlaps(xs, ys).tolist() == [[len(np.intersect1d(x, y)) for y in ys] for x in xs]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 120)] + [(7, 7), (3, 2)]
     got = {x.id: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
