@@ -444,6 +444,9 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = Tru
 
 
 def deduplicate(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, in its own columns."""
-    heads = stored(link(docs, percent, width, False).where("component_id = doc_id").select("doc_id"), "heads")
-    return docs.join(heads.distinct(), "doc_id", "left_semi").select(docs.columns)
+    """One document of each component, the one with the smallest doc_id, in its own columns; of repeated rows one."""
+    heads = link(docs, percent, width, False).where("component_id = doc_id")
+    heads = stored(heads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "heads")
+    # only texts of repeated rows are shuffled to find one of them
+    once, more = (docs.join(heads.where(c).select("doc_id"), "doc_id", "left_semi").select(docs.columns) for c in ("rows = 1", "rows > 1"))
+    return once.union(more.dropDuplicates(["doc_id"]))

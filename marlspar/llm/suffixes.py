@@ -16,8 +16,8 @@ start) is removed; strings are judged on the input. The steps:
 4. Removed intervals are merged by document into sorted arrays in the shared folder, mapped by the workers that
    then read the texts once more. Texts themselves are never shuffled.
 
-Cases: null texts are empty; texts shorter than WINDOW lose nothing; of repeated rows with equal doc_id no order is
-defined, so one of them (whole) stays as the earliest; overlapping repeats count; a table without repeats or
+Cases: null texts are empty; texts shorter than WINDOW lose nothing; of repeated rows (equal doc_id and text) none
+starts earlier, so they lose nothing to each other and the same to others; overlapping repeats count; a table without repeats or
 without rows passes unchanged; only doc_id and text are read, so extra columns cannot clash.
 """
 
@@ -187,6 +187,7 @@ def _group_runs(folder: str, buckets: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = np.concatenate([np.frombuffer(b, _ENTRY) for b in pdf["entries"]])
         e = e[np.lexsort((e["start"], e["doc"], e["content"], e["anchor"]))]
+        e = e[np.concatenate(([True], e[1:] != e[:-1]))]  # repeated rows have equal places
         new_anchor = np.concatenate(([True], e["anchor"][1:] != e["anchor"][:-1]))
         new = new_anchor | np.concatenate(([True], e["content"][1:] != e["content"][:-1]))
         group = np.cumsum(new_anchor) - 1
@@ -255,6 +256,11 @@ def _shard_rows(folder: str, buckets: int, filled: frozenset[int]):
 _RUN = np.dtype([("doc", "<i8"), ("start", "<i8"), ("size", "<i4")])
 
 
+def _moved(doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where a sorted row's place is another than the previous one's; repeated rows have equal places."""
+    return np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])))
+
+
 def repeated(runs: np.ndarray, data: np.ndarray, queue_bytes: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc, start, end) of the bytes to remove, from the runs of one shard (their bytes one after another)."""
     size = runs["size"].astype(np.int64)
@@ -262,7 +268,7 @@ def repeated(runs: np.ndarray, data: np.ndarray, queue_bytes: int | None = None)
     content = span_hashes(prefix_sums(data, False), ends - size, ends)
     order = np.lexsort((runs["start"], runs["doc"], content))
     again = np.concatenate(([False], content[order][1:] == content[order][:-1]))
-    later = order[again]
+    later = order[again & _moved(runs["doc"][order], runs["start"][order])]
     out = [(runs["doc"][later], runs["start"][later], runs["start"][later] + size[later])]
     own = np.sort(order[~again])
     size = size[own]
@@ -286,7 +292,7 @@ def repeated(runs: np.ndarray, data: np.ndarray, queue_bytes: int | None = None)
         group = np.cumsum(~linked[at])
         doc, start = runs["doc"][part[at]], runs["start"][part[at]] + offset[at]
         order = np.lexsort((start, doc, group))
-        not_first = np.concatenate(([False], group[order][1:] == group[order][:-1]))
+        not_first = np.concatenate(([False], group[order][1:] == group[order][:-1])) & _moved(doc[order], start[order])
         k = order[not_first]
         out.append((doc[k], start[k], start[k] + WINDOW))
     return tuple(np.concatenate([o[j] for o in out]) for j in range(3))

@@ -187,6 +187,25 @@ def test_suffix_dedup(spark):
     assert suffixes.deduplicate(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_stay(spark):
+    r = random.Random(12)
+    passage, own = prose(r, 30), prose(r, 60)
+    assert len(passage.encode()) >= 100
+    texts = [(1, passage + "|" + own)] * 2 + [(2, prose(r, 20) + "#" + passage + "#" + prose(r, 5))] * 3 + [(3, own)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    got = {(x.doc_id, x.n_removed) for x in suffixes.deduplicate(df).collect()}
+    assert got == {(1, 0), (2, len(passage.encode())), (3, len(own.encode()))}
+    assert sorted(x.doc_id for x in suffixes.rewrite(df).collect()) == [1, 1, 2, 2, 2]
+    kept = jaccard.deduplicate(df, 80, 5)
+    assert sorted(x.doc_id for x in kept.collect()) == [1, 2, 3]
+
+
+def test_repeated_places_in_a_shard():
+    text = np.random.default_rng(5).integers(97, 123, 150).astype(np.uint8)
+    runs = np.array([(4, 0, 150), (4, 0, 150), (5, 7, 150)], suffixes._RUN)
+    assert [x.tolist() for x in suffixes.repeated(runs, np.tile(text, 3))][:2] == [[5], [7]]
+
+
 def test_huge_texts_are_cut_into_parts(monkeypatch):
     r = np.random.default_rng(1)
     data = r.integers(97, 100, 5000).astype(np.uint8)
