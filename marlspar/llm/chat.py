@@ -11,7 +11,8 @@ with control strings inside role and text escaped: backslash -> \\, `###` -> \h,
 masked texts back from the rendered text alone and its spans.
 
 Cases: null texts and roles are empty; rows of one turn number are ordered by role, then text; repeated rows are
-turns of their own; a null conversation id is a conversation; a record of unknown layout has no turns; an empty
+turns of their own; conversations with a text of more than LONG characters take their turns from the columns, and
+other records that are too long to parse raise an error; a null conversation id is a conversation; a record of unknown layout has no turns; an empty
 table gives an empty result; columns beyond conv_id, turn, role, text are ignored.
 """
 
@@ -22,6 +23,8 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a text up to which a record is parsed; JSON strings beyond 20,000,000 characters give null.
+LONG = 19_000_000
 TURNS = "array<struct<role: string, text: string>>"
 _END, _HEAD = "</turn>", "###"
 
@@ -64,6 +67,8 @@ def canonical_turns(records: DataFrame, column: str = "record") -> DataFrame:
         turns = F.expr(mapping).cast(TURNS)
         out = F.when(mine, turns) if out is None else out.when(mine, turns)
     turns = F.coalesce(out, F.array().cast(TURNS))
+    long = F.col("v").isNull() & (F.length(column) > LONG)
+    turns = F.when(long, F.raise_error(F.lit("a record is too long to be parsed")).cast(TURNS)).otherwise(turns)
     clean = F.transform(turns, lambda x: F.struct(F.coalesce(x.role, F.lit("")).alias("role"), F.coalesce(x.text, F.lit("")).alias("text")))
     return v.withColumn("turns", clean).drop("v", "_print", column)
 
@@ -114,14 +119,22 @@ def parse(df: DataFrame) -> DataFrame:
 
 def conversation_records(rows: DataFrame) -> DataFrame:
     """One JSON record for each conversation: a user and an assistant turn as prompt and response, else messages."""
+    return _records(rows).select("conv_id", "record")
+
+
+def _records(rows: DataFrame) -> DataFrame:
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("m"))
     pair = (F.size("m") == 2) & (F.col("m")[0].role == "user") & (F.get("m", F.lit(1)).role == "assistant")
     as_prompt = F.to_json(F.struct(F.col("m")[0].text.alias("prompt"), F.get("m", F.lit(1)).text.alias("response")))
     as_messages = F.to_json(F.struct(F.transform("m", lambda x: F.struct(x.role.alias("role"), x.text.alias("content"))).alias("messages")))
-    return whole.select("conv_id", F.when(pair, as_prompt).otherwise(as_messages).alias("record"))
+    return whole.select("conv_id", "m", F.when(pair, as_prompt).otherwise(as_messages).alias("record"))
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, turns, formatted, loss_spans of all conversations of a table of turns."""
-    return render(canonical_turns(conversation_records(rows)))
+    long = F.exists("m", lambda x: F.greatest(F.length(x.role), F.length(x.text)) > LONG)
+    records = _records(rows).withColumn("_long", long)
+    typed = F.transform("m", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
+    turns = canonical_turns(records.withColumn("record", F.when(~F.col("_long"), F.col("record"))))
+    return render(turns.withColumn("turns", F.when(F.col("_long"), typed).otherwise(F.col("turns"))).drop("m", "_long"))

@@ -137,3 +137,9 @@ def test_shards(spark):
     assert sum(r.size for r in got) == sum(len((t or "").encode()) + 8 for _, t in rows)
     assert next(r.group_key for r in got if r.doc_id == 1) == hashlib.md5(b"").hexdigest()
     assert packing.shard(df.limit(0), 4).count() == 0
+
+
+def test_long_texts_keep_their_turns(spark):
+    rows = spark.range(1).selectExpr("1L as conv_id", "explode(array(0L, 1L)) as turn").selectExpr("conv_id", "turn", "if(turn = 0, 'user', 'assistant') as role", "if(turn = 0, 'why', repeat('a', 20000001)) as text")
+    got = chat.format_conversations(rows).selectExpr("transform(turns, x -> length(x.text)) as n", "length(formatted) as size").collect()
+    assert [tuple(x) for x in got] == [([3, 20000001], 20000004 + 2 * len("### : </turn>\n") + len("userassistant"))]
