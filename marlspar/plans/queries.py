@@ -475,6 +475,14 @@ def lineage(spark: SparkSession, sf: str) -> DataFrame:
     return ledger.lineage(chain, chain.where("event_id % 50 = 7"), "event_id", "parent")
 
 
+@query(f"""WITH RECURSIVE {CHAIN}, u AS (SELECT event_id AS start, event_id, 0 AS depth FROM c UNION ALL SELECT u.start, c.parent, u.depth + 1 FROM u JOIN c ON c.event_id = u.event_id WHERE c.parent IS NOT NULL)
+SELECT start, depth, event_id FROM u""")
+def lineage_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As lineage, from every event."""
+    chain = _chain(spark, sf)
+    return ledger.lineage(chain, chain, "event_id", "parent")
+
+
 @query("""WITH a AS (SELECT l_orderkey, list(l_quantity ORDER BY l_linenumber, l_quantity) AS f FROM lineitem GROUP BY l_orderkey), p AS (SELECT x.l_orderkey, x.f AS r, y.f AS l FROM a x JOIN a y ON y.l_orderkey = x.l_orderkey - 1),
 d AS (SELECT l_orderkey, CASE WHEN len(l) = len(r) THEN list_transform(range(1, len(r) + 1), lambda i: r[i] - l[i]) ELSE [] END AS d FROM p)
 SELECT l_orderkey, len(d) AS fold_count, len(list_filter(d, lambda x: x > 0)) AS fold_wins, len(list_filter(d, lambda x: x = 0)) AS fold_ties FROM d""")
@@ -642,8 +650,9 @@ def book_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def experiment_plan(spark: SparkSession, sf: str) -> DataFrame:
-    hits = table(spark, sf, "documents").where("doc_id < 12").select(
-        F.col("doc_id").alias("position"), F.concat(F.lit("a"), "doc_id").alias("anchor"), F.col("source").alias("competition_slug"), F.when(F.col("doc_id") < 4, "direct").otherwise("near").alias("level"), F.array(pick("doc_id", NOTES), pick("doc_id", DESCRIBED)).alias("trick_highlights")
+    found = retrieval.retrieve(_entries(spark, sf), PROFILE | {"title": "patient images", "description": "segmentation of dicom masks by patient"}, ["group kfold by patient"], limit=12)
+    hits = found.select("position", F.col("entry").cast("long").alias("doc_id"), "level").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").select(
+        "position", F.concat(F.lit("a"), "doc_id").alias("anchor"), F.col("source").alias("competition_slug"), "level", F.array(pick("doc_id", NOTES), pick("doc_id", DESCRIBED)).alias("trick_highlights")
     )
     return retrieval.experiments(hits, "improve")
 

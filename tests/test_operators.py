@@ -119,6 +119,15 @@ def test_lenses_follow_the_stage():
     assert retrieval.lenses(base | {"stage": "ensemble"})[-1][2] == vocab.LENS_WEIGHTS["ensemble_stage"]
 
 
+def test_experiment_plan_takes_retrieved_hits(spark):
+    from marlspar.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    hits = {f"a{x.entry}" for x in queries.retrieve_evidence(spark, sf).collect()}
+    plan = {x.anchor for x in queries.experiment_plan(spark, sf).where("anchor is not null").collect()}
+    assert plan and plan <= hits and not plan <= {f"a{k}" for k in range(12)}
+
+
 def test_similar_sets_against_brute_force(spark):
     r = random.Random(5)
     sets = [(k, sorted(set(r.choices("abcdefghijkl", k=r.randint(0, 9))))) for k in range(80)]
