@@ -313,6 +313,13 @@ def trick_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents")).select("doc_id", F.explode(text.sentences_with_cues(t)).alias("line"))
 
 
+@query()
+def trick_sentences_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """As trick_sentences, over whole texts."""
+    t = F.concat(pick("doc_id", CUES), F.coalesce("text", F.lit("")))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.explode(text.sentences_with_cues(t)).alias("line"))
+
+
 KEY_STOP = "[" + ", ".join(q(w) for w in vocab.KEYWORD_STOPWORDS) + "]"
 
 

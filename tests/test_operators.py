@@ -128,6 +128,15 @@ def test_experiment_plan_takes_retrieved_hits(spark):
     assert plan and plan <= hits and not plan <= {f"a{k}" for k in range(12)}
 
 
+def test_cue_sentences_of_whole_texts(spark, tmp_path):
+    from marlspar.plans import queries
+
+    late = "x " * 400 + "\n" + "\n".join(f"The key idea number {k} is to stack it." for k in range(20))
+    spark.createDataFrame([(3, late), (7, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [x.line for x in queries.trick_sentences_whole(spark, str(tmp_path)).where("doc_id = 3").collect()]
+    assert got == [f"The key idea number {k} is to stack it." for k in range(16)]
+
+
 def test_similar_sets_against_brute_force(spark):
     r = random.Random(5)
     sets = [(k, sorted(set(r.choices("abcdefghijkl", k=r.randint(0, 9))))) for k in range(80)]
