@@ -219,6 +219,13 @@ def jaccard_near_dups(spark: SparkSession, sf: str) -> DataFrame:
     return setjoin.similar_sets(docs, "doc_id", "tokens", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query()
+def jaccard_near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document's class of equal token sets and the class's number of links; jaccard_near_dups has the links."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", F.array_sort(F.array_distinct(text.tokens(F.col("text")))).alias("tokens"))
+    return setjoin.set_classes(docs, "doc_id", "tokens", 0.8)
+
+
 @query(f"SELECT min(doc_id) AS doc_id, sha256({n_sql('text')}) AS sha, count(*) AS copies FROM documents GROUP BY 2")
 def content_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = spread(table(spark, sf, "documents")).select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("sha"))

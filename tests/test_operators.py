@@ -128,6 +128,12 @@ def test_experiment_plan_takes_retrieved_hits(spark):
     assert plan and plan <= hits and not plan <= {f"a{k}" for k in range(12)}
 
 
+def test_classes_of_equal_sets(spark):
+    sets = [(k, ["a", "b", "c", "d"]) for k in (5, 3, 9)] + [(1, ["a", "b", "c"]), (7, ["x"]), (8, ["x"]), (10, []), (11, None)]
+    out = setjoin.set_classes(spark.createDataFrame(sets, "k int, t array<string>"), "k", "t", 0.7)
+    assert {tuple(x) for x in out.collect()} == {(3, 3, 1), (5, 3, 1), (9, 3, 1), (1, 1, 1), (7, 7, 0), (8, 7, 0), (10, 10, 0), (11, 11, 0)}
+
+
 def test_cue_sentences_of_whole_texts(spark, tmp_path):
     from marlspar.plans import queries
 
