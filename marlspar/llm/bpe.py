@@ -3,10 +3,14 @@
 Encoding. The merge list fixes how far text to the right can reach back: a token can only be changed by
 a higher-ranked merge that takes one of its right-edge parts, whose partner may in turn lose a part to a
 still higher-ranked merge, and so on. Ranks strictly rise along such a chain, so the longest chain is a
-finite *sufficient lookahead* in bytes (`MergeTable.lookahead`), found by one pass over the merges.
-`Encoder.stream` keeps only that many bytes (plus one working window) of an unfinished word and emits every
-token as soon as it lies further from the end; the pre-tokeniser's splits are final one character later.
-Within a block all distinct words merge together in vectorised rounds.
+finite *sufficient lookahead* in bytes (`MergeTable.lookahead`), found by one pass over the merges. A token is
+stable, and emitted, once its right neighbour's first byte lies that far from the end of what has been read.
+
+Every text passes through `Transducer`, which reads pieces of PIECE bytes and holds back: a character or special
+token that is not complete, the last three words (the pre-tokeniser may still join them), and of a word longer than
+HOLD bytes only the unstable end. So a step's memory does not depend on the text's length. Texts of less than a
+piece share a step: all distinct words of a block merge together in vectorised rounds, those longer than the lookahead
+by a sliding window.
 
 Decoding. `Decoder` maps ids to bytes and feeds them through an incremental UTF-8 state machine that holds
 back at most three bytes and replaces broken sequences as a lossy decoder does.
@@ -29,13 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scan import U64, prefix_sums, span_hashes, text_slices
+from .scan import U64, block_hashes, text_slices
 from .shared import prepare
 
-#: Words of more bytes than this pass through the transducer's window instead of the vectorised rounds.
-WINDOW = 512
-#: Bytes of text in one vectorised step: larger ones share more words.
+#: Bytes of short texts in one vectorised step: larger ones share more words.
 SLICE_BYTES = 4 << 20
+#: Bytes that the transducer reads at a time, and of which an unfinished word is emitted in part.
+PIECE, HOLD = 1 << 19, 1 << 14
+#: Bytes beyond the lookahead of one window of a long word.
+WINDOW = 4096
 NO_RANK = np.uint32(0xFFFFFFFF)
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -193,14 +199,14 @@ class MergeTable:
 
 
 class Encoder:
-    """Text to ids; `slice` takes whole rows at once, `stream` one text in pieces."""
+    """Text to ids; `slice` takes whole rows at once, `Transducer` one text in pieces."""
 
     def __init__(self, table: MergeTable):
         self.table = table
         self.classes = character_classes()
 
-    def split(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Byte positions at which words begin, by the byte-level pre-tokeniser's rule; rows are apart."""
+    def kinds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First byte, code point and class of every character."""
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         b0 = data[lead].astype(np.uint32)
         cp = b0.copy()
@@ -213,7 +219,11 @@ class Encoder:
             for j in range(1, more + 1):
                 value = value << 6 | padded[lead[k] + j] & 0x3F
             cp[k] = np.minimum(value, 0x10FFFF)
-        kind = self.classes[cp]
+        return lead, cp, self.classes[cp]
+
+    def split(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Byte positions at which words begin, by the byte-level pre-tokeniser's rule; rows are apart."""
+        lead, cp, kind = self.kinds(data)
         n = len(cp)
         rows = np.zeros(n + 1, bool)
         rows[np.searchsorted(lead, offsets)] = True
@@ -238,14 +248,17 @@ class Encoder:
             begins[(at + size)[at + size < n]] = True
         return lead[begins]
 
-    def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a slice, concatenated, and each row's number of ids (no special tokens)."""
+    def slice(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a slice, concatenated, and each row's number of ids (no special tokens).
+
+        starts: where words begin, if that is known from more text than the slice has.
+        """
         rows = len(offsets) - 1
         if not len(data):
             return np.empty(0, np.uint32), np.zeros(rows, np.int64)
-        starts = self.split(data, offsets)
+        starts = self.split(data, offsets) if starts is None else starts
         ends = np.append(starts[1:], len(data))
-        _, first, same = np.unique(span_hashes(prefix_sums(data, False), starts, ends), return_index=True, return_inverse=True)
+        _, first, same = np.unique(block_hashes(data, starts, ends), return_index=True, return_inverse=True)
         s, e = starts[first], ends[first]
         ids, counts = self._words(data, s, e)
         at = np.cumsum(counts) - counts
@@ -262,31 +275,38 @@ class Encoder:
         return out, counts
 
     def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        long = np.flatnonzero(ends - starts > WINDOW)
+        limit = self.table.lookahead
+        long = np.flatnonzero(ends - starts > limit)
         if not len(long):
             return self.table.merge(data, starts, ends)
-        short = np.flatnonzero(ends - starts <= WINDOW)
+        short = np.flatnonzero(ends - starts <= limit)
         parts: list[np.ndarray] = [None] * len(starts)  # type: ignore[list-item]
         ids, counts = self.table.merge(data, starts[short], ends[short])
         for k, part in zip(short, np.split(ids, np.cumsum(counts)[:-1]), strict=True) if len(short) else ():
             parts[k] = part
         for k in long:
-            parts[k] = np.concatenate([*self.stream_word(data[starts[k] : ends[k]])])
+            parts[k] = self.word(data[starts[k] : ends[k]])[0]
         return np.concatenate(parts), np.array([len(p) for p in parts])
 
-    def stream_word(self, data: np.ndarray) -> Iterator[np.ndarray]:
-        """Ids of one word of any length, emitted once stable; the working window has a fixed size."""
-        at, window = 0, 8 * WINDOW + self.table.lookahead
+    def word(self, data: np.ndarray, ended: bool = True) -> tuple[np.ndarray, int]:
+        """Stable ids of a word (all, if it has ended) and the bytes they stand for; a window slides over it."""
+        at, window, out = 0, WINDOW + self.table.lookahead, []
         while at < len(data):
             part = data[at : at + window]
+            last = at + len(part) == len(data)
             ids, _ = self.table.merge(part, np.array([0]), np.array([len(part)]))
-            if at + len(part) == len(data):
-                yield ids
-                return
+            if last and ended:
+                out.append(ids)
+                at = len(data)
+                break
             ends = np.cumsum(self.table.lengths[ids])
             stable = int(np.searchsorted(ends, len(part) - self.table.lookahead, "right"))
-            yield ids[:stable]
-            at += int(ends[stable - 1])
+            if stable:
+                out.append(ids[:stable])
+                at += int(ends[stable - 1])
+            if last or not stable:
+                break
+        return (np.concatenate(out) if out else np.empty(0, np.uint32)), at
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         """The bytes that ids stand for."""
@@ -297,49 +317,121 @@ class Encoder:
         return self.table.flat[np.arange(int(at[-1])) + np.repeat(self.table.starts[ids] - at + sizes, sizes)]
 
     def stream(self, pieces: Iterator[bytes]) -> Iterator[np.ndarray]:
-        """Ids of one text that comes in pieces; holds back only what later pieces can still change."""
-        held = b""
+        """Ids of one text that comes in pieces, special tokens included."""
+        state = Transducer(self)
         for piece in pieces:
-            held += piece
-            cut = self._safe_cut(held)
-            if cut:
-                yield self.text(held[:cut])
-                held = held[cut:]
-        if held:
-            yield self.text(held)
-
-    @staticmethod
-    def _safe_cut(data: bytes) -> int:
-        """The last place where ASCII white space follows another character; words never cross it."""
-        for k in range(len(data) - 1, 0, -1):
-            if data[k] in b" \n\t\r" and data[k - 1] > 0x20 and data[k - 1] < 0x80:
-                return k
-        return 0
-
-    def text(self, data: bytes) -> np.ndarray:
-        """Ids of a whole text, special tokens included."""
-        for special, i in self.table.special.items():
-            if (mark := special.encode()) in data:
-                parts = [self.text(p) if p else np.empty(0, np.uint32) for p in data.split(mark)]
-                gap = np.array([i], np.uint32)
-                return np.concatenate([x for p in parts for x in (gap, p)][1:])
-        return self.slice(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0]
-
-    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
-        """Ids of each row of a slice, special tokens included."""
-        raw = data.tobytes()
-        marked: set[int] = set()
+            yield from state.feed(piece)
+        yield from state.feed(b"", True)
+
+    def rows(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[Iterator[np.ndarray]]:
+        """Ids of each row of a slice in pieces, special tokens included."""
+        marked = set(np.flatnonzero(np.diff(offsets) > PIECE).tolist())
         for special in self.table.special:
-            mark, at = special.encode(), -1
-            while (at := raw.find(mark, at + 1)) >= 0:
+            for at in find_all(data, special.encode()):
                 marked.add(int(np.searchsorted(offsets, at, "right")) - 1)
-        if len(data) > 2 * SLICE_BYTES and len(offsets) == 2 and not marked:  # one huge text
-            yield np.concatenate([*self.stream(raw[i : i + SLICE_BYTES] for i in range(0, len(raw), SLICE_BYTES))])
-            return
-        ids, counts = self.slice(data, offsets)
+        if len(marked) < len(offsets) - 1:
+            plain = np.ones(len(offsets) - 1, bool)
+            plain[list(marked)] = False
+            size = np.where(plain, np.diff(offsets), 0)
+            rest = data if not marked else data[np.repeat(plain, np.diff(offsets))]
+            ids, counts = self.slice(rest, np.concatenate(([0], np.cumsum(size))))
+        else:
+            ids, counts = np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
         ends = np.cumsum(counts)
         for k, (end, count) in enumerate(zip(ends, counts, strict=True)):
-            yield self.text(raw[offsets[k] : offsets[k + 1]]) if k in marked else ids[end - count : end]
+            if k in marked:
+                yield self.stream(data[i : min(i + PIECE, offsets[k + 1])].tobytes() for i in range(int(offsets[k]), int(offsets[k + 1]), PIECE))
+            else:
+                yield iter((ids[end - count : end],))
+
+
+def find_all(data: np.ndarray, mark: bytes) -> Iterator[int]:
+    """Places of a byte string, without a copy of the data."""
+    first = np.flatnonzero(data[: max(0, len(data) - len(mark) + 1)] == mark[0])
+    for k in range(1, len(mark)):
+        if not len(first):
+            break
+        first = first[data[first + k] == mark[k]]
+    yield from first.tolist()
+
+
+class Transducer:
+    """The encoder's state between the pieces of one text."""
+
+    def __init__(self, encoder: Encoder):
+        self._encoder = encoder
+        self._held = b""
+        #: Class of the unfinished word whose first ids are out already; None between words.
+        self._inside: int | None = None
+        self._marks = {m.encode(): i for m, i in encoder.table.special.items()}
+
+    def feed(self, piece: bytes, final: bool = False) -> Iterator[np.ndarray]:
+        """The ids that have become stable."""
+        data = self._held + piece
+        self._held = b""
+        while data:
+            found = min(((at, -len(m), m) for m in self._marks if (at := data.find(m)) >= 0), default=None)
+            if found is None:
+                break
+            at, _, mark = found
+            yield from self._run(data[:at], True)
+            yield np.array([self._marks[mark]], np.uint32)
+            data = data[at + len(mark) :]
+        open_end = 0 if final else max((k for m in self._marks for k in range(1, len(m)) if data.endswith(m[:k])), default=0)
+        if not final:  # an unfinished character
+            for k in range(1, min(4, len(data)) + 1):
+                if data[-k] >= 0xC0:
+                    need = 2 if data[-k] < 0xE0 else 3 if data[-k] < 0xF0 else 4
+                    open_end = max(open_end, k if k < need else 0)
+                if data[-k] < 0x80 or data[-k] >= 0xC0:
+                    break
+        body = data[: len(data) - open_end]
+        yield from self._run(body, final)
+        self._held += data[len(body) :]
+
+    def _run(self, raw: bytes, ended: bool) -> Iterator[np.ndarray]:
+        """Ids of text without special tokens; what is not stable goes to `_held`, nothing if the text has ended."""
+        encoder, data = self._encoder, np.frombuffer(raw, np.uint8)
+        if self._inside is not None and len(data):
+            lead, _, kind = encoder.kinds(data)
+            other = np.flatnonzero(kind != self._inside)
+            end = len(data)
+            if len(other):
+                # white space before a word: its last character belongs to what follows
+                first = int(other[0]) - (self._inside == SPACE)
+                end = int(lead[first]) if first >= 0 else 0
+            over = ended or len(other) > 0
+            ids, used = encoder.word(data[:end], over)
+            if len(ids):
+                yield ids
+            if not over:
+                self._held = raw[used:]
+                return
+            data, self._inside = data[end:], None
+        if ended:
+            self._inside = None
+            if len(data):
+                yield encoder.slice(data, np.array([0, len(data)]))[0]
+            return
+        if not len(data):
+            return
+        starts = encoder.split(data, np.array([0, len(data)]))
+        cut = int(starts[-3]) if len(starts) >= 3 else 0
+        long = len(data) - int(starts[-1]) > HOLD
+        if long:
+            cut = int(starts[-1])
+        if cut:
+            yield encoder.slice(data[:cut], np.array([0, cut]), starts[starts < cut])[0]
+        rest = data[cut:]
+        if long:
+            kind = int(encoder.kinds(rest[-4:][np.flatnonzero((rest[-4:] & 0xC0) != 0x80)[-1] :])[2][-1])
+            # white space keeps its last character back, as it may belong to what follows
+            ids, used = encoder.word(rest, False)
+            self._inside = kind
+            if len(ids):
+                yield ids
+            rest = rest[used:]
+        self._held = rest.tobytes()
 
 
 class Decoder:
@@ -392,16 +484,20 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch, size=SLICE_BYTES):
                 counts, ids_sha, text_sha, kept = [], [], [], []
-                for ids in encoder.rows(data, offsets):
-                    packed = ids.astype("<u4").tobytes()
-                    decoder, digest = Decoder(encoder), hashlib.sha256()
-                    for k in range(0, len(ids), 1 << 20):
-                        digest.update(decoder.feed(ids[k : k + (1 << 20)]).encode())
-                    digest.update(decoder.feed(ids[:0], True).encode())
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(packed).hexdigest())
-                    text_sha.append(digest.hexdigest())
-                    kept.append(packed)
+                for pieces in encoder.rows(data, offsets):
+                    decoder, of_ids, of_text, count, out = Decoder(encoder), hashlib.sha256(), hashlib.sha256(), 0, []
+                    for ids in pieces:
+                        packed = ids.astype("<u4").tobytes()
+                        of_ids.update(packed)
+                        of_text.update(decoder.feed(ids).encode())
+                        count += len(ids)
+                        if with_ids:
+                            out.append(packed)
+                    of_text.update(decoder.feed(np.empty(0, np.uint32), True).encode())
+                    counts.append(count)
+                    ids_sha.append(of_ids.hexdigest())
+                    text_sha.append(of_text.hexdigest())
+                    kept.append(b"".join(out))
                 columns = [batch.column("doc_id")[lo:hi].cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.binary())] * with_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
@@ -418,7 +514,7 @@ def lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> Dat
         encoder = encoder_of(raw.value)
         for batch in batches:
             for _, _, data, offsets in text_slices(batch, size=SLICE_BYTES):
-                size, count = np.unique([len(ids) for ids in encoder.rows(data, offsets)], return_counts=True)
+                size, count = np.unique([sum(map(len, pieces)) for pieces in encoder.rows(data, offsets)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(count, pa.int64())], ["n_tokens", "n_docs"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long, n_docs long")

@@ -9,8 +9,8 @@ within each band that meets the bound.
 
 Items are searched in blocks of bounded size, each broadcast; documents are never joined pairwise with items.
 
-Cases: null or empty texts leak nothing and are not leaked; items of fewer than q characters are not searched;
-shorter items have a smaller budget, so that the bound stays positive; equal items are each reported; repeated
+Cases: null or empty texts leak nothing and are not leaked; items of fewer than q characters have no q-gram and leak
+where they stand unchanged between characters that are neither letters nor digits (or a text's end); shorter items have a smaller budget, so that the bound stays positive; equal items are each reported; repeated
 documents are judged alone; several passages of one document are each reported, of overlapping ones the closest
 (then first); extra columns of either table are ignored.
 """
@@ -33,6 +33,8 @@ RATE = 0.06
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, start_char long, end_char long, edits int"
 _SCAN_BYTES = 1 << 20
+#: Cells of one row of pairs that are aligned together, whatever their items' lengths.
+_CELLS = 1 << 19
 
 
 def characters(data: np.ndarray | bytes) -> np.ndarray:
@@ -93,9 +95,16 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, rate: float = RATE):
         self.q = q
-        kept = [(i, c) for i, text in items if text and len(c := characters(text.encode("utf-8", "replace"))) >= q]
-        self.ids = [i for i, _ in kept]
+        read = [(i, characters(text.encode("utf-8", "replace"))) for i, text in items if text]
+        kept = [(i, c) for i, c in read if len(c) >= q]
+        #: Items without a q-gram: their length, then their hash, lead to their numbers behind the others.
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for k, (_, c) in enumerate((i, c) for i, c in read if len(c) < q):
+            self.short.setdefault(len(c), {}).setdefault(int(gram_hashes(c, len(c))[0]), []).append(len(kept) + k)
+        tail = [(i, c) for i, c in read if len(c) < q]
+        self.ids = [i for i, _ in kept + tail]
         self.items = [c for _, c in kept]
+        self.tail = [c for _, c in tail]
         self.budgets = np.array([budget(len(c), q, rate) for c in self.items], np.int64)
         sizes = np.array([len(c) for c in self.items], np.int64)
         self.bounds = sizes + 1 - q - q * self.budgets
@@ -133,10 +142,11 @@ class Index:
 
     def search(self, chars: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, item index, start, end, edits), positions counted from the row's start."""
-        at = self.hits(chars, rows)
-        if not len(at):
-            return []
         rows = np.asarray(rows, np.int64)
+        out = self._exact(chars, rows)
+        at = self.hits(chars, rows) if self.items else ()
+        if not len(at):
+            return out
         k = np.searchsorted(self.grams, gram_hashes(chars, self.q)[at])
         counts = self.first[k + 1] - self.first[k]
         place = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.first[k], counts)
@@ -149,9 +159,13 @@ class Index:
         bands, n = np.unique(key, axis=0, return_counts=True)
         bands = bands[n >= self.bounds[bands[:, 1]]]
         if not len(bands):
-            return []
-        bands = bands[np.argsort([len(self.items[i]) for i in bands[:, 1]], kind="stable")]
-        for part in np.split(bands, range(256, len(bands), 256)):
+            return out
+        sizes = np.array([len(self.items[i]) for i in bands[:, 1]], np.int64)
+        order = np.argsort(sizes, kind="stable")
+        bands, sizes = bands[order], sizes[order]
+        # batches by the room that they take: texts and cells of all pairs of one
+        room = np.cumsum(sizes + 8 * (4 * self.budgets[bands[:, 1]] + 3))
+        for part in np.split(bands, np.flatnonzero(np.diff(room // _CELLS)) + 1):
             r, i, band = part.T
             e = self.budgets[i]
             low = band * (e + 1) - (1 << 20) - e  # the lowest diagonal
@@ -166,7 +180,6 @@ class Index:
                 if edits <= e[k]:
                     size = int(end[k] - begin[k])
                     found.setdefault((int(r[k]), int(i[k])), []).append((edits, min(size, max(0, a + int(low[k]))), min(size, max(0, b + int(low[k])))))
-        out = []
         for (k, item), spans in sorted(found.items()):
             taken: list[tuple[int, int]] = []
             for edits, a, b in sorted(set(spans)):
@@ -176,6 +189,21 @@ class Index:
         return out
 
 
+    def _exact(self, chars: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """Places of the items without q-grams, as whole words."""
+        out = []
+        for m, table in self.short.items():
+            h = gram_hashes(chars, m)
+            for at in np.flatnonzero(np.isin(h, np.fromiter(table, U64))).tolist():
+                row = int(np.searchsorted(rows, at, "right")) - 1
+                begin, end = int(rows[row]), int(rows[row + 1])
+                around = [chr(chars[k]) for k in (at - 1, at + m) if begin <= k < end]
+                if at + m > end or any(c.isalnum() for c in around):
+                    continue
+                out += [(row, item, at - begin, at + m - begin, 0) for item in table[int(h[at])] if np.array_equal(self.tail[item - len(self.items)], chars[at : at + m])]
+        return out
+
+
 def leaks(docs: DataFrame, items: DataFrame, q: int = Q, rate: float = RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start_char, end_char, edits) of every leaked passage in whole texts."""
     spark = docs.sparkSession

@@ -16,7 +16,9 @@ collected but one row of sums for each bucket, and nothing is pruned.
 
 Cases: null and empty texts are one end; words never seen in training have the unknown's probability; without
 training texts every token has probability 1 / (V + 1) = 1; repeated rows count each time; a null doc_id
-trains; an empty table gives no rows; columns besides doc_id and text are ignored. Up to 2**32 - 2 distinct words.
+trains as the id "None"; an empty table gives no rows; columns besides doc_id and text are ignored. More than 2**32 - 2
+distinct words are refused, as numbers of words have 32 bits; counts have 64 bits (pairs: 32, larger ones stand apart).
+Words are told apart by 64-bit hashes (`scan.block_hashes`): only a random collision could join two.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ from .shared import map_file, prepare, put_bytes, scratch
 #: A context takes part of more than one bucket if it has over 1 / SPREAD of a bucket's even share of tokens.
 SPREAD = 2
 _FLUSH = 600_000
+#: Tokens after which a task hands on its counts, so that they fit 32 bits.
+_FLUSH_TOKENS = 1 << 30
+#: This count stands for a larger one, which is stored apart.
+_LARGE = 0xFFFFFFFF
 
 
 def held_out(ids: np.ndarray, parts: int, part: int) -> np.ndarray:
@@ -118,7 +124,7 @@ class Arrays:
         ranges = numbers // self.m.stride
         for k in np.unique(ranges):
             a, b = np.searchsorted(ranges, [k, k + 1])
-            out[a:b] = self.get(f"{k}.statistics", np.uint32).reshape(-1, 5)[numbers[a:b] - k * self.m.stride]
+            out[a:b] = self.get(f"{k}.statistics", np.int64).reshape(-1, 5)[numbers[a:b] - k * self.m.stride]
         return out
 
     def pair_counts(self, keys: np.ndarray, context_counts: np.ndarray) -> np.ndarray:
@@ -133,7 +139,11 @@ class Arrays:
                 known = self.get(f"{k}.pairs", U64)
                 at = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
                 ok = known[at] == keys[part]
-                out[part[ok]] = self.get(f"{k}.pair_counts", np.uint32)[at[ok]]
+                found = self.get(f"{k}.pair_counts", np.uint32)[at[ok]].astype(np.int64)
+                if len(large := np.flatnonzero(found == _LARGE)):
+                    table = self.get(f"{k}.large_counts", np.int64).reshape(-1, 2)
+                    found[large] = table[np.searchsorted(table[:, 0], at[ok][large]), 1]
+                out[part[ok]] = found
         return out
 
 
@@ -212,7 +222,7 @@ def _count_pairs(m: Model, parts: int, part: int):
             columns = [[p.tobytes() for p in np.split(x[order], cuts[1:])] for x in (keys, n.astype(np.uint32))]
             return pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts], pa.int32()), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary())], ["bucket", "keys", "counts"])
 
-        size = 0
+        size = seen = 0
         for batch in batches:
             train = ~held_out(batch.column("doc_id"), parts, part)
             for _, _, data, offsets in text_slices(batch.filter(pa.array(train))):
@@ -221,9 +231,10 @@ def _count_pairs(m: Model, parts: int, part: int):
                 keys, at, n = np.unique(keys, return_index=True, return_counts=True)
                 kept.append((keys, n, times[at]))
                 size += len(keys)
-                if size > _FLUSH:
+                seen += len(word)
+                if size > _FLUSH or seen > _FLUSH_TOKENS:
                     yield flush()
-                    kept, size = [], 0
+                    kept, size, seen = [], 0, 0
         if kept:
             yield flush()
 
@@ -237,13 +248,15 @@ def _write_pairs(m: Model):
         keys, n = counted(np.concatenate([np.frombuffer(b, U64) for b in pdf["keys"]]), np.concatenate([np.frombuffer(b, np.uint32) for b in pdf["counts"]]).astype(np.int64))
         k = int(pdf["bucket"].iloc[0])
         put_bytes(m.folder, f"{k}.pairs", keys.tobytes())
-        put_bytes(m.folder, f"{k}.pair_counts", n.astype(np.uint32).tobytes())
+        put_bytes(m.folder, f"{k}.pair_counts", np.minimum(n, _LARGE).astype(np.uint32).tobytes())
+        large = np.flatnonzero(n >= _LARGE)
+        put_bytes(m.folder, f"{k}.large_counts", np.stack([large, n[large]], 1).astype(np.int64).tobytes())
         out = [(-1, k, np.array([len(keys), *np.bincount(np.minimum(n, 5), minlength=6)[1:5]], np.int64).tobytes(), b"")]
         context = (keys >> U64(32)).astype(np.int64)
         first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-        rows = np.stack([np.add.reduceat(x, first) for x in (n, n == 1, n == 2, n >= 3)], 1).astype(np.uint32)
+        rows = np.stack([np.add.reduceat(x, first) for x in (n, n == 1, n == 2, n >= 3)], 1).astype(np.int64)
         word, follows = np.unique((keys & U64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        for kind, (number, values) in enumerate(((context[first], rows), (word, follows.astype(np.uint32)))):
+        for kind, (number, values) in enumerate(((context[first], rows), (word, follows.astype(np.int64)))):
             cut = np.searchsorted(number // m.stride, np.arange(m.buckets + 1))
             out += [(r, kind, number[a:b].astype(np.uint32).tobytes(), values[a:b].tobytes()) for r, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
         return pd.DataFrame(out, columns=["range", "kind", "numbers", "values"])
@@ -256,13 +269,13 @@ def _write_statistics(m: Model):
         k = int(pdf["range"].iloc[0])
         if k < 0:
             return pd.DataFrame({"range": pdf["kind"].astype(np.int32), "sums": pdf["numbers"], "pairs": True})
-        table = np.zeros((m.stride, 5), np.uint32)
+        table = np.zeros((m.stride, 5), np.int64)
         for kind, number, values in zip(pdf["kind"], pdf["numbers"], pdf["values"], strict=True):
             at = np.frombuffer(number, np.uint32).astype(np.int64) - k * m.stride
             if kind:
-                table[at, 4] += np.frombuffer(values, np.uint32)
+                table[at, 4] += np.frombuffer(values, np.int64)
             else:
-                table[at, :4] += np.frombuffer(values, np.uint32).reshape(-1, 4)
+                table[at, :4] += np.frombuffer(values, np.int64).reshape(-1, 4)
         put_bytes(m.folder, f"{k}.statistics", table.tobytes())
         follows = table[:, 4]
         sums = np.array([*np.bincount(np.minimum(follows, 5), minlength=6)[1:5], (follows >= 3).sum()], np.int64)
@@ -276,7 +289,8 @@ def train(docs: DataFrame, parts: int = 7, part: int = 2) -> Model:
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string"))
-    bits = max(3, (docs.rdd.getNumPartitions() - 1).bit_length())
+    # four buckets a partition, so that one that gets several of them by chance stays small
+    bits = max(3, (4 * docs.rdd.getNumPartitions() - 1).bit_length())
     m = Model(scratch(spark, "ngrams"), bits, 1 << bits)
     rows = docs.mapInArrow(_count_words(m, parts, part), "bucket int, hashes binary, counts binary, texts long")
     sums = {r["bucket"]: r for r in rows.groupBy("bucket").applyInPandas(_write_words(m.folder), "bucket int, words long, tokens long, texts long").collect()}

@@ -3,7 +3,8 @@
 Documents are counted by encoded length; running sums over the lengths answer, for every context limit, how many
 documents fit, how many tokens there are, and how many remain when each document is cut at the limit.
 
-Cases: null and empty texts have length 0; ties share one histogram row; an empty table has an empty histogram.
+Cases: null and empty texts have length 0; ties share one histogram row; an empty table has an empty histogram; a limit
+that is no text's length, negative ones too, has its answer from the lengths around it; repeated limits are one.
 """
 
 from __future__ import annotations
@@ -49,3 +50,21 @@ def limits(hist: DataFrame) -> DataFrame:
         (c("all_tokens") - c("tokens_over") + c("docs_over") * c("n_tokens")).alias("truncated_tokens"),
         ((c("all_docs") - c("docs_over")) / c("all_docs")).alias("quantile"),
     )
+
+
+def at(hist: DataFrame, asked: list[int]) -> DataFrame:
+    """`limits` for the given context limits, whether or not any text has such a length."""
+    extra = hist.sparkSession.createDataFrame([(int(x),) for x in sorted({*asked})], "n_tokens long")
+    rows = hist.select("n_tokens", "n_docs").unionByName(extra.withColumn("n_docs", F.lit(0).cast("long")))
+    rows = rows.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    out = limits(rows).join(F.broadcast(extra.withColumnRenamed("n_tokens", "limit_tokens")), "limit_tokens", "left_semi")
+    # a negative limit leaves nothing of any text
+    return out.withColumn("truncated_tokens", F.greatest("truncated_tokens", F.lit(0)))
+
+
+def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length that this share of all documents does not exceed."""
+    table = limits(hist).select("limit_tokens", "quantile")
+    return table.select(*[F.min(F.when(F.col("quantile") >= q, F.col("limit_tokens"))).alias(f"q{k}") for k, q in enumerate(shares)]).select(
+        F.explode(F.array(*[F.struct(F.lit(float(q)).alias("share"), F.col(f"q{k}").alias("n_tokens")) for k, q in enumerate(shares)])).alias("r")
+    ).select("r.*")

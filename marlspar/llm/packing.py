@@ -1,25 +1,31 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Groups (equal texts) go to shards whole. The items that are packed are every group above a fixed share of all
-bytes (by counting, at most 1/share of them) and, for the rest, a fixed number of hash bundles of groups; so the
-driver sees a bounded number of sizes at any scale. Items sorted by size enter the bin with the tightest
-remaining capacity, found in a balanced tree; the smallest capacity for which that fills no more bins than asked
-is found by bisection.
+Groups (equal texts) go to shards whole, and every group is packed itself. Items sorted by size enter the bin with
+the tightest remaining capacity, found in a balanced tree; the smallest capacity for which that fills no more bins
+than asked is found by bisection.
+
+The driver sees the items as runs (size, number of groups of that size): equal items enter the tightest bin one after
+another until the next does not fit, so a run takes one step of the tree a bin instead of one an item, with the same
+result. Different sizes add up to no more than all bytes, so there are at most sqrt(2 * all bytes) runs. Each run gives
+every bin one stretch of its groups at most; groups are ranked within their size by their keys, in blocks, so that
+no task ranks all groups of a common size, and find their shard by their rank.
 
 Cases: a null text is an empty one (8 bytes with its overhead, checksum 0); equal sizes are packed in the order
-of their keys; repeated rows belong to one group; an empty table has no rows; columns besides doc_id and text
+of their ranks; repeated rows belong to one group; an empty table has no rows; columns besides doc_id and text
 are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Items per shard: a group above 1/(shards * ITEMS) of all bytes is an item; so many bundles hold the rest.
-ITEMS = 384
-#: Rows of a shard are numbered in so many independent blocks.
+from .shared import prepare, stored
+
+#: Rows of a shard, and groups of one size, are numbered in so many independent blocks.
 BLOCKS = 64
+#: Groups with over 1/HOT of all rows (so fewer than HOT) are joined by broadcast, as their rows would fill one task.
+HOT = 4096
 
 
 class _Node:
@@ -110,74 +116,94 @@ class CapacityTree:
         return best
 
 
-def best_fit_decreasing(items: list[tuple[int, str]], capacity: int, at_most: int | None = None) -> dict[str, int] | None:
-    """Bin of every item (size, key); None if more than `at_most` bins would be needed.
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, at_most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, bin, number of items) for runs (size, number of items); None if more than `at_most` bins would be needed.
 
     An item above the capacity gets a bin of its own.
     """
-    tree, bins, out = CapacityTree(), 0, {}
-    for size, key in sorted(items, key=lambda x: (-x[0], x[1])):
-        found = tree.tightest(size)
-        if found is None:
-            if bins == at_most:
-                return None
-            found, bins = (max(capacity, size), bins), bins + 1
-        else:
-            tree.discard(found)
-        tree.add((found[0] - size, found[1]))
-        out[key] = found[1]
+    tree, bins, out = CapacityTree(), 0, []
+    for size, left in sorted(runs, reverse=True):
+        while left:
+            found = tree.tightest(size)
+            if found is None:
+                if bins == at_most:
+                    return None
+                found, bins = (max(capacity, size), bins), bins + 1
+            else:
+                tree.discard(found)
+            # what the bin has left stays the tightest that holds the size, until it does not
+            n = min(left, found[0] // size) if size else left
+            tree.add((found[0] - n * size, found[1]))
+            out.append((size, found[1], n))
+            left -= n
     return out
 
 
-def least_capacity(items: list[tuple[int, str]], bins: int) -> dict[str, int]:
+def least_capacity(runs: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
     """Best fit decreasing into `bins` bins, at the smallest capacity that bisection finds to suffice."""
-    total, largest = sum(s for s, _ in items), max((s for s, _ in items), default=0)
+    total, largest = sum(s * n for s, n in runs), max((s for s, _ in runs), default=0)
     low = max(-(-total // bins), largest)
     high, best = low * 2 + 1, None
     while best is None:
-        best, high = best_fit_decreasing(items, high, bins), high * 2
+        best, high = best_fit_decreasing(runs, high, bins), high * 2
     high //= 2
     while high - low > max(1, low // 20_000):
         middle = (low + high) // 2
-        if found := best_fit_decreasing(items, middle, bins):
+        if found := best_fit_decreasing(runs, middle, bins):
             best, high = found, middle
         else:
             low = middle + 1
     return best
 
 
+def _ranked(groups: DataFrame) -> DataFrame:
+    """Adds rank, from 0 among the groups of one size: blocks are ranked apart, then moved by those before."""
+    groups = groups.withColumn("_block", F.pmod(F.xxhash64("group_key"), F.lit(BLOCKS)).cast("int"))
+    counts = groups.groupBy("bytes", "_block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("bytes").orderBy("_block")) - F.col("n")
+    inner = F.row_number().over(Window.partitionBy("bytes", "_block").orderBy("group_key"))
+    out = groups.withColumn("_n", inner).join(counts.select("bytes", "_block", before.alias("_before")), ["bytes", "_block"])
+    return out.withColumn("rank", F.col("_before") + F.col("_n") - 1).drop("_n", "_before", "_block")
+
+
 def shard(docs: DataFrame, n_shards: int, overhead: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, group_key, shard and slot (gapless in the shard) of every row; sizes nearly equal."""
     spark = docs.sparkSession
+    prepare(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         "doc_id", (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.md5(text).alias("group_key")
     )
-    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("group_key"), F.lit(n_shards * ITEMS)).cast("int"))
-    # one row for each group, partly summed before the shuffle
-    groups = rows.groupBy("group_key", "bundle").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0]
-    if total is None:
+    rows = stored(rows, "rows")  # the texts are read once
+    # one row for each group, partly summed before the shuffle; read three times
+    groups = stored(rows.groupBy("group_key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")), "groups")
+    runs = [(r["bytes"], r["n"]) for r in groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).collect()]
+    if not runs:
         return rows.select("doc_id", "size", "text_crc32", "group_key", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    limit = max(1, total // (n_shards * ITEMS))
-    # sizes of the items, bounded by the shares: large groups by key, the others by bundle
-    large = F.when(F.col("bytes") > limit, F.col("group_key")).otherwise(F.concat(F.lit("b"), "bundle"))
-    items = [(r["bytes"], r["item"]) for r in groups.groupBy(large.alias("item")).agg(F.sum("bytes").alias("bytes")).collect()]
-    placed = least_capacity(items, n_shards)
-    table = spark.createDataFrame([(k, v) for k, v in placed.items()], "item string, shard int")
-    big, rest = table.where(~F.col("item").startswith("b") | (F.length("item") == 32)), table
-    big = big.select(F.col("item").alias("group_key"), F.col("shard").alias("own_shard"))
-    rest = rest.where(F.col("item").startswith("b") & (F.length("item") < 32)).select(F.expr("substr(item, 2)").cast("int").alias("bundle"), F.col("shard").alias("bundle_shard"))
-    # both sides of at most 2 * n_shards * ITEMS rows
-    rows = rows.join(F.broadcast(big), "group_key", "left").join(F.broadcast(rest), "bundle", "left")
-    rows = rows.withColumn("shard", F.coalesce("own_shard", "bundle_shard")).drop("own_shard", "bundle_shard", "bundle")
+    stretches: dict[int, list[tuple[int, int]]] = {}
+    for size, into, n in least_capacity(runs, n_shards):
+        own = stretches.setdefault(size, [])
+        own.append(((own[-1][0] if own else 0) + n, into))
+    # (size, [(rank where the stretch ends, shard)]), at most n_shards stretches a size; AQE broadcasts the table if it is small
+    table = spark.createDataFrame([*stretches.items()], "bytes long, stretches array<struct<till: long, shard: int>>")
+    alone = F.size("stretches") == 1
+    # most sizes go to one shard whole; only the groups of the others are ranked
+    groups = groups.join(table, "bytes")
+    whole = groups.where(alone).select("group_key", "rows", F.col("stretches")[0].shard.alias("shard"))
+    divided = _ranked(groups.where(~alone))
+    divided = divided.select("group_key", "rows", F.filter("stretches", lambda x: x.till > F.col("rank"))[0].shard.alias("shard"))
+    placed = stored(whole.unionByName(divided), "placed")
+    total = placed.agg(F.sum("rows")).first()[0]
+    hot = F.col("rows") * HOT > total
+    common = placed.where(hot).select("group_key", F.col("shard").alias("_hot"))  # fewer than HOT rows
+    rows = rows.join(F.broadcast(common), "group_key", "left")
+    rest = rows.where("_hot is null").drop("_hot").join(placed.where(~hot).select("group_key", "shard"), "group_key")
+    rows = rows.where("_hot is not null").withColumnRenamed("_hot", "shard").unionByName(rest)
     return with_slots(rows)
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """Adds slot, gapless from 0 in each shard: blocks are numbered apart, then moved by the sizes of those before."""
-    from pyspark.sql import Window
-
     rows = rows.withColumn("_block", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(BLOCKS)).cast("int"))
     counts = rows.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("_block")) - F.col("n")

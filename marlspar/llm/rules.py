@@ -25,7 +25,7 @@ MIN_PRECISION, MIN_COVERAGE = 0.9, 0.004
 
 _BLANK = r"[ \x09-\x0D]+"
 _SYMBOLS = "#*$%&|<>"
-#: Positions take the low bits of a window's code (67 million words), its hash the rest.
+#: Positions take the low bits of a window's code, its hash the rest.
 _BITS = 26
 _MASK = (1 << _BITS) - 1
 
@@ -39,27 +39,38 @@ def with_words(docs: DataFrame, *more: str) -> DataFrame:
 def repeat_words(df: DataFrame) -> DataFrame:
     """Adds n_repeat_words: words inside 3-word windows that occur twice or more in the text.
 
-    Window codes are sorted; neighbours with equal hashes are compared word by word, so a hash collision does
-    not count.
+    Codes of a window's hash and place are sorted, and neighbours of equal hash compared word by word. Texts in which
+    two different windows share a hash, or whose places do not fit the code, have their windows sorted by their
+    words instead; so the result is exact for all.
     """
     three = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     code = lambda i: three(i).bitwiseAND(F.lit(~_MASK)).bitwiseOR(i.cast("long"))
     at = lambda x: x.bitwiseAND(F.lit(_MASK)).cast("int")
     n = F.size("w")
     small = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), code))
-    df = df.withColumn("_s", F.when(n >= 3, small).otherwise(F.array().cast("array<long>")))
+    df = df.withColumn("_s", F.when((n >= 3) & (n <= _MASK), small).otherwise(F.array().cast("array<long>")))
 
-    def same(x: Column, k: Column) -> Column:
-        y = F.get("_s", k)
+    def like_last(x: Column, k: Column) -> Column:
+        """0: other hash than the code before; 1: the same words; 2: the same hash, other words."""
+        y = F.get("_s", k - 1)
         words_equal = [F.get("w", at(x) + j) == F.get("w", at(y) + j) for j in range(3)]
-        return F.coalesce((F.shiftright(x, _BITS) == F.shiftright(y, _BITS)) & words_equal[0] & words_equal[1] & words_equal[2], F.lit(False))
-
-    df = df.withColumn("_d", F.filter("_s", lambda x, k: same(x, k - 1) | same(x, k + 1)))
+        other = (k == 0) | (F.shiftright(x, _BITS) != F.shiftright(y, _BITS))
+        return F.when(other, 0).when(words_equal[0] & words_equal[1] & words_equal[2], 1).otherwise(2).cast("byte")
+
+    df = df.withColumn("_k", F.transform("_s", like_last))
+    again = F.filter("_s", lambda x, k: (F.get("_k", k) == 1) | F.coalesce(F.get("_k", k + 1) == 1, F.lit(False)))
+    fast = F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.lit(_MASK))))
+
+    # windows by their words; each run of equal ones gives the places of all its windows if it has two or more
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(*(F.get("w", i + j).alias(f"w{j}") for j in range(3)), i.cast("long").alias("at"))))
+    same = lambda x, y: (x.w0 == y.w0) & (x.w1 == y.w1) & (x.w2 == y.w2)
+    df = df.withColumn("_x", F.when(F.array_contains("_k", F.lit(2).cast("byte")) | (n > _MASK), windows))
+    slow = F.filter("_x", lambda x, k: F.coalesce(same(x, F.get("_x", k - 1)), F.lit(False)) | F.coalesce(same(x, F.get("_x", k + 1)), F.lit(False)))
+    places = F.when(F.col("_x").isNotNull(), F.sort_array(F.transform(slow, lambda x: x.at))).otherwise(fast)
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(-3).cast("long").alias("last"))
     step = lambda acc, p: F.struct((acc.total + F.least(F.lit(3).cast("long"), p - acc.last)).alias("total"), p.alias("last"))
-    covered = F.aggregate(F.sort_array(F.transform("_d", lambda x: x.bitwiseAND(F.lit(_MASK)))), start, step, lambda acc: acc.total)
-    df = df.withColumn("n_repeat_words", covered)
-    return df.drop("_s", "_d")
+    df = df.withColumn("n_repeat_words", F.aggregate(places, start, step, lambda acc: acc.total))
+    return df.drop("_s", "_k", "_x")
 
 
 def base_columns(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LETTERS = mix(np.arange(1, 257, dtype=U64) * U64(0xD6E8FEB86659FD93)) | U64(1)
-_LOWERED = _LETTERS.copy()
-_LOWERED[65:91] = _LETTERS[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Low 8 * k bits, for k bytes that are left of a block.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U64)
+#: Strings of more bytes are hashed one at a time.
+_BLOCKS = 8
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: dict[str, np.ndarray] = {}
@@ -49,11 +54,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def prefix_sums(data: np.ndarray, lower: bool) -> np.ndarray:
-    """P with P[i] = sum of letter(data[j]) * BASE**j for j < i, so that substrings hash in O(1)."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """P with P[i] = sum of letter(data[j]) * BASE**j for j < i, so that substrings hash in O(1).
+
+    Modulo 2**64 such sums have structural collisions on long strings: use them to group windows, never to tell
+    contents apart (`block_hashes` and `digests` do that).
+    """
     out = np.zeros(len(data) + 1, U64)
     if len(data):
-        np.cumsum((_LOWERED if lower else _LETTERS)[data] * powers(len(data))[0], out=out[1:])
+        np.cumsum(_LETTERS[data] * powers(len(data))[0], out=out[1:])
     return out
 
 
@@ -65,13 +74,33 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA0761D6478BD642F))
 
 
-def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that are not white space (0x20, 0x09-0x0D)."""
-    solid = np.empty(len(data) + 2, bool)
-    solid[0] = solid[-1] = False
-    np.logical_not(SPACE[data], out=solid[1:-1])
-    turns = np.flatnonzero(solid[1:] != solid[:-1])
-    return turns[::2], turns[1::2]
+def block_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], chained over eight-byte blocks by a non-linear step.
+
+    All strings advance by one block a round; strings of more than 64 bytes go through BLAKE2b.
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix((size.astype(U64) + U64(1)) * BASE)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # eight bytes from every place on
+    at = np.flatnonzero((size > 0) & (size <= 8 * _BLOCKS))
+    for k in range(_BLOCKS):
+        if not len(at):
+            break
+        left = size[at] - 8 * k
+        out[at] = mix((out[at] + U64(k)) ^ (blocks[starts[at] + 8 * k] & _MASKS[np.minimum(left, 8)]))
+        at = at[left > 8]
+    for k in np.flatnonzero(size > 8 * _BLOCKS).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit cryptographic digests of data[start:end], as rows of two 64-bit numbers."""
+    raw, blake = data.tobytes(), hashlib.blake2b
+    parts = [blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), U64).reshape(-1, 2)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -107,4 +136,4 @@ def word_table(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     first[cuts] = solid[cuts]
     last[cuts - 1] = solid[cuts - 1]
     starts = np.flatnonzero(first)
-    return span_hashes(prefix_sums(data, True), starts, np.flatnonzero(last) + 1), np.searchsorted(starts, offsets, "left")
+    return block_hashes(_LOWER[data], starts, np.flatnonzero(last) + 1), np.searchsorted(starts, offsets, "left")

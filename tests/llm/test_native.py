@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 from marlspar.llm import chat, packing, rules, urlrules
 
@@ -29,6 +30,14 @@ def test_base_statistics_against_plain_python(spark):
         assert row.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+def test_windows_of_one_hash_and_other_words(spark):
+    """Windows A, B, A share the leading bits of their hashes; both of A still count."""
+    text = "k880571 x y f1 f2 f3 k3187836 x y g1 g2 g3 k880571 x y e1 e2"
+    rows = [(1, text), (2, text.replace("k3187836", "other")), (3, "a b c " * 30 + text), (4, None), (5, "a b"), (6, "a b c a b c")]
+    got = {x.doc_id: x.n_repeat_words for x in rules.base_columns(rules.with_words(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: 6, 2: 6, 3: 96, 4: 0, 5: 0, 6: 6}
+
+
 def test_covering_finds_thresholds_and_keeps_the_rest():
     r = random.Random(5)
     rows = [([x := r.random(), y := r.random()], x > 0.8 and y < 0.5) for _ in range(2000)]
@@ -113,14 +122,49 @@ def test_best_fit_and_its_tree():
             ref.add(key)
         size = r.randint(0, 320)
         assert tree.tightest(size) == min((x for x in ref if x[0] >= size), default=None)
-    placed = packing.best_fit_decreasing([(5, "a"), (4, "b"), (3, "c"), (6, "d"), (2, "e"), (20, "f")], 10)
-    assert placed["f"] != placed["d"] and placed["d"] == placed["b"]
-    items = [(r.randint(1, 500), str(k)) for k in range(1500)]
+    sizes = [r.randint(1, 40) ** 2 for k in range(1500)] + [5000, 5000]
+    for capacity, at_most in ((1700, None), (4000, None), (60_000, 20), (60_000, 2)):
+        got = packing.best_fit_decreasing([*Counter(sizes).items()], capacity, at_most)
+        want = plain_best_fit(sizes, capacity, at_most)
+        assert (got is None) == (want is None)
+        if got is not None:
+            mine = Counter()
+            for size, into, n in got:
+                mine[size, into] += n
+            assert mine == Counter(want)
     sums = [0] * 8
-    where = packing.least_capacity(items, 8)
-    for size, key in items:
-        sums[where[key]] += size
-    assert max(sums) - min(sums) < 0.01 * max(sums)
+    for size, into, n in packing.least_capacity([*Counter(sizes).items()], 8):
+        sums[into] += size * n
+    assert sum(sums) == sum(sizes) and max(sums) - min(sums) < 0.01 * max(sums)
+    assert packing.best_fit_decreasing([], 10) == []
+
+
+def plain_best_fit(sizes, capacity, at_most):
+    """(size, bin) of every item, one at a time: the fullest bin that still holds it, the first of equal ones."""
+    left, out = [], []
+    for size in sorted(sizes, reverse=True):
+        fits = [(x, k) for k, x in enumerate(left) if x >= size]
+        if fits:
+            k = min(fits)[1]
+        elif at_most is not None and len(left) >= at_most:
+            return None
+        else:
+            left.append(max(capacity, size))
+            k = len(left) - 1
+        left[k] -= size
+        out.append((size, k))
+    return out
+
+
+def test_groups_of_one_size_are_dealt_whole(spark):
+    rows = [(k, f"{k % 90:04d}" + "x" * 96) for k in range(400)] + [(1000 + k, "y" * (k * 7 % 50)) for k in range(120)]
+    got = packing.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3).collect()
+    groups, sums = {}, Counter()
+    for x in got:
+        groups.setdefault(x.group_key, set()).add(x.shard)
+        sums[x.shard] += x.size
+    assert len(got) == len(rows) and all(len(v) == 1 for v in groups.values())
+    assert max(sums.values()) - min(sums.values()) <= 5 * 104  # the largest group
 
 
 def test_shards(spark):
