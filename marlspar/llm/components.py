@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,8 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(2):
             onward = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
             step = step.join(onward, "label").select("id", "old", F.least("label", "next").alias("label"))
-        step = stored(step, "labels")
+        step, last = stored(step, "labels"), labels
         moved = step.where("label < old").limit(1).count()
         labels = step.select("id", "label")
+        dropped(last)
         if not moved:
+            dropped(both)
             return labels

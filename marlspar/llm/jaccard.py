@@ -1,26 +1,29 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
-A document is the set of its word 3-gram hashes. Two sets whose overlap reaches the threshold share at least k of
+A document is the set of its word n-gram hashes. Two sets whose overlap reaches the threshold share at least k of
 the first n - ceil(threshold * n) + k tokens of ANY order that all sets follow; once both sizes n and m are
-known, of the first n - least + k, where least = ceil(threshold * (n + m) / (1 + threshold)). Two orders are used (rare tokens
-first by a shared frequency sketch, ties broken by two different hashes). The first order's prefixes find the
-candidates; a candidate's sets are compared only if they share k prefix tokens under the second order too.
+known, of the first n - least + k, where least = ceil(threshold * (n + m) / (1 + threshold)). Three orders are used (rare
+tokens first by a shared frequency sketch, ties broken by different hashes). The first order's prefixes find the
+candidates; the prefixes of the other orders, as 32-bit marks, are brought together for candidates only, and a pair's
+whole sets only if it shares k prefix tokens under every order.
 
 Sets that are equal are one class from the start. Links are then found in two steps that never list the pairs of
 a group: (1) in each of some rounds, each set is compared with one hub of another component, the most central set
-of a bucket that it shares most tokens with; what is verified joins into components; (2) the pairs that are left are those of different components
-in one bucket, and all of them that pass both filters are verified. No link between components is lost; links
-inside one cannot change the components.
+of a bucket that it shares most prefix tokens with, if it shares enough; what is verified joins into components, and
+tokens all of whose sets are in one component are left out of what follows; (2) the pairs that are left are those of
+different components that share enough prefix tokens, and all of them are verified. No link between components is
+lost; links inside one cannot change the components.
 
 The number of links is counted afterwards: where a component's known links are fewer than its pairs, its sets are
 dealt into blocks, and the overlaps of all pairs of two blocks are counted at once, token by token.
 
-Hashes have 64 bits (a pair is misjudged by a collision with probability about 2**-44). The sketch is a fixed
-table (256 KB) and only sorts tokens; it cannot change results.
+Words and shingles are 64-bit hashes by non-linear steps, sets are told apart by 128 bits; only random collisions
+can misjudge. The sketch is a fixed table (256 KB) and only sorts tokens; it cannot change results.
 
 Cases: null texts and texts without words have an empty set and link with nothing; texts of one or two words are
-one token; ties are ordered by hash; repeated rows are copies; an empty table gives no rows; only doc_id and
-text are read, so extra columns cannot clash. doc_id must not name two different texts.
+one token; ties are ordered by hash; repeated rows are copies; a row whose doc_id is null links with nothing, has a
+null component_id and stays in `deduplicate`; an empty table gives no rows; only doc_id and text are read, so extra
+columns cannot clash. doc_id must not name two different texts.
 """
 
 from __future__ import annotations
@@ -30,12 +33,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .scan import U64, mix, text_slices, word_table
-from .shared import prepare, stored
+from .shared import IdRanges, dropped, prepare, stored
 
 #: Shared prefix tokens that a pair must have under each order (fewer for tiny sets).
 SHARED = 3
@@ -51,7 +54,9 @@ BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 19
 _COLUMNS, _PAIRS = 2048, 1 << 21
 #: Prefix rows that a task packs at a time.
 _FLUSH_ROWS = 400_000
-_SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03))
+#: Classes of over 1/HOT of all rows (so fewer than HOT) are broadcast: their copies would meet in one task.
+HOT = 4096
+_SEEDS = (U64(0x8CB92BA72F3D8DD7), U64(0xABC98388FB8FAC03), U64(0xD1342543DE82EF95))
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -68,10 +73,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[
             np.not_equal(own[1:], own[:-1], out=new[1:])
             yield own if new.all() else own[new]
         elif b > a:
-            one = U64(b - a)
-            for x in h[a:b]:
-                one = mix(np.array([one * U64(0x9E3779B97F4A7C15) + x]))[0]
-            yield np.array([one], U64)
+            one = np.array([b - a], U64)
+            for k in range(a, b):
+                one = mix(one * U64(0x9E3779B97F4A7C15) + h[k : k + 1])
+            yield one
         else:
             yield np.empty(0, U64)
 
@@ -96,10 +101,6 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray, percent: int, order: int) ->
     return tokens[first[np.argsort(key[first])]]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
-
-
 def _profile(width: int):
     """Rows of documents (n, two fingerprints of the set) and, at a task's end, its slices of the sketch."""
 
@@ -111,12 +112,12 @@ def _profile(width: int):
                 n, f1, f2, some = [], [], [], []
                 for s in shingle_sets(data, offsets, width):
                     n.append(len(s))
-                    f1.append(mix(s ^ _SEEDS[0]).sum(dtype=U64))
-                    f2.append(mix(s + _SEEDS[1]).sum(dtype=U64))
+                    for to, x in zip((f1, f2), fingerprint(s), strict=True):
+                        to.append(x)
                     some.append(s)
                 counts += np.bincount((np.concatenate(some) >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
                 blank = pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())
-                columns = [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), _signed(np.array(f1, U64)), _signed(np.array(f2, U64)), *blank]
+                columns = [batch.column("doc_id")[lo:hi], pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), *blank]
                 yield pa.RecordBatch.from_arrays(columns, names)
         parts = [(k, p) for k, p in enumerate(np.split(counts, SLICES)) if p.any()]
         blank = [pa.nulls(len(parts), pa.int64())] * 4
@@ -141,20 +142,28 @@ def _sketch(profile: DataFrame) -> np.ndarray:
 
 
 def _pack(token: np.ndarray, ids: np.ndarray, n: np.ndarray, pos: np.ndarray) -> bytes:
-    """Rows by column: the codec of the shuffle then finds the short numbers' zeros."""
-    return token.astype("<u8").tobytes() + ids.astype("<i8").tobytes() + n.astype("<i4").tobytes() + pos.astype("<i4").tobytes()
+    """Rows by column: the codec of the shuffle then finds the short numbers' zeros. Of a token 32 bits go.
+
+    In a bucket equal tokens have equal marks; different ones may, which only adds candidates.
+    """
+    return (token >> U64(32)).astype("<u4").tobytes() + ids.astype("<i8").tobytes() + n.astype("<i4").tobytes() + pos.astype("<i4").tobytes()
 
 
 def _unpack(blobs) -> tuple[np.ndarray, ...]:
     parts = []
     for blob in blobs:
-        k = len(blob) // 24
-        parts.append((np.frombuffer(blob, "<u8", k), np.frombuffer(blob, "<i8", k, 8 * k), np.frombuffer(blob, "<i4", k, 16 * k), np.frombuffer(blob, "<i4", k, 20 * k)))
+        k = len(blob) // 20
+        parts.append((np.frombuffer(blob, "<u4", k), np.frombuffer(blob, "<i8", k, 4 * k), np.frombuffer(blob, "<i4", k, 12 * k), np.frombuffer(blob, "<i4", k, 16 * k)))
     return tuple(np.concatenate([p[j] for p in parts]) for j in range(4))
 
 
-def _prefix_rows(width: int, percent: int, sketch, buckets: int):
-    """(bucket, rows): prefix tokens of the first order, packed by hash bucket."""
+def fingerprint(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums that tell sets apart, as signed numbers."""
+    return tuple(int(mix(x).sum(dtype=U64).view(np.int64)) for x in (s ^ _SEEDS[0], s + _SEEDS[1]))
+
+
+def _prefix_rows(width: int, percent: int, sketch, buckets: int, hot):
+    """(bucket, rows): prefix tokens of the first order, packed by hash bucket; of hot classes one document's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = sketch.value
@@ -175,7 +184,7 @@ def _prefix_rows(width: int, percent: int, sketch, buckets: int):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, _, data, offsets in text_slices(batch, size=_STEP_BYTES):
                 for k, s in enumerate(shingle_sets(data, offsets, width)):
-                    if len(s):
+                    if len(s) and not (hot.value and hot.value.get((len(s), *fingerprint(s)), ids[lo + k]) != ids[lo + k]):
                         kept.append((prefix(s, table, percent, 0), int(ids[lo + k]), len(s)))
                         size += len(kept[-1][0])
                 if size > _FLUSH_ROWS:
@@ -190,6 +199,7 @@ def _prefix_rows(width: int, percent: int, sketch, buckets: int):
 def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
     """The rows of one bucket whose token stands in two sets or more."""
     token, ids, n, pos = _unpack(pdf["rows"])
+    token = token.astype(U64) | U64(int(pdf["bucket"].iloc[0])) << U64(32)
     order = np.argsort(token, kind="stable")
     token = token[order]
     same = token[1:] == token[:-1]
@@ -200,17 +210,28 @@ def _shared_tokens(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": token[keep].view(np.int64), "id": ids[order], "n": n[order], "pos": pos[order]})
 
 
-def _sets(width: int, wanted):
-    """(id, tokens) of the documents that the filter may hold."""
+def _sets(width: int, wanted, sketch=None, percent: int = 0):
+    """(id, tokens) of the documents that the filter may hold, once a task; with a sketch (id, n, marks) instead.
+
+    Marks are 32 bits of the prefix tokens under every order but the first, one order after another: a filter, as equal
+    tokens have equal marks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").view(bool)
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            own = batch.filter(pa.array(bits[_filter_slot(ids)]))
+            take = np.flatnonzero(bits[_filter_slot(ids)]).tolist()
+            take = [k for k in take if (i := int(ids[k])) not in seen and not seen.add(i)]  # type: ignore[func-returns-value]
+            own = batch.take(pa.array(take, pa.int64()))
             for lo, hi, data, offsets in text_slices(own, size=_STEP_BYTES):
-                blobs = [s.tobytes() for s in shingle_sets(data, offsets, width)]
-                yield pa.RecordBatch.from_arrays([own.column("doc_id")[lo:hi], pa.array(blobs, pa.binary())], ["id", "tokens"])
+                sets = [*shingle_sets(data, offsets, width)]
+                if sketch is None:
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id")[lo:hi], pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "tokens"])
+                    continue
+                marks = [b"".join((prefix(s, sketch.value, percent, k) >> U64(32)).astype("<u4").tobytes() for k in range(1, len(_SEEDS))) if len(s) else b"" for s in sets]
+                yield pa.RecordBatch.from_arrays([own.column("doc_id")[lo:hi], pa.array([len(s) for s in sets], pa.int32()), pa.array(marks, pa.binary())], ["id", "n", "marks"])
 
     return run
 
@@ -243,43 +264,57 @@ def _id_filter(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def _verify(percent: int, sketch):
-    """Pairs that share enough prefix tokens under every order, then reach the threshold.
+def _all_orders(percent: int):
+    """Pairs that share enough prefix tokens under each of the other orders."""
 
-    The second order goes first, as the first one made the candidates; rows come sorted by b, whose prefixes are kept.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+                least = overlap(n, m, percent)
+                need, ok = min(SHARED, least), 100 * min(n, m) >= percent * max(n, m)
+                if ok:
+                    s, t = (np.frombuffer(v.as_buffer(), "<u4").reshape(len(_SEEDS) - 1, -1) for v in (x, y))
+                    # marks may meet by chance, tokens that are equal always do
+                    ok = all(np.isin(p[: n - least + need], q[: m - least + need]).sum() >= need for p, q in zip(s, t, strict=True))
+                keep.append(bool(ok))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _verify(percent: int):
+    """Pairs that reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, last, known = sketch.value, None, {}
         for batch in batches:
             keep = []
-            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("x"), batch.column("y"), strict=True):
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if b != last:
-                    last, known = b, {}
-                least = overlap(len(s), len(t), percent)
-                need = min(SHARED, least)
-                ok = 100 * min(len(s), len(t)) >= percent * max(len(s), len(t))
-                for k in reversed(range(len(_SEEDS))) if ok else ():
-                    if k not in known:
-                        known[k] = prefix(t, table, percent, k)
-                    ok = len(np.intersect1d(prefix(s, table, percent, k)[: len(s) - least + need], known[k][: len(t) - least + need], assume_unique=True)) >= need
-                    if not ok:
-                        break
-                both = len(np.intersect1d(s, t, assume_unique=True)) if ok else 0
-                keep.append(ok and 100 * both >= percent * (len(s) + len(t) - both))
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, sketch) -> DataFrame:
-    """The pairs (a, b) that pass; sets are made again, only for documents in pairs, and shuffled once."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))  # 1 MB
-    sets = docs.mapInArrow(_sets(width, wanted), "id long, tokens binary")
-    rows = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b")
-    return stored(rows.select("a", "b", "x", "y").mapInArrow(_verify(percent, sketch), "a long, b long").distinct(), "links")
+    """The pairs (a, b) that pass all filters and the threshold; prefixes and sets are made for documents in pairs only."""
+    spark = docs.sparkSession
+
+    def sides(pairs: DataFrame, schema: str, *more) -> list[DataFrame]:
+        out = []
+        for c in "ab":
+            wanted = spark.sparkContext.broadcast(_id_filter(pairs.select(F.col(c).alias("id")).distinct()))  # 1 MB
+            out.append(docs.mapInArrow(_sets(width, wanted, *more), schema).withColumnRenamed("id", c))
+        return out
+
+    a, b = sides(pairs, "id long, n int, marks binary", sketch, percent)
+    rows = pairs.join(a.select("a", F.col("n").alias("na"), F.col("marks").alias("x")), "a").join(b.select("b", F.col("n").alias("nb"), F.col("marks").alias("y")), "b")
+    left = stored(rows.select("a", "b", "na", "nb", "x", "y").mapInArrow(_all_orders(percent), "a long, b long").distinct(), "filtered")
+    a, b = sides(left, "id long, tokens binary")
+    rows = left.join(a.select("a", F.col("tokens").alias("x")), "a").join(b.select("b", F.col("tokens").alias("y")), "b")
+    return stored(rows.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
 
 
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -369,6 +404,29 @@ def _all_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, links: Da
     return stored(known.union(counted).groupBy(F.col("id").alias("rep")).agg(F.sum("k").alias("n_links")), "degrees")
 
 
+def _candidates(left: DataFrame, right: DataFrame, on: list[str], percent: int, differ: Column) -> DataFrame:
+    """(a, b, shared): pairs that share enough tokens of the first order's prefixes, as far as these rows tell.
+
+    A pair's own least overlap bounds both prefixes more tightly than any partner's. Rows are (token, id, n, pos, label).
+    """
+    left = left.select(*on, F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"))
+    right = right.select(*on, F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"))
+    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    need = F.least(F.lit(SHARED), least)
+    fits = differ & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    fits &= (F.col("pa") < F.col("na") - least + need) & (F.col("pb") < F.col("nb") - least + need)
+    pairs = left.join(right, on).where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.where(F.col("shared") >= need).select("a", "b", "shared")
+
+
+def _mixed(tokens: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows, labelled by component, of tokens that stand in two components or more."""
+    member = tokens.drop("label")
+    member = member.withColumn("label", F.col("id")) if groups is None else member.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    return stored(member.join(several, "token"), "mixed")
+
+
 def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links.
 
@@ -380,56 +438,56 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = Tru
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     profile = stored(docs.mapInArrow(_profile(width), "doc_id long, n long, f1 long, f2 long, slice int, counts binary"), "profile")
     rows = profile.where("slice is null").select("doc_id", "n", "f1", "f2")
-    classes = stored(rows.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+    docs = docs.where("doc_id is not null")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
+    classes = stored(classes, "classes")
+    total = classes.agg(F.sum("rows")).first()[0] or 0
+    is_hot = F.col("rows") * HOT > total
+    hot = spark.sparkContext.broadcast({(r["n"], r["f1"], r["f2"]): r["rep"] for r in classes.where(is_hot & (F.col("rows") > 1)).collect()})  # fewer than HOT
     sketch = spark.sparkContext.broadcast(_sketch(profile))
 
     # about as many buckets as input partitions, so that a bucket's size does not grow
     buckets = max(8, 2 * docs.rdd.getNumPartitions())
-    packed = docs.mapInArrow(_prefix_rows(width, percent, sketch, buckets), "bucket int, rows binary")
+    packed = docs.mapInArrow(_prefix_rows(width, percent, sketch, buckets, hot), "bucket int, rows binary")
     tokens = packed.groupBy("bucket").applyInPandas(_shared_tokens, "token long, id long, n int, pos int")
     tokens = tokens.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     # sets of a link differ in size by one length class at most
     tokens = tokens.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) if percent < 100 else 1.0)))
     tokens = stored(tokens, "tokens")
-    crowd = tokens.groupBy("token", "size_class").agg(F.count(F.lit(1)).alias("m"))
-    central = stored(tokens.join(crowd, ["token", "size_class"]).groupBy("id").agg(F.sum("m").alias("central")), "central")
-    tokens = stored(tokens.join(central, "id"), "tokens")
+    crowd = tokens.groupBy("token", "size_class").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    central = tokens.join(crowd, ["token", "size_class"]).groupBy("id").agg(F.sum("m").alias("central"))
+    tokens, old = stored(tokens.join(central, "id", "left").fillna(0, ["central"]), "tokens"), tokens
+    dropped(old)
+    tokens, old = _mixed(tokens, None), tokens
+    dropped(old)
 
     # (1) star rounds: each set against one hub of another component, the most central one of its buckets
     links = groups = None
     for turn in range(ROUNDS):
-        member = tokens.withColumn("label", F.col("id")) if groups is None else tokens.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # later rounds look at another part of the sets first
         order = F.struct(F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(1 + 3 * min(turn, 1))) == 0, "central", -F.col("id"))
-        hubs = member.groupBy("token", "size_class").agg(F.max_by(F.struct("id", "label"), order).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        stars = member.join(hubs.select("token", "size_class", F.col("hub.id").alias("b"), F.col("hub.label").alias("hub_label")), ["token", "size_class"]).where("label <> hub_label")
-        stars = stars.groupBy("id", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("central").alias("central"))
-        stars = stored(stars.groupBy("id").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")).select(F.col("id").alias("a"), "b"), "stars")
-        if not stars.limit(1).count():
+        hubs = tokens.groupBy("token", "size_class").agg(F.max_by(F.struct("id", "n", "pos", "label"), order).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        hubs = hubs.where("lo < hi").select("token", "size_class", "hub.*")
+        stars = _candidates(tokens, hubs, ["token", "size_class"], percent, F.col("a") != F.col("b"))
+        stars = stored(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")), "stars")
+        asked = stars.count()
+        if not asked:
             break
         found = _verified(docs, stars, width, percent, sketch)
         links = found if links is None else links.union(found)
         groups = components(links)
-        if 10 * found.count() < stars.count():  # hubs have little left to link: list what remains
+        tokens, old = _mixed(tokens, groups), tokens
+        dropped(old)
+        if 10 * found.count() < asked:  # hubs have little left to link: list what remains
             break
 
-    # (2) all pairs of different groups that share a bucket
-    member = tokens.withColumn("label", F.col("id")) if groups is None else tokens.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    member = stored(member.join(mixed, "token"), "members")
-    left = member.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"), F.col("size_class").alias("sa"))
-    right = member.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), F.col("size_class").alias("sb"))
-    # a pair's own least overlap bounds both prefixes more tightly than any partner's
-    least = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    need = F.least(F.lit(SHARED), least)
-    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    fits &= (F.col("pa") < F.col("na") - least + need) & (F.col("pb") < F.col("nb") - least + need)
-    pairs = left.join(right, "token").where(fits).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = stored(pairs.where(F.col("shared") >= need).select("a", "b"), "pairs")
+    # (2) all pairs of different groups that share enough prefix tokens
+    pairs = stored(_candidates(tokens, tokens, ["token"], percent, F.col("a") < F.col("b")).select("a", "b"), "pairs")
     if pairs.limit(1).count():
         more = _verified(docs, pairs, width, percent, sketch)
         links = more if links is None else links.union(more)
         groups = components(links)
+    dropped(tokens)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
         groups = spark.createDataFrame([], "id long, label long")
@@ -438,15 +496,36 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = Tru
     if counted:
         labels = labels.join(_all_links(docs, classes, groups, links, width, percent), "rep", "left")
     columns = ["n_links"] if counted else []
-    labels = stored(labels.select("n", "f1", "f2", "component_id", *columns), "labels")
-    out = rows.join(labels, ["n", "f1", "f2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
+    labels = stored(labels.select("n", "f1", "f2", "rows", "component_id", *columns), "labels")
+    key, common = ["n", "f1", "f2"], is_hot & (F.col("rows") > 1)
+    # rows without words or id meet no label; copies of hot classes meet theirs by broadcast, as one task could not hold them
+    empty = rows.where("n = 0 or doc_id is null").select("*", F.when(F.col("n") == 0, F.col("doc_id")).alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in columns))
+    rest = rows.where("n > 0 and doc_id is not null")
+    few = F.broadcast(labels.where(common).drop("rows"))  # fewer than HOT rows
+    out = rest.join(few, key).unionByName(rest.join(few, key, "left_anti").join(labels.where(~common).drop("rows"), key)).unionByName(empty)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in columns))
 
 
 def deduplicate(docs: DataFrame, percent: int = 90, width: int = 3) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, in its own columns; of repeated rows one."""
-    heads = link(docs, percent, width, False).where("component_id = doc_id")
-    heads = stored(heads.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "heads")
-    # only texts of repeated rows are shuffled to find one of them
-    once, more = (docs.join(heads.where(c).select("doc_id"), "doc_id", "left_semi").select(docs.columns) for c in ("rows = 1", "rows > 1"))
+    """One document of each component, the one with the smallest doc_id, in its own columns; of repeated rows one.
+
+    Rows without a doc_id stay. Texts are filtered where they are read, by sorted arrays of the ids to drop (`IdRanges`);
+    only texts of repeated rows are shuffled to find one of them.
+    """
+    rows = stored(link(docs, percent, width, False).where("doc_id is not null").select("doc_id", (F.col("component_id") != F.col("doc_id")).alias("copy")), "copies")
+    again = stored(rows.where("not copy").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "again")
+    out = rows.where("copy").select("doc_id").union(again)
+    drop = IdRanges.write(out.distinct())
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            some = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(~drop.holds(some) | ids.is_null().to_numpy(zero_copy_only=False)))
+
+    once = docs.mapInArrow(run, schema)
+    if not again.limit(1).count():
+        return once
+    more = docs.join(again, "doc_id", "left_semi").select(docs.columns)
     return once.union(more.dropDuplicates(["doc_id"]))

@@ -7,6 +7,9 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 REPO = str(Path(__file__).resolve().parents[2])
@@ -33,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
+    if root is None and not current.isDefined() and not (sc.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if root is None:
         root = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="marlspar-shared-")
     if not current.isDefined():
@@ -53,6 +58,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the folder of a table made by `stored` that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def remove(spark: SparkSession, uri: str) -> None:
     """Delete a folder of the shared store through Hadoop's file system."""
     jvm = spark.sparkContext._jvm
@@ -60,6 +71,54 @@ def remove(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class IdRanges:
+    """A set of ids as sorted arrays of ranges in the shared folder; a task maps the ranges that its ids fall into.
+
+    Where ids follow the order of the input's files, a task reads a share of the set that does not grow with it.
+    """
+
+    #: Ids of one range.
+    RANGE = 1 << 20
+
+    def __init__(self, folder: str, starts: list[tuple[int, int]]):
+        self.folder, self.starts = folder, sorted(starts)
+        self._maps: dict[int, np.ndarray] = {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "starts": self.starts, "_maps": {}}
+
+    @classmethod
+    def write(cls, ids: DataFrame) -> IdRanges:
+        """ids: one column of distinct 64-bit numbers. One row for each range (number, first id) comes back."""
+        spark, folder, name = ids.sparkSession, scratch(ids.sparkSession, "ids"), ids.columns[0]
+
+        def run(batches):
+            kept = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
+            own = np.sort(np.concatenate(kept)) if kept else np.empty(0, np.int64)
+            if len(own):
+                number = TaskContext.get().partitionId()
+                put_bytes(folder, f"{number}.ids", own.astype("<i8").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array(own[:1], pa.int64())], ["number", "first"])
+
+        ranges = max(1, -(-ids.count() // cls.RANGE))
+        rows = ids.repartitionByRange(ranges, name).mapInArrow(run, "number long, first long").collect()
+        return cls(folder, [(r["first"], r["number"]) for r in rows])
+
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        """Which ids are in the set."""
+        out = np.zeros(len(ids), bool)
+        if not self.starts or not len(ids):
+            return out
+        which = np.searchsorted(np.array([s for s, _ in self.starts], np.int64), ids, "right") - 1
+        for k in np.unique(which[which >= 0]).tolist():
+            if k not in self._maps:
+                self._maps[k] = np.frombuffer(map_file(self.folder, f"{self.starts[k][1]}.ids"), "<i8")
+            at = np.flatnonzero(which == k)
+            place = np.minimum(np.searchsorted(self._maps[k], ids[at]), len(self._maps[k]) - 1)
+            out[at] = self._maps[k][place] == ids[at]
+        return out
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or a plain path; None for other stores."""
     if uri.startswith("file:"):

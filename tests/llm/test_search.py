@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from marlspar.llm import decontam, jaccard, kneser_ney, suffixes
+from marlspar.llm import decontam, jaccard, kneser_ney, shared, suffixes
 from marlspar.llm.components import components
 from marlspar.llm.induced import InducedSorter
 
@@ -59,6 +59,54 @@ def test_leaks_within_the_budget(spark):
     assert decontam.leaks(d.limit(0), i).count() == 0 and decontam.leaks(d, i.limit(0)).count() == 0
 
 
+def closest(item, text):
+    """(edits, end) of the passage of the text with the least edit distance to the item, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for k, a in enumerate(item, 1):
+        new = [k]
+        for j, b in enumerate(text, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min((e, j) for j, e in enumerate(row))
+
+
+def test_leaks_against_the_edit_distance(spark):
+    """All pairs by the plain table; found passages have the edits that they are said to have."""
+    r = random.Random(77)
+    letters = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n)).strip() or "a"
+    items = [(k, letters(r.randint(10, 120))) for k in range(25)] + [(50, "QxQ"), (51, "x"), (52, "zz yy"), (53, "abcdefghi")]
+    texts = []
+    for k in range(50):
+        m = r.choice(items)[1]
+        texts.append((k, letters(40) + " " + edited(r, m, r.randint(0, max(1, len(m) // 14))) + " " + letters(r.randint(0, 40))))
+    texts += [(60, "qxq"), (61, "aqxq"), (62, "(qXq), zz\nyy!"), (63, "x-ray"), (64, "xx"), (65, "é" + "x"), (66, None), (67, "")]
+    d, i = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = decontam.leaks(d, i).collect()
+    plain = lambda t: decontam.characters((t or "").encode()).tolist()
+    want = set()
+    for k, t in texts:
+        for n, m in items:
+            x, y = plain(m), plain(t)
+            if len(x) >= decontam.Q:
+                if closest(x, y)[0] <= decontam.budget(len(x)):
+                    want.add((k, n))
+            elif any(y[j : j + len(x)] == x and not any(chr(c).isalnum() for c in (*y[max(0, j - 1) : j], *y[j + len(x) : j + len(x) + 1])) for j in range(len(y))):
+                want.add((k, n))
+    assert {(x.doc_id, x.item_id) for x in got} == want
+    by_doc, by_item = dict(texts), dict(items)
+    for x in got:
+        passage = plain(by_doc[x.doc_id])[x.start_char : x.end_char]
+        item = plain(by_item[x.item_id])
+        row = [*range(len(passage) + 1)]
+        for k, a in enumerate(item, 1):
+            new = [k]
+            for j, b in enumerate(passage, 1):
+                new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+            row = new
+        assert row[-1] == x.edits
+    assert decontam.clean(d, i).count() == len(texts) - len({k for k, _ in want})
+
+
 def brute_components(texts, percent, width):
     sets = {}
     for k, t in texts:
@@ -126,6 +174,66 @@ def test_jaccard_links_inside_components(spark, monkeypatch, block):
     assert max(want.values()) == 39 and {x.doc_id: x.n_links for x in got.collect()} == want
 
 
+def thue_morse(n):
+    """A word and its complement, which polynomial hashes modulo 2**64 take for one from 1,024 letters on."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_are_told_apart(spark):
+    one, two = thue_morse(2048)
+    texts = [(0, one), (3, two), (4, f"{one} x y z"), (5, f"{two} x y z"), (6, one.upper())]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in jaccard.link(df).collect()} == {0: 0, 3: 3, 4: 4, 5: 5, 6: 0}
+    held = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2]
+    free = [k for k in range(40) if k not in held]
+    df = spark.createDataFrame([(free[0], one), (held[0], two), (held[1], one)], "doc_id long, text string")
+    got = {x.doc_id: x.n_known for x in kneser_ney.score(df, kneser_ney.train(df)).collect()}
+    assert got == {free[0]: 2, held[0]: 1, held[1]: 2}
+
+
+def test_null_and_large_ids(spark):
+    """A null doc_id beside ids that doubles cannot tell apart, in one batch."""
+    r, big = random.Random(31), 2**53
+    text, other = prose(r, 60), prose(r, 60, 3000)
+    rows = [(big, text), (big + 1, text), (None, text), (None, other), (1, other), (big + 3, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted(((x.doc_id is None, x.doc_id), x.component_id, x.n_links) for x in jaccard.link(df, 90, 3).collect() if x.doc_id is not None)
+    assert [g[1] for g in got] == [1, big, big, big + 3]
+    assert all(x.component_id is None for x in jaccard.link(df).collect() if x.doc_id is None)
+    kept = [x.doc_id for x in jaccard.deduplicate(df, 80, 5).collect()]
+    assert sorted(k for k in kept if k is not None) == [1, big, big + 3] and kept.count(None) == 3
+    got = [(x.doc_id, x.n_bytes, x.n_removed) for x in suffixes.deduplicate(df).collect()]
+    size, own = len(text.encode()), len(other.encode())
+    assert sorted(got, key=str) == sorted([(big, size, 0), (big + 1, size, size), (None, size, 0), (None, own, 0), (1, own, 0), (big + 3, 0, 0), (None, 0, 0)], key=str)
+    assert sorted(str(x.doc_id) for x in suffixes.rewrite(df).collect()) == sorted(str(k) for k, _ in rows if k != big + 1)
+    item = spark.createDataFrame([(5, text[10:200]), (6, None)], "item_id long, text string")
+    assert sorted(str(x.doc_id) for x in decontam.leaks(df, item).collect()) == sorted(["None", str(big), str(big + 1)])
+    assert decontam.clean(df, item).count() == 4
+    scores = kneser_ney.score(df, kneser_ney.train(df)).collect()
+    assert len(scores) == len(rows) and {x.doc_id for x in scores} == {k for k, _ in rows}
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_hot_copies_and_hot_links(spark, order):
+    """A third of all rows are copies of one text, another third links with it."""
+    base = [f"w{k}" for k in range(60)]
+    texts = [(order * k, " ".join(base)) for k in range(60)] + [(order * (100 + k), " ".join([*base, f"x{k}"])) for k in range(60)] + [(order * (300 + k), prose(random.Random(k), 40, 3000)) for k in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    want = brute_components(texts, 90, 3)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.link(df).collect()} == want
+    assert sorted(x.doc_id for x in jaccard.deduplicate(df, 90, 3).collect()) == sorted({c for _, c in want.values()})
+
+
+def test_sorted_ids(spark, monkeypatch):
+    monkeypatch.setattr(shared.IdRanges, "RANGE", 50)
+    ids = [k * 37 % 1009 - 300 for k in range(400)] + [2**53 + 1]
+    held = shared.IdRanges.write(spark.createDataFrame([(i,) for i in ids], "id long"))
+    asked = np.array([*range(-400, 900), 2**53, 2**53 + 1, -(2**63)], np.int64)
+    assert held.holds(asked).tolist() == [i in set(ids) for i in asked.tolist()] and len(held.starts) > 3
+    assert not shared.IdRanges.write(spark.createDataFrame([], "id long")).holds(asked).any()
+
+
 def test_overlaps():
     r = np.random.default_rng(3)
     for top in (20, 300, 100_000):
