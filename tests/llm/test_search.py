@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from marlspar.llm import decontam, jaccard, kneser_ney, shared, suffixes
+from marlspar.llm import decontam, induced, jaccard, kneser_ney, shared, suffixes
 from marlspar.llm.components import components
 from marlspar.llm.induced import InducedSorter
 
@@ -247,8 +247,10 @@ def test_components_of_chains_and_stars(spark):
     assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 120)}
 
 
-def test_induced_order_and_prefixes():
-    r = random.Random(9)
+@pytest.mark.parametrize("block", [7, 1 << 18])
+def test_induced_order_and_prefixes(monkeypatch, block):
+    monkeypatch.setattr(induced, "BLOCK", block)
+    r, spilled, levels = random.Random(9), 0, 0
     for _ in range(40):
         base = [bytes(r.choice(b"abcab\xc3\xa9 ") for _ in range(r.randint(1, 300))) for _ in range(3)]
         parts = []
@@ -256,17 +258,41 @@ def test_induced_order_and_prefixes():
             b = r.choice(base)
             parts.append(b[r.randint(0, len(b) - 1) :] + r.choice([b"", b"a" * r.randint(0, 220), b"\xf4" * r.randint(0, 130)]))
         data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
-        s = InducedSorter(data, ends, r.choice([1 << 30, 200]))  # the second spills to disk
-        previous = None
-        for pos, lcp in [*s.buckets()][::-1]:
+        s = InducedSorter.of_parts(iter([(data, ends)]), len(data) + len(ends), r.choice([1 << 30, 300]))  # the second spills and recurs
+        previous, seen = None, 0
+        for pos, lcp in s.stream():
             for p, v in zip(pos.tolist(), lcp.tolist(), strict=True):
                 b = s.x[p : p + 104].tolist()
                 if previous is not None:
                     a = s.x[previous : previous + 104].tolist()
-                    assert a <= b
+                    assert a >= b
                     n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-                    assert a[0] != b[0] or min(n, 100) == min(v, 100)
-                previous = p
+                    assert min(n, 100) == min(v, 100)
+                previous, seen = p, seen + 1
+        assert seen == len(s.x)
+        spilled, levels = spilled + s.spilled, max(levels, s.levels)
+    assert spilled and levels > 1
+
+
+def test_a_shard_larger_than_its_memory():
+    """Runs of 60 kB with 4 kB for queues: the same result, from files and through recursion."""
+    r = random.Random(14)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(60)]
+    passages = [" ".join(r.choices(words, k=40)) for _ in range(40)]
+    texts = [(r.choice(passages)[: r.randint(60, 130)] + " ".join(r.choices(words, k=12))).encode()[:168] for _ in range(400)]
+    texts = [t for t in texts if len(t) >= 100]
+    got = []
+    for limit in (1 << 30, 4 << 10):
+        shard = suffixes.Shard(limit)
+        for a in range(0, len(texts), 100):
+            part = texts[a : a + 100]
+            runs = np.array([(7 * (a + k) % 10_007, k, len(t)) for k, t in enumerate(part)], suffixes._RUN)
+            shard.add(runs, b"".join(part))
+        blocks = [*shard.repeated()]
+        if limit < 1 << 20:
+            assert shard.spilled > 1 << 20 and shard.levels >= 1
+        got.append([x.tolist() for x in suffixes.merge(*(np.concatenate([b[j] for b in blocks]) for j in range(3)))])
+    assert got[0] == got[1] and len(got[0][0]) > 100
 
 
 def test_suffix_dedup(spark):
@@ -276,6 +302,8 @@ def test_suffix_dedup(spark):
     texts += [(20 + k, passage[k : k + 150] + prose(r, 10)) for k in range(30)] + [(60, texts[7][1]), (61, texts[7][1] + "!"), (70, "x" * 99), (71, "x" * 99)]
     df = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("*", "'1' as bucket", "length(text) as n_chars").repartition(3)
     got = {x.doc_id: x for x in suffixes.deduplicate(df).collect()}
+    # runs of hot anchors are divided into windows: the same result
+    assert {x.doc_id: x for x in suffixes.deduplicate(df, 1 << 12, 3).collect()} == got
     seen: set = set()
     kept_texts = {}
     for k, t in sorted(texts):
@@ -309,9 +337,11 @@ def test_repeated_rows_stay(spark):
 
 
 def test_repeated_places_in_a_shard():
-    text = np.random.default_rng(5).integers(97, 123, 150).astype(np.uint8)
-    runs = np.array([(4, 0, 150), (4, 0, 150), (5, 7, 150)], suffixes._RUN)
-    assert [x.tolist() for x in suffixes.repeated(runs, np.tile(text, 3))][:2] == [[5], [7]]
+    text = np.random.default_rng(5).integers(97, 123, 150).astype(np.uint8).tobytes()
+    shard = suffixes.Shard()
+    shard.add(np.array([(4, 0, 150), (4, 0, 150), (5, 7, 150)], suffixes._RUN), text * 3)
+    blocks = [*shard.repeated()]
+    assert [x.tolist() for x in suffixes.merge(*(np.concatenate([b[j] for b in blocks]) for j in range(3)))] == [[5], [7], [157]]
 
 
 def test_huge_texts_are_cut_into_parts(monkeypatch):
