@@ -10,7 +10,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that one vectorised step takes; a longer text is a step of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 BASE = U64(0x9E3779B97F4A7C15 | 1)
 
 

@@ -16,13 +16,17 @@ REPO = str(Path(__file__).resolve().parents[2])
 
 
 #: Bytes of an Arrow batch that a Python worker holds; texts of any length come whole.
-BATCH_BYTES = "16m"
+BATCH_BYTES = "4m"
+#: Workers are used again by later tasks: their allocators give freed blocks back to the system instead of keeping them.
+ALLOCATORS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, wherever the driver was started, and take batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     env = spark.sparkContext.environment
+    for name, value in ALLOCATORS.items():
+        env.setdefault(name, value)
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO not in parts:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *parts])

@@ -46,9 +46,9 @@ _SPAN = WINDOW - ANCHOR + 1
 _PLACE = 26
 #: Windows of one huge text that are taken at a time.
 _PART = 2 << 20
-_FLUSH_BYTES = 6 << 20
+_FLUSH_BYTES = 4 << 20
 #: Bytes of text in one vectorised step, which takes some 70 times as much memory.
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 
 
 def window_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
