@@ -27,10 +27,9 @@ def _phrase_points(normalized: Column, table: dict[str, list[str]], long: int, s
 
 def domain_scores(text: Column, table: dict[str, list[str]] | None = None) -> dict[str, Column]:
     n, own = normalize(text), tokens(text)
-    scores = _phrase_points(n, table or vocab.phrases(vocab.DOMAINS), 4, 2)
-    for domain, names in vocab.ALIASES.items():
-        for alias in names.split():
-            scores[domain] = scores[domain] + F.when(F.array_contains(own, alias), 3).otherwise(0)
+    scores = _phrase_points(n, table or vocab.DOMAINS, 4, 2)
+    for alias, domain in vocab.ALIASES.items():
+        scores[domain] = scores[domain] + F.when(F.array_contains(own, alias), 3).otherwise(0)
     return scores
 
 
@@ -43,18 +42,16 @@ def domains(text: Column, top: int = 5, table: dict[str, list[str]] | None = Non
 
 def canonical_domain(c: Column) -> Column:
     key = F.replace(normalize(c), F.lit(" "), F.lit("_"))
-    out = None
-    for domain, names in vocab.ALIASES.items():
-        out = (F if out is None else out).when(key.isin(names.split()), domain)
-    return out.otherwise(F.nullif(key, F.lit("")))
+    known = F.create_map(*[F.lit(x) for pair in vocab.ALIASES.items() for x in pair])
+    return F.coalesce(F.try_element_at(known, key), F.nullif(key, F.lit("")))
 
 
 def mechanisms(text: Column, top: int = 6) -> Column:
-    return F.slice(_ranked(_phrase_points(normalize(text), vocab.phrases(vocab.MECHANISMS), 3, 1)), 1, top)
+    return F.slice(_ranked(_phrase_points(normalize(text), vocab.MECHANISMS, 3, 1)), 1, top)
 
 
 def intent(text: Column, explicit: Column | None = None) -> Column:
-    found = F.get(_ranked(_phrase_points(normalize(text), vocab.phrases(vocab.INTENTS), 1, 1)), F.lit(0))
+    found = F.get(_ranked(_phrase_points(normalize(text), vocab.INTENTS, 1, 1)), F.lit(0))
     return found if explicit is None else F.coalesce(F.nullif(explicit, F.lit("")), found)
 
 
@@ -62,7 +59,7 @@ def metric_family(metric: Column) -> Column:
     """The first family with a phrase; `map` does not count next to an `@`."""
     n = normalize(metric)
     out = F.when(n == "", "unknown")
-    for family, phrases in vocab.phrases(vocab.METRICS).items():
+    for family, phrases in vocab.METRICS.items():
         plain = [p for p in phrases if p != "map"]
         test = has_any(n, plain)
         if "map" in phrases:
@@ -73,12 +70,12 @@ def metric_family(metric: Column) -> Column:
 
 def named_signals(text: Column, table: dict[str, str]) -> Column:
     n = normalize(text)
-    return F.filter(F.array(*[F.when(has_any(n, p), F.lit(k)) for k, p in vocab.phrases(table).items()]), lambda x: x.isNotNull())
+    return F.filter(F.array(*[F.when(has_any(n, p), F.lit(k)) for k, p in table.items()]), lambda x: x.isNotNull())
 
 
 def metric_phrases(text: Column) -> Column:
     n = normalize(text)
-    return F.array_distinct(F.filter(F.array(*[F.when(has_phrase(n, p), F.lit(p)) for v in vocab.phrases(vocab.METRICS).values() for p in v]), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.array(*[F.when(has_phrase(n, p), F.lit(p)) for v in vocab.METRICS.values() for p in v]), lambda x: x.isNotNull()))
 
 
 def risk_mechanisms(risks: Column) -> Column:
@@ -88,21 +85,21 @@ def risk_mechanisms(risks: Column) -> Column:
 
 def component(text: Column) -> Column:
     n, out = normalize(text), None
-    for name, phrases in vocab.phrases(vocab.COMPONENTS).items():
+    for name, phrases in vocab.COMPONENTS.items():
         out = (F if out is None else out).when(has_any(n, phrases), name)
     return out.otherwise("pipeline")
 
 
 def cost(text: Column) -> Column:
     n = normalize(text)
-    high, medium = (has_any(n, p) for p in vocab.phrases(vocab.COSTS).values())
+    high, medium = (has_any(n, p) for p in vocab.COSTS.values())
     return F.when(high, "high").when(medium, "medium").otherwise("low")
 
 
 def entry_domain_scores(token_set: Column, chapter_tokens: Column) -> Column:
     """map<domain, score> of a catalog entry: 2 or 1 a phrase, 5 for a chapter hint; zeros left out."""
     parts = []
-    for domain, phrases in vocab.phrases(vocab.DOMAINS).items():
+    for domain, phrases in vocab.DOMAINS.items():
         # phrases as literal token lists, so that a row costs two filters a domain rather than a branch a phrase
         own = [(tokens_py(p), " " in p) for p in phrases]
         total = F.lit(0)
@@ -111,7 +108,7 @@ def entry_domain_scores(token_set: Column, chapter_tokens: Column) -> Column:
                 table = F.array(*[F.array(*map(F.lit, sorted(set(t)))) for t in chosen])
                 total = total + points * F.size(F.filter(table, lambda p: F.size(F.array_except(p, token_set)) == 0))
         hint = F.lit(False)
-        for h in vocab.phrases(vocab.CHAPTER_HINTS).get(domain, []):
+        for h in vocab.CHAPTER_HINTS.get(domain, []):
             hint = hint | holds_tokens(chapter_tokens, h)
         parts += [F.lit(domain), total + F.when(hint, 5).otherwise(0)]
     return F.map_filter(F.create_map(*parts), lambda _, v: v > 0)

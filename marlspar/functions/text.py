@@ -12,6 +12,10 @@ from . import vocab
 CJK = "\\u4e00-\\u9fff"
 
 
+#: The characters of Unicode's White_Space property but the space itself.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -24,7 +28,7 @@ def clean_line(c: Column) -> Column:
 def normalize(c: Column) -> Column:
     """Lower case without URLs, `_` and `-` as spaces, white space collapsed."""
     c = F.regexp_replace(F.lower(text_or_empty(c)), r"(?U)https?://\S+", " ")
-    return F.trim(F.regexp_replace(F.translate(c, "_-", "  "), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(c, "_-" + WHITE_SPACE, " " * (2 + len(WHITE_SPACE))), " {2,}", " "))
 
 
 def tokens(c: Column) -> Column:
@@ -43,8 +47,8 @@ def tokens(c: Column) -> Column:
         F.regexp_extract_all(t, F.lit("[a-z0-9][a-z0-9+#.]{1,}"), F.lit(0)),
         F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"[{CJK}]+"), F.lit(0)), expand)),
     )
-    stop = F.array(*map(F.lit, vocab.STOPWORDS))
-    return F.filter(found, lambda x: ~F.array_contains(stop, x) & (F.length(x) > 1))
+    # a literal list of this length becomes a hash set
+    return F.filter(found, lambda x: ~x.isin(vocab.STOPWORDS) & (F.length(x) > 1))
 
 
 def fts_tokens(c: Column) -> Column:

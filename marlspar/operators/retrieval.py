@@ -7,9 +7,13 @@ broadcast only after their size is bounded by `MAX_QUERY_TOKENS`.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +58,104 @@ def bm25(post: DataFrame, queries: DataFrame, top: int | None = None) -> DataFra
     return ranked.where(F.col("rank") <= top) if top else ranked
 
 
+def tokenised(rows: DataFrame, entry: str, fields: Column) -> DataFrame:
+    """(entry, fields: array<struct<tokens, weight>>), one row an entry; the input of `bm25_scan`, to be kept if read again."""
+    return rows.select(F.col(entry).alias("entry"), F.transform(fields, lambda f: F.struct(text.tokens(f.text).alias("tokens"), f.weight.cast("double").alias("weight"))).alias("fields"))
+
+
+def _counted(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted length of each row, and (row, token number, weighted count) of the tokens among `words`."""
+    fields = batch.column("fields")
+    parts = fields.flatten()
+    row = np.repeat(np.arange(len(fields)), pc.fill_null(pc.list_value_length(fields), 0).to_numpy(zero_copy_only=False))
+    tokens, weight = parts.field("tokens"), parts.field("weight").to_numpy(zero_copy_only=False)
+    size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+    number = pc.fill_null(pc.index_in(tokens.flatten(), value_set=words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, weight = np.repeat(row, size), np.repeat(weight, size)
+    length = np.bincount(row, weights=weight, minlength=len(fields))
+    row, number, weight = row[number >= 0], number[number >= 0], weight[number >= 0]
+    key, back = np.unique(row * len(words) + number, return_inverse=True)
+    return length, key // max(1, len(words)), key % max(1, len(words)), np.bincount(back, weights=weight, minlength=len(key))
+
+
+def bm25_scan(rows: DataFrame, queries: DataFrame, top: int) -> DataFrame:
+    """`bm25` with the best `top` entries of each query, from `tokenised` rows, without a row for each pair.
+
+    Up to MAX_QUERY_TOKENS rows of queries go to every task. One pass counts documents by query token; another scores
+    each batch against all queries as products of small matrices and keeps the best of each query, so that a task hands
+    on `top` rows a query at most, and the last step merges those. Larger sets of queries take the join of `bm25`.
+    """
+    asked = queries.select("query", "token", "qtf").limit(MAX_QUERY_TOKENS + 1).collect()
+    if len(asked) > MAX_QUERY_TOKENS:
+        long = rows.select("entry", F.explode("fields").alias("f")).select("entry", F.explode("f.tokens").alias("token"), F.col("f.weight").alias("w"))
+        return bm25(long.groupBy("entry", "token").agg(F.sum("w").alias("tf")), queries, top)
+    names = [*dict.fromkeys(r["query"] for r in asked)]
+    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(r["token"] for r in asked))}
+    place = {n: k for k, n in enumerate(names)}
+    words = pa.array([*vocabulary], pa.string())
+    schema = queries.schema["query"].dataType.simpleString(), rows.schema["entry"].dataType.simpleString()
+    if not asked:
+        return rows.sparkSession.createDataFrame([], f"query {schema[0]}, entry {schema[1]}, score double, rank int")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, total = np.zeros(len(words), np.int64), 0, 0.0
+        for batch in batches:
+            length, _, number, _ = _counted(batch, words)
+            df += np.bincount(number, minlength=len(words))
+            n, total = n + int((length > 0).sum()), total + float(length.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*some.tolist(), -1]), pa.array([*df[some].tolist(), n]), pa.array([0.0] * len(some) + [total])], ["token", "n", "total"])
+
+    sums = {r["token"]: r for r in rows.mapInArrow(count, "token long, n long, total double").groupBy("token").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
+    n_docs, mean = sums[-1]["n"] if -1 in sums else 0, 1.0
+    if n_docs:
+        mean = max(1.0, sums[-1]["total"] / n_docs)
+    df = np.array([sums[k]["n"] if k in sums else 0 for k in range(len(words))], np.float64)
+    idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+    at = np.array([(vocabulary[r["token"]], place[r["query"]], r["qtf"]) for r in asked], np.int64)
+    side = rows.sparkSession.sparkContext.broadcast((at, idf))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (token, query, qtf), weight = side.value[0].T, side.value[1]
+        blocks = []  # queries whose tokens fill one small matrix
+        for q in range(0, len(names), 256):
+            mine = np.flatnonzero((query >= q) & (query < q + 256))
+            own, column = np.unique(token[mine], return_inverse=True)
+            table = np.zeros((len(own), min(256, len(names) - q)))
+            table[column, query[mine] - q] = 1 + QUERY_FACTOR * np.log1p(qtf[mine])
+            number = np.full(len(weight), -1, np.int64)
+            number[own] = np.arange(len(own))
+            blocks.append((q, table * weight[own][:, None], number))
+        best: dict[int, tuple[np.ndarray, list]] = {}
+        for batch in batches:
+            ids = batch.column("entry").to_pylist()
+            length, row, number, tf = _counted(batch, words)
+            part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
+            for q, table, column in blocks:
+                step = max(1, (1 << 21) // max(1, table.shape[0]))
+                for a in range(0, len(ids), step):
+                    some = np.flatnonzero((row >= a) & (row < a + step) & (column[number] >= 0))
+                    dense = np.zeros((min(step, len(ids) - a), table.shape[0]))
+                    dense[row[some] - a, column[number[some]]] = part[some]
+                    scores = dense @ table
+                    for k in range(scores.shape[1]):
+                        hit = np.flatnonzero(scores[:, k] > 0)
+                        if len(hit) > top:  # ties at the edge stay for the merge
+                            edge = np.partition(scores[hit, k], len(hit) - top)[len(hit) - top]
+                            hit = hit[scores[hit, k] >= edge - 1e-8]
+                        if not len(hit):
+                            continue
+                        found = [(-round(float(s), 9), ids[a + h], float(s)) for h, s in zip(hit.tolist(), scores[hit, k], strict=True)]
+                        best[q + k] = heapq.nsmallest(top, [*best.get(q + k, []), *found])
+        out = [(names[k], e, s) for k, found in best.items() for _, e, s in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", "entry", "score"])
+
+    scored = rows.where("entry is not null").mapInArrow(score, f"query {schema[0]}, entry {schema[1]}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "entry")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def query_tokens(rows: DataFrame, query: str, text_col: Column) -> DataFrame:
     return rows.select(F.col(query).alias("query"), F.explode(text.tokens(text_col)).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("qtf"))
 
@@ -64,7 +166,7 @@ def lenses(profile: dict, custom: list[str] | None = None) -> list[tuple[str, st
     profile: slug, title, description, metric, metric_family, data, stage, domains, mechanisms, validation_risks.
     """
     get = lambda k: profile.get(k) or ""
-    w, domains, stage = vocab.LENS_WEIGHTS, list(profile.get("domains") or []), profile.get("stage") or "intake"
+    w, add, domains, stage = vocab.LENS_WEIGHTS, vocab.LENS_WORDS, list(profile.get("domains") or []), profile.get("stage") or "intake"
     risks, mechanisms = profile.get("validation_risks") or [], profile.get("mechanisms") or []
     own = list(dict.fromkeys(q.strip() for q in custom or [] if q.strip()))[: vocab.RANKING["max_custom_queries"]]
     common = " ".join([get("title"), get("description"), get("metric"), get("data"), " ".join(own)]).strip()
@@ -75,26 +177,26 @@ def lenses(profile: dict, custom: list[str] | None = None) -> list[tuple[str, st
         out.append(("exact_competition", get("slug"), w["exact_competition"], domains))
     out.append(("task_shape", common, w["task_shape"], domains))
     if primary:
-        words = " ".join(vocab.DOMAINS[d].replace("|", " ") for d in primary)
+        words = " ".join(" ".join(vocab.DOMAINS[d]) for d in primary)
         out.append(("modality_transfer", f"{common} {words}", w["modality_transfer"], primary))
     if get("metric"):
-        out.append(("metric_behavior", f"{get('metric')} {get('metric_family')} validation threshold calibration", w["metric_behavior"], domains))
+        out.append(("metric_behavior", f"{get('metric')} {get('metric_family')} {add['metric_behavior']}", w["metric_behavior"], domains))
     if risks:
-        out.append(("validation_risk", f"{common} {' '.join(risks)} split leakage cv lb shift", w["validation_risk"], plus("feature", "system")))
+        out.append(("validation_risk", f"{common} {' '.join(risks)} {add['validation_risk']}", w["validation_risk"], plus("feature", "system")))
     if risks or mechanisms:
         words = " ".join([*mechanisms, *risks])
-        out.append(("mechanism_transfer", f"{words} causal mechanism ablation failure conditions transferable pattern", w["mechanism_transfer"], sorted(vocab.SUPPORT_DOMAINS)))
+        out.append(("mechanism_transfer", f"{words} {add['mechanism_transfer']}", w["mechanism_transfer"], sorted(vocab.SUPPORT_DOMAINS)))
     by_stage = {
-        "data_and_validation_gate": (("intake", "eda"), "prediction unit data usage metric fold leakage duplicate group time", ("feature", "system")),
-        "reliable_baseline": (("baseline",), "simple baseline oof reproducible submission assertions", ("system",)),
-        "final_inference": (("finalize",), "full train inference packaging runtime memory submission", ("system",)),
+        "data_and_validation_gate": (("intake", "eda"), ("feature", "system")),
+        "reliable_baseline": (("baseline",), ("system",)),
+        "final_inference": (("finalize",), ("system",)),
     }
-    for name, (stages, words, more) in by_stage.items():
+    for name, (stages, more) in by_stage.items():
         if stage in stages:
-            out.append((name, f"{common} {words}", w[name], plus(*more)))
-    out.append(("implementation", f"{common} code implementation training inference reproducible notebook", w["implementation"], domains))
+            out.append((name, f"{common} {add[name]}", w[name], plus(*more)))
+    out.append(("implementation", f"{common} {add['implementation']}", w["implementation"], domains))
     late = "ensemble_stage" if stage == "ensemble" else "ensemble_intake" if stage in ("intake", "eda", "baseline") else "ensemble_improve"
-    out.append(("ensemble_late_game", f"{common} oof blend stacking calibration pseudo label diversity", w[late], plus("ensemble")))
+    out.append(("ensemble_late_game", f"{common} {add['ensemble_late_game']}", w[late], plus("ensemble")))
     return [x for x in out if text.tokens_py(x[1])]
 
 
@@ -128,7 +230,7 @@ def facets(entries: DataFrame, profile: dict, intent: str | None = None) -> Data
     wanted_primary = F.array_intersect(wanted, lit(vocab.PRIMARY_DOMAINS))
     df = df.withColumn("_primary", F.array_sort(F.array_intersect(wanted_primary, F.col("_own"))))
     df = df.withColumn("_support", F.array_sort(F.array_intersect(F.array_intersect(wanted, F.col("_own")), lit(vocab.SUPPORT_DOMAINS))))
-    df = df.withColumn("_risks", held(risks, vocab.phrases(vocab.RISKS))).withColumn("_mechanisms", held(mechanisms, vocab.phrases(vocab.MECHANISMS)))
+    df = df.withColumn("_risks", held(risks, vocab.RISKS)).withColumn("_mechanisms", held(mechanisms, vocab.MECHANISMS))
     df = df.withColumn("_clash", F.array_sort(F.array_except(F.array_intersect(F.col("_own"), lit(vocab.PRIMARY_DOMAINS)), wanted_primary)))
     slug = text.normalize(F.lit(profile.get("slug") or ""))
     exact = (slug != "") & (slug == text.normalize(F.col("competition_slug")))
@@ -253,8 +355,7 @@ def retrieve(entries: DataFrame, profile: dict, queries: list[str] | None = None
     spark = entries.sparkSession
     specs = lenses(profile, queries)
     table = spark.createDataFrame([(n, t, float(w)) for n, t, w, _ in specs], "query string, text string, weight double")
-    post = postings(entries, "id", entry_fields()).cache()
-    hits = bm25(post, query_tokens(table, "query", F.col("text")), top=max(2 * recall, vocab.RANKING["minimum_candidate_pool"]))
+    hits = bm25_scan(tokenised(entries, "id", entry_fields()), query_tokens(table, "query", F.col("text")), top=max(2 * recall, vocab.RANKING["minimum_candidate_pool"]))
     scored = facets(entries, profile, intent).select(F.col("id").alias("entry"), "facet", "level", "reasons", "title", "competition_slug").cache()
     both = hits.join(scored, "entry").withColumn("raw", F.col("score") + F.col("facet")).where("raw > 0").join(F.broadcast(table.select("query", "weight")), "query")
     order = Window.partitionBy("query").orderBy(F.desc("raw"), "entry")

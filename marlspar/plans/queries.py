@@ -6,6 +6,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -107,14 +108,13 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY lens, query ORDER BY round(scor
 
 @query(f"WITH src AS (SELECT 'a' AS lens, item_id AS query, text AS txt FROM benchmark), {BM25_SQL} SELECT query AS item_id, entry AS doc_id, rank, round(score, 6) AS score FROM rk WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    post = _postings(spark, sf)
-    hits = retrieval.bm25(post, retrieval.query_tokens(table(spark, sf, "benchmark"), "item_id", F.col("text")), top=10)
+    hits = retrieval.bm25_scan(_tokenised(spark, sf), retrieval.query_tokens(table(spark, sf, "benchmark"), "item_id", F.col("text")), top=10)
     return hits.select(F.col("query").alias("item_id"), F.col("entry").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _postings(spark: SparkSession, sf: str) -> DataFrame:
+def _tokenised(spark: SparkSession, sf: str) -> DataFrame:
     one = F.array(F.struct(F.col("text").alias("text"), F.lit(1.0).alias("weight")))
-    return retrieval.postings(spread(table(spark, sf, "documents")), "doc_id", one).cache()
+    return retrieval.tokenised(spread(table(spark, sf, "documents")), "doc_id", one).persist(StorageLevel.DISK_ONLY)
 
 
 @query(f"""WITH src AS (SELECT 'full' AS lens, item_id AS query, text AS txt FROM benchmark UNION ALL SELECT 'head', item_id, array_to_string({tok_sql('text')}[1:8], ' ') FROM benchmark), {BM25_SQL},
@@ -122,10 +122,10 @@ f AS (SELECT query, entry, sum(CASE lens WHEN 'full' THEN 1.9 ELSE 1.5 END / (45
 g AS (SELECT *, round((1000 * rrf + 6 * ln(1 + raw)) * 0.95, 3) AS final FROM f)
 SELECT query AS item_id, entry AS doc_id, final FROM g QUALIFY row_number() OVER (PARTITION BY query ORDER BY final DESC, entry) <= 8""")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    post, items = _postings(spark, sf), table(spark, sf, "benchmark")
+    rows, items = _tokenised(spark, sf), table(spark, sf, "benchmark")
     out = None
     for lens, weight, body in (("full", 1.9, F.col("text")), ("head", 1.5, F.array_join(F.slice(text.tokens(F.col("text")), 1, 8), " "))):
-        hits = retrieval.bm25(post, retrieval.query_tokens(items, "item_id", body), top=40).withColumn("lens", F.lit(lens)).withColumn("weight", F.lit(weight))
+        hits = retrieval.bm25_scan(rows, retrieval.query_tokens(items, "item_id", body), top=40).withColumn("lens", F.lit(lens)).withColumn("weight", F.lit(weight))
         out = hits if out is None else out.unionByName(hits)
     fused = retrieval.fuse(out, ["query"])
     w = Window.partitionBy("query").orderBy(F.desc("final"), "entry")
@@ -163,9 +163,9 @@ def _any_sql(phrases: list[str]) -> str:
 
 def _facet_sql() -> str:
     ascii_only = lambda ps: [p for p in ps if p.isascii()]  # noqa: E731  the injected notes hold no CJK
-    dom = ",\n".join(f"{' + '.join(f'CASE WHEN {_set_sql(p)} THEN {2 if chr(32) in p else 1} ELSE 0 END' for p in ascii_only(ps))} AS d_{d}" for d, ps in vocab.phrases(vocab.DOMAINS).items())
-    risk = " + ".join(f"CASE WHEN {_any_sql(ascii_only(vocab.phrases(vocab.RISKS)[r]))} THEN 1 ELSE 0 END" for r in PROFILE["validation_risks"])
-    mech = " + ".join(f"CASE WHEN {_any_sql(ascii_only(vocab.phrases(vocab.MECHANISMS)[m]))} THEN 1 ELSE 0 END" for m in PROFILE["mechanisms"])
+    dom = ",\n".join(f"{' + '.join(f'CASE WHEN {_set_sql(p)} THEN {2 if chr(32) in p else 1} ELSE 0 END' for p in ascii_only(ps))} AS d_{d}" for d, ps in vocab.DOMAINS.items())
+    risk = " + ".join(f"CASE WHEN {_any_sql(ascii_only(vocab.RISKS[r]))} THEN 1 ELSE 0 END" for r in PROFILE["validation_risks"])
+    mech = " + ".join(f"CASE WHEN {_any_sql(ascii_only(vocab.MECHANISMS[m]))} THEN 1 ELSE 0 END" for m in PROFILE["mechanisms"])
     others = " OR ".join(f"d_{d} >= 2" for d in vocab.PRIMARY_DOMAINS if d not in PROFILE["domains"])
     return f"""e AS (SELECT d.doc_id, d.source AS slug, d.doc_id % 4 AS code, d.doc_id % 6 AS tricks, d.doc_id % 2 AS odd, coalesce(l.quality * 100, 0) AS quality, d.doc_id % 3 AS tier,
   list_distinct({tok_sql(f"d.source || '  ' || d.lang || ' ' || ({sql_pick('d.doc_id', NOTES)})")}) AS tok FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
@@ -383,9 +383,9 @@ DESCRIBED = ["forecast with lag features of sensor data", "dicom image segmentat
 
 def _domain_sql() -> str:
     parts = []
-    for d, ps in vocab.phrases(vocab.DOMAINS).items():
+    for d, ps in vocab.DOMAINS.items():
         s = " + ".join(f"CASE WHEN {phrase_sql('n', p)} THEN {4 if ' ' in p or len(p) > 8 else 2} ELSE 0 END" for p in ps if p.isascii())
-        s += "".join(f" + CASE WHEN list_contains(tok, {q(a)}) THEN 3 ELSE 0 END" for a in vocab.ALIASES.get(d, "").split())
+        s += "".join(f" + CASE WHEN list_contains(tok, {q(a)}) THEN 3 ELSE 0 END" for a, to in vocab.ALIASES.items() if to == d)
         parts.append(f"{{'s': {s}, 'k': {len(parts)}, 'sup': {1 if d in vocab.SUPPORT_DOMAINS else 0}, 'd': {q(d)}}}")
     return f"""WITH t AS (SELECT DISTINCT event_id % 8 AS kind, {sql_pick('event_id', DESCRIBED)} AS x FROM events), n AS (SELECT kind, {n_sql('x')} AS n, {tok_sql('x')} AS tok FROM t), s AS (SELECT kind, unnest([{', '.join(parts)}]) AS r FROM n),
 r AS (SELECT kind, r.d AS domain, row_number() OVER (PARTITION BY kind ORDER BY r.sup, r.s DESC, r.k) AS pos FROM s WHERE r.s > 0),
@@ -589,7 +589,7 @@ f AS (SELECT x.item_id, min(rank) AS first FROM x LEFT JOIN (SELECT * FROM rk WH
 SELECT round(sum(coalesce(1 / first, 0)) / count(*), 4) AS mrr, round(count(*) FILTER (first <= 5) / count(*), 4) AS recall_at_k, count(*) AS n_cases FROM f""")
 def mrr_recall(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "benchmark")
-    hits = retrieval.bm25(_postings(spark, sf), retrieval.query_tokens(items, "item_id", F.col("text")), top=10)
+    hits = retrieval.bm25_scan(_tokenised(spark, sf), retrieval.query_tokens(items, "item_id", F.col("text")), top=10)
     # who holds an item is found by its first 60 characters at every sentence start, an equality join
     head = items.select(F.col("item_id").alias("case"), F.substring("text", 1, 60).alias("head")).where(F.length("head") == 60)
     starts = F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 59, F.lit(1))), lambda k: F.substring(F.col("text"), k, F.lit(60)))

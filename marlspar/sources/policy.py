@@ -13,9 +13,9 @@ def merge(base: dict, override: dict) -> dict:
     return {**base, **{k: merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in override.items()}}
 
 
-def extended(table: dict[str, str], extensions: dict[str, list[str]]) -> dict[str, list[str]]:
+def extended(table: dict[str, list[str]], extensions: dict[str, list[str]]) -> dict[str, list[str]]:
     """Phrase lists with a policy's further phrases; new names are added at the end."""
-    out = vocab.phrases(table)
+    out = {name: [*phrases] for name, phrases in table.items()}
     for name, more in extensions.items():
         out[name] = list(dict.fromkeys([*out.get(name, []), *more]))
     return out
