@@ -1,4 +1,8 @@
-"""A training corpus in five stages; each takes (spark, docs, sf_dir) and gives the next one's documents."""
+"""A training corpus in five stages; each takes (spark, docs, sf_dir) and gives the next one's documents.
+
+Cases, for all stages: an empty table gives an empty one; columns besides doc_id and text are carried as they are (n_chars
+is counted anew where a text is cut), whatever their names; repeated rows and ties are as each stage says.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +16,36 @@ from marlspar.llm.shared import stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base check and the learned decision list keep."""
+    """Documents that the base check and the learned decision list keep.
+
+    Null and empty texts fail the base check; rows without a doc_id are judged by their text; repeated rows alike.
+    """
     return rules.keep(docs, rules.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more), the one with the smallest doc_id.
+
+    Texts without words have no copies; of repeated rows one stays; rows without a doc_id stay.
+    """
     return jaccard.deduplicate(docs, percent=80, width=5)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without 100-byte strings that start earlier; documents of which nothing is left go."""
+    """Texts without 100-byte strings that start earlier; documents of which nothing is left go.
+
+    Empty texts stay; repeated rows are cut alike; rows without a doc_id are not cut and cut nothing.
+    """
     return suffixes.rewrite(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item; null and empty texts have none."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, checked by decoding."""
+    """Token ids of every document, checked by decoding; a null text has none."""
     return bpe.encode(docs, tokenizer_file(), with_ids=True)
 
 
