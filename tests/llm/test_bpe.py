@@ -81,3 +81,7 @@ def test_length_sums(spark):
         assert r.truncated_tokens == sum(min(x, r.limit_tokens) for x in n) and r.all_tokens == sum(n)
         assert r.quantile == pytest.approx(r.docs_within / len(n))
     assert lengths.limits(lengths.histogram(df.limit(0), tokenizer_file())).count() == 0
+    hist = lengths.histogram(df, tokenizer_file())
+    asked = lengths.at(hist, [0, 2, 3, 3, 1000]).collect()  # some of them are no text's length
+    assert {(r.limit_tokens, r.docs_within, r.truncated_tokens) for r in asked} == {(k, sum(x <= k for x in n), sum(min(x, k) for x in n)) for k in (0, 2, 3, 1000)}
+    assert {(r.share, r.n_tokens) for r in lengths.quantiles(hist, [0.5, 1.0]).collect()} == {(0.5, sorted(n)[len(n) // 2 - 1]), (1.0, max(n))}
