@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scan import U64, mix, text_slices, word_table
-from .shared import IdRanges, dropped, prepare, stored
+from .shared import IdRanges, dropped, prepare, sized, stored
 
 #: Shared prefix tokens that a pair must have under each order (fewer for tiny sets).
 SHARED = 3
@@ -52,6 +52,8 @@ _STEP_BYTES = 1 << 18
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 19
 #: Columns of the dense product, and token pairs listed at a time beside it.
 _COLUMNS, _PAIRS = 2048, 1 << 21
+#: Pairs that a task verifies at a time.
+TASK_PAIRS = 1 << 14
 #: Prefix rows that a task packs at a time.
 _FLUSH_ROWS = 400_000
 #: Classes of over 1/HOT of all rows (so fewer than HOT) are broadcast: their copies would meet in one task.
@@ -240,17 +242,18 @@ def _filter_slot(ids: np.ndarray) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(U64) + U64(0x51ED270B9F4A7C15)) >> U64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _id_filter(ids: DataFrame) -> bytes:
-    """A bit for each hash of an id; a fixed 2**FILTER_BITS bits. It only spares work: joins decide."""
+def _id_filters(pairs: DataFrame) -> dict[str, bytes]:
+    """For each column a bit for each hash of an id; a fixed 2**FILTER_BITS bits. It only spares work: joins decide."""
+    names = pairs.columns
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, np.uint8)
+        bits = np.zeros((len(names), 1 << FILTER_BITS), bool)
         for batch in batches:
-            bits[_filter_slot(batch.column("id").to_numpy(zero_copy_only=False))] = 1
-        if bits.any():
-            packed = np.packbits(bits, bitorder="little")
-            used = [k for k, p in enumerate(np.split(packed, SLICES)) if p.any()]
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.split(packed, SLICES)[k].tobytes() for k in used], pa.binary())], ["slice", "bits"])
+            for own, column in zip(bits, batch.columns, strict=True):
+                own[_filter_slot(column.to_numpy(zero_copy_only=False))] = True
+        parts = np.packbits(bits, axis=1, bitorder="little").reshape(len(names) * SLICES, -1)
+        used = np.flatnonzero(parts.any(1)).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["slice", "bits"])
 
     def either(pdf: pd.DataFrame) -> pd.DataFrame:
         out = np.zeros((1 << FILTER_BITS) // 8 // SLICES, np.uint8)
@@ -258,10 +261,10 @@ def _id_filter(ids: DataFrame) -> bytes:
             out |= np.frombuffer(blob, np.uint8)
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "bits": [out.tobytes()]})
 
-    out = np.zeros((SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
-    for r in ids.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():
+    out = np.zeros((len(names) * SLICES, (1 << FILTER_BITS) // 8 // SLICES), np.uint8)
+    for r in pairs.mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInPandas(either, "slice int, bits binary").collect():
         out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.tobytes()
+    return {name: own.tobytes() for name, own in zip(names, out.reshape(len(names), -1), strict=True)}
 
 
 def _all_orders(percent: int):
@@ -299,22 +302,25 @@ def _verify(percent: int):
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int, sketch) -> DataFrame:
-    """The pairs (a, b) that pass all filters and the threshold; prefixes and sets are made for documents in pairs only."""
+    """The stored pairs (a, b) that pass all filters and the threshold; prefixes and sets are made for documents in pairs only."""
     spark = docs.sparkSession
 
     def sides(pairs: DataFrame, schema: str, *more) -> list[DataFrame]:
-        out = []
-        for c in "ab":
-            wanted = spark.sparkContext.broadcast(_id_filter(pairs.select(F.col(c).alias("id")).distinct()))  # 1 MB
-            out.append(docs.mapInArrow(_sets(width, wanted, *more), schema).withColumnRenamed("id", c))
-        return out
+        wanted = {c: spark.sparkContext.broadcast(bits) for c, bits in _id_filters(pairs).items()}  # 1 MB each
+        return [docs.mapInArrow(_sets(width, wanted[c], *more), schema).withColumnRenamed("id", c) for c in "ab"]
 
+    pairs, asked = pairs.select("a", "b"), pairs.count()
     a, b = sides(pairs, "id long, n int, marks binary", sketch, percent)
     rows = pairs.join(a.select("a", F.col("n").alias("na"), F.col("marks").alias("x")), "a").join(b.select("b", F.col("n").alias("nb"), F.col("marks").alias("y")), "b")
-    left = stored(rows.select("a", "b", "na", "nb", "x", "y").mapInArrow(_all_orders(percent), "a long, b long").distinct(), "filtered")
+    rows = sized(rows.select("a", "b", "na", "nb", "x", "y"), asked, TASK_PAIRS)
+    left = stored(sized(rows.mapInArrow(_all_orders(percent), "a long, b long").distinct(), asked), "filtered")
+    asked = left.count()
     a, b = sides(left, "id long, tokens binary")
     rows = left.join(a.select("a", F.col("tokens").alias("x")), "a").join(b.select("b", F.col("tokens").alias("y")), "b")
-    return stored(rows.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+    rows = sized(rows.select("a", "b", "x", "y"), asked, TASK_PAIRS)
+    out = stored(sized(rows.mapInArrow(_verify(percent), "a long, b long").distinct(), asked), "links")
+    dropped(left)
+    return out
 
 
 def overlaps(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -385,16 +391,16 @@ def _degrees(percent: int):
 
 def _all_links(docs: DataFrame, classes: DataFrame, groups: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
     """(rep, n_links) of the classes in `groups`, from links that connect these components but need not be all."""
-    pairs = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    pairs = stored(sized(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), links.count()), "pairs")
     found = pairs.join(groups.withColumnRenamed("id", "a"), "a").groupBy("label").agg(F.count(F.lit(1)).alias("found"))
     member = groups.join(classes.select(F.col("rep").alias("id"), "n"), "id")
     total = member.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).join(found, "label")
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("size") / BLOCK_TOKENS)).cast("int")
     total = total.select("label", blocks.alias("blocks"), (2 * F.col("found") < F.col("m") * (F.col("m") - 1)).alias("open"))
-    member = stored(member.join(total, "label").select("id", "label", "blocks", "open"), "members")
+    member = stored(sized(member.join(total, "label").select("id", "label", "blocks", "open"), groups.count()), "members")
     known = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).join(member.where("not open"), "id", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("k"))
     some = member.where("open")
-    wanted = docs.sparkSession.sparkContext.broadcast(_id_filter(some.select("id")))
+    wanted = docs.sparkSession.sparkContext.broadcast(_id_filters(some.select("id"))["id"])
     sets = some.join(docs.mapInArrow(_sets(width, wanted), "id long, tokens binary"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = sets.select("id", "label", "block", "tokens", other)
@@ -424,7 +430,7 @@ def _mixed(tokens: DataFrame, groups: DataFrame | None) -> DataFrame:
     member = tokens.drop("label")
     member = member.withColumn("label", F.col("id")) if groups is None else member.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = member.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    return stored(member.join(several, "token"), "mixed")
+    return stored(sized(member.join(several, "token"), tokens.count()), "mixed")
 
 
 def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = True) -> DataFrame:
@@ -440,7 +446,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = Tru
     rows = profile.where("slice is null").select("doc_id", "n", "f1", "f2")
     docs = docs.where("doc_id is not null")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"))
-    classes = stored(classes, "classes")
+    classes = stored(sized(classes, rows.count()), "classes")
     total = classes.agg(F.sum("rows")).first()[0] or 0
     is_hot = F.col("rows") * HOT > total
     hot = spark.sparkContext.broadcast({(r["n"], r["f1"], r["f2"]): r["rep"] for r in classes.where(is_hot & (F.col("rows") > 1)).collect()})  # fewer than HOT
@@ -456,7 +462,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = Tru
     tokens = stored(tokens, "tokens")
     crowd = tokens.groupBy("token", "size_class").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     central = tokens.join(crowd, ["token", "size_class"]).groupBy("id").agg(F.sum("m").alias("central"))
-    tokens, old = stored(tokens.join(central, "id", "left").fillna(0, ["central"]), "tokens"), tokens
+    tokens, old = stored(sized(tokens.join(central, "id", "left").fillna(0, ["central"]), tokens.count()), "tokens"), tokens
     dropped(old)
     tokens, old = _mixed(tokens, None), tokens
     dropped(old)
@@ -469,7 +475,7 @@ def link(docs: DataFrame, percent: int = 90, width: int = 3, counted: bool = Tru
         hubs = tokens.groupBy("token", "size_class").agg(F.max_by(F.struct("id", "n", "pos", "label"), order).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         hubs = hubs.where("lo < hi").select("token", "size_class", "hub.*")
         stars = _candidates(tokens, hubs, ["token", "size_class"], percent, F.col("a") != F.col("b"))
-        stars = stored(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")), "stars")
+        stars = stored(sized(stars.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b")), tokens.count()), "stars")
         asked = stars.count()
         if not asked:
             break

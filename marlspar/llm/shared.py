@@ -17,6 +17,8 @@ REPO = str(Path(__file__).resolve().parents[2])
 
 #: Bytes of an Arrow batch that a Python worker holds; texts of any length come whole.
 BATCH_BYTES = "4m"
+#: Rows of ids and labels that a task writes at least, but for so few tasks.
+TASK_ROWS, LEAST_TASKS = 1 << 18, 16
 #: Workers are used again by later tasks: their allocators give freed blocks back to the system instead of keeping them.
 ALLOCATORS = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 
@@ -62,6 +64,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, per: int = TASK_ROWS) -> DataFrame:
+    """`df` in partitions that at most `rows` rows fill, where the shuffle's number of partitions is higher.
+
+    Small steps then neither start a Python worker nor write a file for each of the shuffle's partitions.
+    """
+    return df.coalesce(max(LEAST_TASKS, -(-rows // per)))
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the folder of a table made by `stored` that nothing reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
