@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance, infer, text, vocab
-from ..operators import audit, cards, catalog, ledger, profile, retrieval, setjoin
+from ..operators import audit, briefing, cards, catalog, ledger, profile, retrieval, setjoin
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -684,3 +684,71 @@ def stratified_quota(spark: SparkSession, sf: str) -> DataFrame:
     kind = pick("doc_id", ["writeup", "code", "config"])
     rows = table(spark, sf, "documents").select(F.concat(F.lit("x"), "doc_id", F.lit(".md")).alias("path"), kind.alias("kind"), "n_chars")
     return cards.quotas(rows.select("path", "kind", cards.file_score(F.col("path"), F.col("kind"), F.col("n_chars"), []).alias("score")), 40)
+
+
+LEVELS = ["exact", "weak", "direct", "analog", "near", "weak", "weak"]
+REASONS = ["domain:nlp", "risk:leak", "metric:auc", "domain:cv", "lens:risk"]
+TYPES = ["paper", "GitHub Writeup", "notebook", "", "code", "forum"]
+_RESULTS_SQL = f"""r AS (SELECT doc_id % 50 AS query, doc_id AS position, 'a' || ((doc_id // 50) % 7) AS anchor, {sql_pick('doc_id', LEVELS)} AS match_level,
+{sql_pick('doc_id', REASONS)} AS reason, CASE WHEN doc_id % 11 = 3 THEN 2 ELSE 0 END AS code, {sql_pick('doc_id', TYPES)} AS source_type, doc_id % 3 = 0 AS linked FROM documents)"""
+
+
+def _results(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        (F.col("doc_id") % 50).alias("query"), F.col("doc_id").alias("position"), F.expr("concat('a', (doc_id div 50) % 7)").alias("anchor"), pick("doc_id", LEVELS).alias("match_level"),
+        F.array(pick("doc_id", REASONS)).alias("reasons"), F.when(F.col("doc_id") % 11 == 3, 2).otherwise(0).alias("code_evidence_count"), pick("doc_id", TYPES).alias("source_type"), (F.col("doc_id") % 3 == 0).alias("linked"),
+    )
+
+
+@query(f"""WITH {_RESULTS_SQL}, d AS (SELECT query, anchor, min(position) AS place FROM r WHERE match_level IN ('exact', 'direct', 'near') GROUP BY ALL),
+must AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place) AS n FROM d) WHERE n <= 3),
+parts AS (SELECT query, anchor, 0 AS part, position FROM r WHERE reason LIKE 'risk:%' UNION ALL SELECT query, anchor, 1, position FROM r WHERE code > 0 UNION ALL SELECT query, anchor, 2, position FROM r WHERE lower(source_type) LIKE '%writeup%'),
+s AS (SELECT query, anchor, min(row(part, position)) AS place FROM parts GROUP BY ALL),
+support AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY place) AS n FROM s) WHERE n <= 5)
+SELECT query, coalesce((SELECT string_agg(anchor, '|' ORDER BY n) FROM must m WHERE m.query = k.query), '') AS must_read,
+coalesce((SELECT string_agg(anchor, '|' ORDER BY n) FROM support s WHERE s.query = k.query AND NOT EXISTS (SELECT 1 FROM must m WHERE m.query = s.query AND m.anchor = s.anchor)), '') AS support
+FROM (SELECT query FROM must UNION SELECT query FROM support) k""")
+def reading_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return briefing.reading_manifest(_results(spark, sf), "query").select("query", *(F.array_join(c, "|").alias(c) for c in ("must_read", "support")))
+
+
+@query(f"WITH {_RESULTS_SQL} SELECT query, avg(CASE WHEN match_level IN ('exact', 'direct', 'near') THEN 1 ELSE 0 END) AS direct_ratio, avg(CASE WHEN linked THEN 1 ELSE 0 END) AS source_link_ratio FROM r GROUP BY query")
+def match_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    return briefing.match_ratios(_results(spark, sf), "query")
+
+
+@query("""SELECT o.o_orderkey AS child_id, o.o_orderkey - 1 AS parent_id, p.o_orderkey IS NOT NULL AS known, CAST(o.o_totalprice AS DOUBLE) - CAST(p.o_totalprice AS DOUBLE) AS price_delta,
+o.o_custkey - p.o_custkey AS o_custkey_delta, o.o_orderpriority, p.o_orderstatus AS parent_o_orderstatus, o.o_orderstatus AS child_o_orderstatus FROM orders o LEFT JOIN orders p ON p.o_orderkey = o.o_orderkey - 1""")
+def compare_runs(spark: SparkSession, sf: str) -> DataFrame:
+    runs = table(spark, sf, "orders").withColumn("price", F.col("o_totalprice").cast("double"))
+    pairs = runs.select(F.col("o_orderkey").alias("child_id"), (F.col("o_orderkey") - 1).alias("parent_id"))
+    return briefing.compare(runs, pairs, "o_orderkey", ["price", "o_custkey"], ["o_orderpriority"], ["o_orderstatus"])
+
+
+@query("""WITH refs AS (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN -o_custkey ELSE o_custkey END AS research_id FROM orders)
+SELECT research_id, o_orderkey, CASE WHEN c_custkey IS NULL THEN 'unknown' ELSE 'not verified' END AS problem FROM refs LEFT JOIN customer ON c_custkey = research_id WHERE c_custkey IS NULL OR c_custkey % 3 <> 0""")
+def unverified_research(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = table(spark, sf, "customer").select(F.col("c_custkey").alias("research_id"), pick("c_custkey", ["verified", "pending", "rejected"]).alias("status"))
+    own = F.when(F.col("o_orderkey") % 10 == 3, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    return briefing.unverified(table(spark, sf, "orders").select("o_orderkey", own.alias("research_id")), tasks, "research_id")
+
+
+FILES = ["train.PY", "notes.tar.gz", ".hidden", "README", "end.", "a.b.ipynb", "x.Rs"]
+
+
+@query(f"""WITH s AS (SELECT lower(regexp_extract({sql_pick('doc_id', FILES)}, '(?s)^.+(\\.[^.]+)$', 1)) AS s FROM documents)
+SELECT CASE WHEN s = '' THEN '<none>' ELSE s END AS suffix, count(*) AS n FROM s GROUP BY 1""")
+def suffix_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return briefing.suffix_counts(table(spark, sf, "documents").select(pick("doc_id", FILES).alias("file")), "file")
+
+
+@query(f"SELECT doc_id, {sql_pick('doc_id', ['python', 'text', 'text', 'text', 'text', 'python', 'rust'])} AS language FROM documents")
+def file_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", briefing.language(pick("doc_id", FILES)).alias("language"))
+
+
+@query("""SELECT doc_id, least(80, 20 + least(15, 5 * (doc_id % 5)) + least(30, 4 * (n_chars % 12)) + least(10, 2 * (doc_id % 7)) + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END) AS score FROM documents""")
+def collected_score(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    score = briefing.collected_score(c("doc_id") % 5, c("n_chars") % 12, c("doc_id") % 7, pick("doc_id", ["abc", ""]), pick("doc_id", ["MIT", "unknown", "unknown"]))
+    return table(spark, sf, "documents").select("doc_id", score.alias("score"))

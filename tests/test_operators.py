@@ -238,3 +238,26 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got == {r.user_id: (r.state, r.n) for r in lifecycle.latest_state(src).collect()}
+
+
+def test_briefing_cases(spark):
+    from marlspar.operators import briefing
+
+    schema = "query int, position int, anchor string, match_level string, reasons array<string>, code_evidence_count int, source_type string"
+    rows = [
+        (1, 1, "a", "exact", ["risk:leak"], None, None),
+        (1, 2, None, "exact", None, 3, "writeup"),
+        (1, 3, "b", "weak", None, None, "GitHub Writeup"),
+        (1, 4, "c", None, [], 2, None),
+        (1, 5, "a", "near", ["x"], 1, "paper"),
+        (2, 1, "", "exact", ["risk:x"], 1, "paper"),
+    ]
+    got = briefing.reading_manifest(spark.createDataFrame(rows, schema), "query").collect()
+    assert [(r["query"], r["must_read"], r["support"]) for r in got] == [(1, ["a"], ["c", "b"])]
+    runs = spark.createDataFrame([("p", 1.0, "x"), ("c", None, "y")], "id string, cv double, note string")
+    pairs = spark.createDataFrame([("p", "c"), ("p", "gone")], "parent_id string, child_id string")
+    got = {r["child_id"]: (r["known"], r["cv_delta"], r["note"]) for r in briefing.compare(runs, pairs, "id", ["cv"], ["note"], []).collect()}
+    assert got == {"c": (True, None, "y"), "gone": (False, None, None)}
+    tasks = spark.createDataFrame([("t", None), ("v", "verified")], "task string, status string")
+    refs = spark.createDataFrame([("t",), ("v",), ("u",)], "task string")
+    assert {(r["task"], r["problem"]) for r in briefing.unverified(refs, tasks, "task").collect()} == {("t", "not verified"), ("u", "unknown")}
