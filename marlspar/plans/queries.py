@@ -609,13 +609,13 @@ def upper_nearest_rank_pctl(spark: SparkSession, sf: str) -> DataFrame:
     return o.groupBy("k").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-LEVELS = {"error": "blocker", "signup": "high", "purchase": "medium", "click": "low"}
+EVENT_LEVELS = {"error": "blocker", "signup": "high", "purchase": "medium", "click": "low"}
 
 
 @query("""SELECT user_id, count(*) FILTER (event_type = 'error') AS blocker, count(*) FILTER (event_type = 'signup') AS high, count(*) FILTER (event_type = 'purchase') AS medium, count(*) FILTER (event_type = 'click') AS low, count(*) FILTER (event_type NOT IN ('error', 'signup', 'purchase', 'click')) AS info,
 CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'fail' WHEN count(*) FILTER (event_type = 'signup') > 0 THEN 'review' ELSE 'pass' END AS status FROM events GROUP BY user_id""")
 def severity_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv]), "event_type"), F.lit("info"))
+    level = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVENT_LEVELS.items() for x in kv]), "event_type"), F.lit("info"))
     return audit.report(table(spark, sf, "events").select(F.col("user_id").alias("script"), level.alias("severity"))).withColumnRenamed("script", "user_id")
 
 
@@ -686,16 +686,16 @@ def stratified_quota(spark: SparkSession, sf: str) -> DataFrame:
     return cards.quotas(rows.select("path", "kind", cards.file_score(F.col("path"), F.col("kind"), F.col("n_chars"), []).alias("score")), 40)
 
 
-LEVELS = ["exact", "weak", "direct", "analog", "near", "weak", "weak"]
+MATCH_LEVELS = ["exact", "weak", "direct", "analog", "near", "weak", "weak"]
 REASONS = ["domain:nlp", "risk:leak", "metric:auc", "domain:cv", "lens:risk"]
 TYPES = ["paper", "GitHub Writeup", "notebook", "", "code", "forum"]
-_RESULTS_SQL = f"""r AS (SELECT doc_id % 50 AS query, doc_id AS position, 'a' || ((doc_id // 50) % 7) AS anchor, {sql_pick('doc_id', LEVELS)} AS match_level,
+_RESULTS_SQL = f"""r AS (SELECT doc_id % 50 AS query, doc_id AS position, 'a' || ((doc_id // 50) % 7) AS anchor, {sql_pick('doc_id', MATCH_LEVELS)} AS match_level,
 {sql_pick('doc_id', REASONS)} AS reason, CASE WHEN doc_id % 11 = 3 THEN 2 ELSE 0 END AS code, {sql_pick('doc_id', TYPES)} AS source_type, doc_id % 3 = 0 AS linked FROM documents)"""
 
 
 def _results(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(
-        (F.col("doc_id") % 50).alias("query"), F.col("doc_id").alias("position"), F.expr("concat('a', (doc_id div 50) % 7)").alias("anchor"), pick("doc_id", LEVELS).alias("match_level"),
+        (F.col("doc_id") % 50).alias("query"), F.col("doc_id").alias("position"), F.expr("concat('a', (doc_id div 50) % 7)").alias("anchor"), pick("doc_id", MATCH_LEVELS).alias("match_level"),
         F.array(pick("doc_id", REASONS)).alias("reasons"), F.when(F.col("doc_id") % 11 == 3, 2).otherwise(0).alias("code_evidence_count"), pick("doc_id", TYPES).alias("source_type"), (F.col("doc_id") % 3 == 0).alias("linked"),
     )
 
