@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance, infer, text, vocab
-from ..operators import audit, briefing, cards, catalog, ledger, profile, retrieval, setjoin
+from ..operators import audit, briefing, cards, catalog, ledger, planning, profile, retrieval, setjoin
 from ..sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -752,3 +752,90 @@ def collected_score(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     score = briefing.collected_score(c("doc_id") % 5, c("n_chars") % 12, c("doc_id") % 7, pick("doc_id", ["abc", ""]), pick("doc_id", ["MIT", "unknown", "unknown"]))
     return table(spark, sf, "documents").select("doc_id", score.alias("score"))
+
+
+DOMAINS = ["tabular", "sound", "audio", "nlp_llm"]
+RISK_NAMES = ["group_leakage", "temporal_leakage", "duplicate_leakage", "distribution_shift", "class_imbalance", "spatial_leakage", "noise"]
+
+
+@query(f"""WITH d AS (SELECT doc_id, unnest([0, 1]) AS i, [{sql_pick('doc_id', DOMAINS)}, CASE WHEN doc_id % 3 = 0 THEN 'system' ELSE 'none' END] AS ds, {sql_pick('doc_id', RISK_NAMES)} AS risk, lang FROM documents),
+f AS (SELECT * FROM (VALUES {', '.join('(' + q(k) + ', ' + q('|'.join(v)) + ')' for k, v in vocab.FAMILIES.items())}) t(domain, families)),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS place, domain, families, CASE WHEN lang = risk THEN lang ELSE lang || '|' || risk END AS signals FROM d JOIN f ON domain = ds[i + 1])
+SELECT doc_id, place, domain, families, signals FROM k UNION ALL
+SELECT doc_id, 0, {q(vocab.NO_DOMAIN)}, {q(vocab.NO_FAMILIES[0])}, {q(vocab.NO_SIGNALS[0])} FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM k)""")
+def family_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
+    domains = F.array(pick("doc_id", DOMAINS), F.when(F.col("doc_id") % 3 == 0, "system").otherwise("none"))
+    rows = table(spark, sf, "documents").select("doc_id", domains.alias("domains"), F.array("lang", "lang").alias("data"), F.array(pick("doc_id", RISK_NAMES)).alias("risks"))
+    return planning.family_hypotheses(rows, "doc_id").select("doc_id", "place", "domain", *(F.array_join(c, "|").alias(c) for c in ("families", "signals")))
+
+
+@query(f"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'inspect' WHEN doc_id % 3 = 0 THEN 'research' WHEN doc_id % 4 < 2 THEN 'baseline' ELSE 'experiment' END AS next_mode FROM documents)
+SELECT doc_id, next_mode, CASE next_mode {' '.join(f'WHEN {q(k)} THEN {q(v)}' for k, v in vocab.DECISIONS.items())} END AS reason, {q(vocab.HARD_RULE)} AS hard_rule FROM m""")
+def decision_policy(spark: SparkSession, sf: str) -> DataFrame:
+    unknowns = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("metric"))).otherwise(F.array().cast("array<string>"))
+    d = planning.decision(unknowns, pick("doc_id", ["low", "medium", "high"]), pick("doc_id", ["intake", "eda", "improve", "explore"]))
+    return table(spark, sf, "documents").select("doc_id", d.alias("d")).select("doc_id", "d.*")
+
+
+@query(f"""WITH d AS (SELECT doc_id, [{sql_pick('doc_id', RISK_NAMES)}, {sql_pick('n_chars', RISK_NAMES)}, CASE WHEN doc_id % 4 = 1 THEN 'threshold_classification' ELSE 'ranking' END] AS calls FROM documents),
+g AS (SELECT * FROM (VALUES {', '.join(f"({k}, {q(g)}, {[*by]}::VARCHAR[], {q(do)}, {q(ok)})" for k, (g, by, do, ok) in enumerate(vocab.GATES))}) t(n, gate, needs, action, pass_condition))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS place, gate, action, pass_condition FROM d, g WHERE len(needs) = 0 OR list_has_any(needs, calls)""")
+def validation_contract(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", F.array(pick("doc_id", RISK_NAMES), pick("n_chars", RISK_NAMES)).alias("risks"), pick("doc_id", ["ranking", "threshold_classification", "ranking", "ranking"]).alias("metric_family"))
+    return planning.validation_contract(rows, "doc_id")
+
+
+KIND_FILES = ["train.PY", "notes.rst", "Gold-Solution.log", "solution.bin", "conf.yaml", "x.dat", "方案", "discussion.json"]
+
+
+@query(f"SELECT doc_id, {sql_pick('doc_id', ['code', 'writeup', 'writeup', 'other', 'config', 'other', 'writeup', 'config'])} AS kind FROM documents")
+def file_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", planning.file_kind(pick("doc_id", KIND_FILES), F.col("doc_id") % 8 != 3).alias("kind"))
+
+
+@query("""WITH l AS (SELECT o_orderkey, unnest([0, 1, 2]) AS place, [o_custkey, -1, o_custkey + 1] AS ids FROM orders)
+SELECT o_orderkey, place, c_custkey AS research_id, c_mktsegment FROM l JOIN customer ON c_custkey = ids[place + 1]""")
+def linked_research(spark: SparkSession, sf: str) -> DataFrame:
+    ids = F.array("o_custkey", F.lit(-1).cast("long"), F.col("o_custkey") + 1)
+    tasks = table(spark, sf, "customer").select(F.col("c_custkey").alias("research_id"), "c_mktsegment")
+    return planning.linked(table(spark, sf, "orders").select("o_orderkey", ids.alias("ids")), tasks, "o_orderkey", "ids", "research_id", ["c_mktsegment"])
+
+
+_RUNS_SQL = """runs AS (SELECT o_orderkey AS run, CASE o_orderstatus WHEN 'O' THEN 'running' ELSE 'success' END AS status, CASE WHEN o_orderstatus <> 'O' THEN CAST(o_totalprice AS DOUBLE) END AS cv FROM orders WHERE o_orderkey % 7 <> 2),
+res AS (SELECT l_orderkey AS run, l_linenumber AS step, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'discarded' ELSE 'success' END AS status, CAST(l_extendedprice AS DOUBLE) AS cv FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step, status, cv) AS n FROM res)"""
+
+
+def _finalize(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c, price = F.col, F.col("o_totalprice").cast("double")
+    runs = table(spark, sf, "orders").where("o_orderkey % 7 <> 2").select(c("o_orderkey").alias("run"), F.when(c("o_orderstatus") == "O", "running").otherwise("success").alias("status"), F.when(c("o_orderstatus") != "O", price).alias("cv"))
+    ended = F.when(c("l_returnflag") == "R", "failed").when(c("l_returnflag") == "A", "discarded").otherwise("success")
+    results = table(spark, sf, "lineitem").select(c("l_orderkey").alias("run"), c("l_linenumber").alias("step"), ended.alias("status"), c("l_extendedprice").cast("double").alias("cv"))
+    return planning.finalize(runs, results, "run", "step", ["status", "cv"])
+
+
+@query(f"WITH {_RUNS_SQL} SELECT r.run, CASE WHEN r.status = 'running' AND n.run IS NOT NULL THEN n.status ELSE r.status END AS status, CASE WHEN r.status = 'running' AND n.run IS NOT NULL THEN n.cv ELSE r.cv END AS cv FROM runs r LEFT JOIN n ON n.run = r.run AND n.n = 1")
+def finalize_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return _finalize(spark, sf)[0]
+
+
+@query(f"""WITH {_RUNS_SQL}, p AS (SELECT n.run, n.step, n.status, n.cv, CASE WHEN r.run IS NULL THEN 'unknown' WHEN r.status <> 'running' THEN 'not running' WHEN n.n > 1 THEN 'ended before' END AS problem FROM n LEFT JOIN runs r ON r.run = n.run)
+SELECT * FROM p WHERE problem IS NOT NULL""")
+def refused_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _finalize(spark, sf)[1]
+
+
+@query("""WITH e AS (SELECT event_id, user_id, value, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS status, CASE WHEN event_id % 4 = 0 THEN event_id - 1 END AS parent FROM events)
+SELECT event_id, user_id, value, status, coalesce(parent, (max(CASE WHEN status = 'success' AND value IS NOT NULL THEN {'v': value, 'o': -event_id, 'k': event_id} END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))['k']) AS parent FROM e""")
+def recorded_parents(spark: SparkSession, sf: str) -> DataFrame:
+    status, parent = F.when(F.col("event_type") == "error", "failed").otherwise("success"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") - 1)
+    return planning.with_parents(table(spark, sf, "events").select("event_id", "user_id", "value", status.alias("status"), parent.alias("parent")), "user_id", "event_id", "event_id", "parent", "value")
+
+
+@query("""WITH l AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1)
+SELECT c_custkey, CASE s WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' WHEN 'P' THEN 'failed' ELSE 'planned' END AS status FROM customer LEFT JOIN l ON o_custkey = c_custkey""")
+def ablation_status(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.col
+    status = F.when(c("o_orderstatus") == "F", "success").when(c("o_orderstatus") == "O", "running").otherwise("failed")
+    runs = table(spark, sf, "orders").select(c("o_custkey").alias("c_custkey"), "o_orderkey", status.alias("status"))
+    return planning.ablation_status(table(spark, sf, "customer").select("c_custkey", F.lit("planned").alias("status")), runs, "c_custkey", "o_orderkey")
