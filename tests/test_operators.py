@@ -261,3 +261,33 @@ def test_briefing_cases(spark):
     tasks = spark.createDataFrame([("t", None), ("v", "verified")], "task string, status string")
     refs = spark.createDataFrame([("t",), ("v",), ("u",)], "task string")
     assert {(r["task"], r["problem"]) for r in briefing.unverified(refs, tasks, "task").collect()} == {("t", "not verified"), ("u", "unknown")}
+
+
+def test_finalize_takes_the_first_result_of_a_running_run(spark):
+    from marlspar.operators import planning
+
+    runs = spark.createDataFrame([(1, "running", None), (2, "success", 0.5), (3, "running", None)], "run int, status string, cv double")
+    results = spark.createDataFrame([(1, 2, "failed", None), (1, 1, "success", 0.7), (2, 1, "failed", None), (9, 1, "success", 1.0)], "run int, step int, status string, cv double")
+    done, refused = planning.finalize(runs, results, "run", "step", ["status", "cv"])
+    assert sorted(tuple(r) for r in done.collect()) == [(1, "success", 0.7), (2, "success", 0.5), (3, "running", None)]
+    assert sorted((r.run, r.step, r.problem) for r in refused.collect()) == [(1, 2, "ended before"), (2, 1, "not running"), (9, 1, "unknown")]
+    assert planning.finalize(runs.limit(0), results.limit(0), "run", "step", ["status", "cv"])[0].count() == 0
+
+
+def test_parents_take_the_earlier_of_equal_bests(spark):
+    from marlspar.operators import planning
+
+    rows = [("a", 1, "success", 0.5, None), ("a", 2, "success", 0.5, None), ("a", 3, "failed", 0.9, None), ("a", 4, "success", 0.1, 3), ("a", 5, "success", None, None), ("b", 1, "success", 1.0, None)]
+    runs = spark.createDataFrame(rows, "ledger string, n int, status string, cv double, parent int")
+    got = {(r.ledger, r.n): r.parent for r in planning.with_parents(runs, "ledger", "n", "n", "parent", "cv").collect()}
+    assert got == {("a", 1): None, ("a", 2): 1, ("a", 3): 1, ("a", 4): 3, ("a", 5): 1, ("b", 1): None}
+    lower = {(r.ledger, r.n): r.parent for r in planning.with_parents(runs, "ledger", "n", "n", "parent", "cv", "lower").collect()}
+    assert lower[("a", 5)] == 4
+
+
+def test_plans_of_null_lists(spark):
+    from marlspar.operators import planning
+
+    rows = spark.createDataFrame([(1, None, None, None, None)], "k int, domains array<string>, data array<string>, risks array<string>, metric_family string")
+    assert [r.domain for r in planning.family_hypotheses(rows, "k").collect()] == ["unclassified"]
+    assert [r.gate for r in planning.validation_contract(rows, "k").orderBy("place").collect()] == ["metric_reproduction", "submission_alignment"]
