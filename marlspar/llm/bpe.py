@@ -46,6 +46,23 @@ NO_RANK = np.uint32(0xFFFFFFFF)
 #: The code points of Unicode's White_Space property.
 WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Letters and numbers (first, last code point) that Unicode 14.0 to 16.0 added; the libraries know them,
+#: older character tables do not.
+NEW_LETTERS = (
+    (0x870, 0x887), (0x889, 0x88E), (0x8B5, 0x8B5), (0x8C8, 0x8C9), (0xC5D, 0xC5D), (0xCDD, 0xCDD), (0x170D, 0x170D), (0x171F, 0x171F), (0x1B4C, 0x1B4C), (0x1C89, 0x1C8A),
+    (0x2C2F, 0x2C2F), (0x2C5F, 0x2C5F), (0x9FFD, 0x9FFF), (0xA7C0, 0xA7C1), (0xA7CB, 0xA7CD), (0xA7D0, 0xA7D1), (0xA7D3, 0xA7D3), (0xA7D5, 0xA7DC), (0xA7F2, 0xA7F4), (0x10570, 0x1057A),
+    (0x1057C, 0x1058A), (0x1058C, 0x10592), (0x10594, 0x10595), (0x10597, 0x105A1), (0x105A3, 0x105B1), (0x105B3, 0x105B9), (0x105BB, 0x105BC), (0x105C0, 0x105F3), (0x10780, 0x10785),
+    (0x10787, 0x107B0), (0x107B2, 0x107BA), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x10F70, 0x10F81), (0x11071, 0x11072), (0x11075, 0x11075), (0x1123F, 0x11240),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11740, 0x11746), (0x11AB0, 0x11ABF),
+    (0x11BC0, 0x11BE0), (0x11F02, 0x11F02), (0x11F04, 0x11F10), (0x11F12, 0x11F33), (0x12F90, 0x12FF0), (0x1342F, 0x1342F), (0x13441, 0x13446), (0x13460, 0x143FA), (0x16100, 0x1611D),
+    (0x16A70, 0x16ABE), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1AFF0, 0x1AFF3), (0x1AFF5, 0x1AFFB), (0x1AFFD, 0x1AFFE), (0x1B11F, 0x1B122), (0x1B132, 0x1B132), (0x1B155, 0x1B155),
+    (0x1DF00, 0x1DF1E), (0x1DF25, 0x1DF2A), (0x1E030, 0x1E06D), (0x1E290, 0x1E2AD), (0x1E4D0, 0x1E4EB), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0), (0x1E7E0, 0x1E7E6), (0x1E7E8, 0x1E7EB),
+    (0x1E7ED, 0x1E7EE), (0x1E7F0, 0x1E7FE), (0x2A6DE, 0x2A6DF), (0x2B735, 0x2B739), (0x2EBF0, 0x2EE5D), (0x31350, 0x323AF),
+)
+NEW_NUMBERS = (
+    (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x11F50, 0x11F59), (0x16130, 0x16139), (0x16AC0, 0x16AC9), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1D2C0, 0x1D2D3),
+    (0x1E4F0, 0x1E4F9), (0x1E5F1, 0x1E5FA),
+)
 
 
 def byte_characters() -> list[str]:
@@ -59,13 +76,16 @@ def byte_characters() -> list[str]:
 
 
 def character_classes() -> np.ndarray:
-    """Class of every code point: letter (L*), number (N*), white space or other."""
+    """Class of every code point in Unicode 16.0: letter (L*), number (N*), white space or other, whatever version this Python knows."""
     import unicodedata
 
     kinds = np.fromiter((ord(unicodedata.category(chr(c))[0]) for c in range(0x110000)), np.uint8, 0x110000)
     out = np.zeros(0x110000, np.uint8)
     out[kinds == ord("L")] = LETTER
     out[kinds == ord("N")] = NUMBER
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for first, last in ranges:
+            out[first : last + 1] = kind
     out[list(WHITE_SPACE)] = SPACE
     return out
 
@@ -198,11 +218,10 @@ class MergeTable:
         return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=count)
 
 
-class Encoder:
-    """Text to ids; `slice` takes whole rows at once, `Transducer` one text in pieces."""
+class Splitter:
+    """Where words begin in UTF-8 bytes."""
 
-    def __init__(self, table: MergeTable):
-        self.table = table
+    def __init__(self):
         self.classes = character_classes()
 
     def kinds(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,6 +267,14 @@ class Encoder:
             begins[(at + size)[at + size < n]] = True
         return lead[begins]
 
+
+class Encoder(Splitter):
+    """Text to ids; `slice` takes whole rows at once, `Transducer` one text in pieces."""
+
+    def __init__(self, table: MergeTable):
+        super().__init__()
+        self.table = table
+
     def slice(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, concatenated, and each row's number of ids (no special tokens).
 

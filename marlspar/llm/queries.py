@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, clusters, decontam, filter_audit, jaccard, kneser_ney, lengths, packing, rules, suffixes, urlrules
+from . import bpe, byte_bpe, chat, clusters, decontam, filter_audit, jaccard, kneser_ney, lengths, packing, rules, suffixes, urlrules
 
-BPE_FILE = "byte_bpe_50k.json"
+BPE_FILE, RANKS_FILE = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
 def tokenizer_file() -> str:
@@ -18,6 +18,12 @@ def tokenizer_file() -> str:
     return public_tokenizers.path(BPE_FILE)
 
 
+def ranks_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(RANKS_FILE)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -159,6 +165,11 @@ FROM t
 """
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE by ranks, and back, of every document."""
+    return byte_bpe.encode(_table(spark, sf_dir, "documents"), ranks_file())
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters of all vectors of 64 components after three rounds from 16 hashed starts."""
     return clusters.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1, components=64, scale=64)
@@ -202,6 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_counts": op9_token_counts,
         "op10_suffix_dedup": op10_suffix_dedup,
         "op11_filter_audit": op11_filter_audit,
+        "op12_byte_bpe": op12_byte_bpe,
         "op13_centroid_clustering": op13_centroid_clustering,
     }
 
