@@ -11,8 +11,8 @@ with control strings inside role and text escaped: backslash -> \\, `###` -> \h,
 masked texts back from the rendered text alone and its spans.
 
 Cases: null texts and roles are empty; rows of one turn number are ordered by role, then text; repeated rows are
-turns of their own; conversations with a text of more than LONG characters take their turns from the columns, and
-other records that are too long to parse raise an error; a null conversation id is a conversation; a record of unknown layout has no turns; an empty
+turns of their own; conversations whose record has more than LONG characters take their turns from the columns, and
+records of a table of their own (`canonical_turns`) that are too long to parse raise an error; a null conversation id is a conversation; a record of unknown layout has no turns; an empty
 table gives an empty result; columns beyond conv_id, turn, role, text are ignored.
 """
 
@@ -23,7 +23,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text up to which a record is parsed; JSON strings beyond 20,000,000 characters give null.
+#: Characters of a record up to which it is parsed: JSON strings beyond 20,000,000 characters and variants beyond 128 MiB are refused.
 LONG = 19_000_000
 TURNS = "array<struct<role: string, text: string>>"
 _END, _HEAD = "</turn>", "###"
@@ -133,8 +133,7 @@ def _records(rows: DataFrame) -> DataFrame:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, turns, formatted, loss_spans of all conversations of a table of turns."""
-    long = F.exists("m", lambda x: F.greatest(F.length(x.role), F.length(x.text)) > LONG)
-    records = _records(rows).withColumn("_long", long)
+    records = _records(rows).withColumn("_long", F.length("record") > LONG)
     typed = F.transform("m", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))
     turns = canonical_turns(records.withColumn("record", F.when(~F.col("_long"), F.col("record"))))
     return render(turns.withColumn("turns", F.when(F.col("_long"), typed).otherwise(F.col("turns"))).drop("m", "_long"))

@@ -3,7 +3,7 @@
 Documents are counted by encoded length; running sums over the lengths answer, for every context limit, how many
 documents fit, how many tokens there are, and how many remain when each document is cut at the limit.
 
-Cases: null and empty texts have length 0; ties share one histogram row; an empty table has an empty histogram; a limit
+Cases: null and empty texts have length 0; ties share one histogram row; an empty table has an empty histogram, of which every asked limit says 0 documents and no quantile; a limit
 that is no text's length, negative ones too, has its answer from the lengths around it; repeated limits are one.
 """
 
@@ -48,7 +48,7 @@ def limits(hist: DataFrame) -> DataFrame:
     return rows.select(
         c("n_tokens").alias("limit_tokens"), "n_docs", (c("all_docs") - c("docs_over")).alias("docs_within"), "docs_over", "all_tokens",
         (c("all_tokens") - c("tokens_over") + c("docs_over") * c("n_tokens")).alias("truncated_tokens"),
-        ((c("all_docs") - c("docs_over")) / c("all_docs")).alias("quantile"),
+        F.try_divide(c("all_docs") - c("docs_over"), c("all_docs")).alias("quantile"),
     )
 
 

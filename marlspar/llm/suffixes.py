@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -531,7 +532,7 @@ def deduplicate(docs: DataFrame, queue_bytes: int = QUEUE_BYTES, hot_runs: int =
 def rewrite(docs: DataFrame) -> DataFrame:
     """The documents with their repeats cut out, in their own columns; n_chars, if any, is counted anew.
 
-    Characters that a cut divides go too; documents of which nothing is left go whole.
+    Characters that a cut divides go too; documents of which nothing is left go whole; a null text stays null, with its n_chars.
     """
     where = removals(docs)
     schema = docs.schema
@@ -542,9 +543,11 @@ def rewrite(docs: DataFrame) -> DataFrame:
             for lo, hi, rows in kept(batch):
                 part = batch.slice(lo, hi - lo)
                 texts = [t.decode("utf-8", "ignore") for _, t, _ in rows]
-                columns = dict(zip(part.schema.names, part.columns, strict=True)) | {"text": pa.array(texts, part.schema.field("text").type)}
+                columns = dict(zip(part.schema.names, part.columns, strict=True))
+                null = columns["text"].is_null()
+                columns["text"] = pc.if_else(null, columns["text"], pa.array(texts, part.schema.field("text").type))
                 if "n_chars" in columns:
-                    columns["n_chars"] = pa.array([len(t) for t in texts]).cast(part.schema.field("n_chars").type)
+                    columns["n_chars"] = pc.if_else(null, columns["n_chars"], pa.array([len(t) for t in texts]).cast(part.schema.field("n_chars").type))
                 out = pa.RecordBatch.from_arrays([*columns.values()], [*columns])
                 yield out.filter(pa.array([bool(t) or not n for t, (n, _, _) in zip(texts, rows, strict=True)]))
 

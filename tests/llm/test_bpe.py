@@ -85,3 +85,8 @@ def test_length_sums(spark):
     asked = lengths.at(hist, [0, 2, 3, 3, 1000]).collect()  # some of them are no text's length
     assert {(r.limit_tokens, r.docs_within, r.truncated_tokens) for r in asked} == {(k, sum(x <= k for x in n), sum(min(x, k) for x in n)) for k in (0, 2, 3, 1000)}
     assert {(r.share, r.n_tokens) for r in lengths.quantiles(hist, [0.5, 1.0]).collect()} == {(0.5, sorted(n)[len(n) // 2 - 1]), (1.0, max(n))}
+
+
+def test_limits_of_an_empty_histogram(spark):
+    hist = lengths.histogram(spark.createDataFrame([], "text string"), tokenizer_file())
+    assert [(r.limit_tokens, r.docs_within, r.truncated_tokens, r.quantile) for r in lengths.at(hist, [5]).collect()] == [(5, 0, 0, None)]

@@ -187,3 +187,12 @@ def test_long_texts_keep_their_turns(spark):
     rows = spark.range(1).selectExpr("1L as conv_id", "explode(array(0L, 1L)) as turn").selectExpr("conv_id", "turn", "if(turn = 0, 'user', 'assistant') as role", "if(turn = 0, 'why', repeat('a', 20000001)) as text")
     got = chat.format_conversations(rows).selectExpr("transform(turns, x -> length(x.text)) as n", "length(formatted) as size").collect()
     assert [tuple(x) for x in got] == [([3, 20000001], 20000004 + 2 * len("### : </turn>\n") + len("userassistant"))]
+
+
+def test_long_records_take_their_turns_from_the_columns(spark, monkeypatch):
+    """The record's length counts, not one text's: many turns of middling texts, and texts that JSON makes longer."""
+    monkeypatch.setattr(chat, "LONG", 200)
+    rows = [(1, k, "user", "x" * 60) for k in range(8)] + [(2, 0, "user", "\x01" * 50), (2, 1, "assistant", "### \\h"), (3, 0, "user", "short")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: [(t.role, t.text) for t in r.read_turns] for r in chat.parse(chat.format_conversations(df)).collect()}
+    assert got == {c: [(ro, x) for i, _, ro, x in rows if i == c] for c in (1, 2, 3)}

@@ -395,3 +395,9 @@ def test_language_model(spark):
     empty = kneser_ney.train(df.limit(0))
     assert kneser_ney.score(df.limit(0), empty).count() == 0
     assert all(x.score == 0 for x in kneser_ney.score(df.limit(3), empty).collect())
+
+
+def test_rewrite_keeps_null_texts(spark):
+    rows = [(1, None, None), (2, "", 0), (3, "a" * 150, 150), (None, None, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    assert sorted(map(tuple, suffixes.rewrite(df).collect()), key=str) == sorted([(1, None, None), (2, "", 0), (3, "a" * 150, 150), (None, None, 7)][:2] + [(None, None, 7)] + [tuple(r) for r in suffixes.rewrite(df.where("doc_id = 3")).collect()], key=str)
