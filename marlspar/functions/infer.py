@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import has_any, has_phrase, holds_tokens, normalize, tokens, tokens_py
+from .text import constant, has_any, has_phrase, held, normalize, tokens, tokens_py
 
 
 def _ranked(scores: dict[str, Column], order: list[str] | None = None) -> Column:
@@ -98,20 +98,19 @@ def cost(text: Column) -> Column:
 
 def entry_domain_scores(token_set: Column, chapter_tokens: Column) -> Column:
     """map<domain, score> of a catalog entry: 2 or 1 a phrase, 5 for a chapter hint; zeros left out."""
-    parts = []
-    for domain, phrases in vocab.DOMAINS.items():
-        # phrases as literal token lists, so that a row costs two filters a domain rather than a branch a phrase
-        own = [(tokens_py(p), " " in p) for p in phrases]
-        total = F.lit(0)
-        for points, chosen in ((2, [t for t, long in own if t and long]), (1, [t for t, long in own if t and not long])):
-            if chosen:
-                table = F.array(*[F.array(*map(F.lit, sorted(set(t)))) for t in chosen])
-                total = total + points * F.size(F.filter(table, lambda p: F.size(F.array_except(p, token_set)) == 0))
-        hint = F.lit(False)
-        for h in vocab.CHAPTER_HINTS.get(domain, []):
-            hint = hint | holds_tokens(chapter_tokens, h)
-        parts += [F.lit(domain), total + F.when(hint, 5).otherwise(0)]
-    return F.map_filter(F.create_map(*parts), lambda _, v: v > 0)
+    lists = lambda phrases: [t for p in phrases if (t := sorted(set(tokens_py(p))))]
+    rows = [
+        {"domain": d, "two": lists(p for p in phrases if " " in p), "one": lists(p for p in phrases if " " not in p), "hints": lists(vocab.CHAPTER_HINTS.get(d, []))}
+        for d, phrases in vocab.DOMAINS.items()
+    ]
+    known = constant(rows, "array<struct<domain: string, two: array<array<string>>, one: array<array<string>>, hints: array<array<string>>>>")
+
+    def score(x: Column) -> Column:
+        hint = F.when(F.size(held(chapter_tokens, x["hints"])) > 0, 5).otherwise(0)
+        points = 2 * F.size(held(token_set, x["two"])) + F.size(held(token_set, x["one"])) + hint
+        return F.struct(x["domain"].alias("key"), points.alias("value"))
+
+    return F.map_from_entries(F.filter(F.transform(known, score), lambda x: x["value"] > 0))
 
 
 def profile(slug: Column, title: Column, description: Column, metric: Column, data: Column, constraints: Column) -> Column:

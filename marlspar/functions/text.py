@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -98,6 +99,23 @@ def holds_tokens(token_set: Column, phrase: str) -> Column:
     return F.size(F.array_except(F.array(*map(F.lit, own)), token_set)) == 0 if own else F.lit(False)
 
 
+def constant(value: object, kind: str) -> Column:
+    """A nested literal as one expression, whatever its size; the optimizer folds it."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def held(token_set: Column, phrases: Column) -> Column:
+    """Those of an array of token lists of which the set has every token."""
+    return F.filter(phrases, lambda p: F.size(F.array_except(p, token_set)) == 0)
+
+
+def names_held(token_set: Column, table: dict[str, list[str]]) -> Column:
+    """Names of a table with a phrase (of one token at least) whose tokens are all in the set, in the table's order."""
+    rows = [{"name": n, "phrases": [t for p in phrases if (t := sorted(set(tokens_py(p))))]} for n, phrases in table.items()]
+    known = constant(rows, "array<struct<name: string, phrases: array<array<string>>>>")
+    return F.transform(F.filter(known, lambda x: F.size(held(token_set, x["phrases"])) > 0), lambda x: x["name"])
+
+
 def slugify(c: Column) -> Column:
     """Lower case without a leading number, other characters as single dashes, 80 characters, or `section`."""
     s = F.regexp_replace(F.lower(text_or_empty(c)), r"^\s*\d+\.\s*", "")

@@ -200,18 +200,19 @@ def lenses(profile: dict, custom: list[str] | None = None) -> list[tuple[str, st
     return [x for x in out if text.tokens_py(x[1])]
 
 
-def source_quality(intent: str | None = None) -> Column:
-    c = lambda n: F.coalesce(F.col(n).cast("double"), F.lit(0.0))
+def source_quality(intent: str | None = None, column=F.col) -> Column:
+    """Points of an entry's source; column(name) gives its columns."""
+    c = lambda n: F.coalesce(column(n).cast("double"), F.lit(0.0))
     code, tricks = F.least(c("code_evidence_count"), F.lit(20.0)), F.least(c("tricks_count"), F.lit(20.0))
-    tier = F.when(F.col("catalog_tier") == "curated", vocab.RANKING["curated_bonus"]).when(F.col("catalog_tier") == "learned", vocab.RANKING["learned_bonus"]).otherwise(0.0)
+    tier = F.when(column("catalog_tier") == "curated", vocab.RANKING["curated_bonus"]).when(column("catalog_tier") == "learned", vocab.RANKING["learned_bonus"]).otherwise(0.0)
     out = F.log1p(F.greatest(c("quality_score"), F.lit(0.0))) * 0.55 + code * 0.08 + tricks * 0.06 + tier
-    kind = text.normalize(F.col("source_type"))
+    kind = text.normalize(column("source_type"))
     if intent == "code":
         out = out + code * 0.22 + F.when(kind.contains("analysis"), 1.0).otherwise(0.0)
     elif intent == "strategy":
         out = out + tricks * 0.14 + F.when(kind.contains("writeup"), 1.2).otherwise(0.0)
     elif intent == "high_score":
-        words = text.normalize(F.concat_ws(" ", "title", "summary"))
+        words = text.normalize(F.concat_ws(" ", column("title"), column("summary")))
         for p in vocab.HIGH_SCORE_PHRASES:
             out = out + F.when(text.has_phrase(words, p), 1.2).otherwise(0.0)
     return out
@@ -225,7 +226,7 @@ def facets(entries: DataFrame, profile: dict, intent: str | None = None) -> Data
     df = entries.withColumn("_set", F.array_distinct(text.tokens(whole))).withColumn("_chapter", F.array_distinct(text.tokens(F.col("chapter"))))
     df = df.withColumn("_scores", infer.entry_domain_scores(F.col("_set"), F.col("_chapter")))
     df = df.withColumn("_own", F.map_keys(F.map_filter("_scores", lambda _, v: v >= 2)))
-    held = lambda names, table: F.filter(F.array(*[F.when(_any_tokens(F.col("_set"), table.get(n, [])), F.lit(n)) for n in names]).cast("array<string>"), lambda x: x.isNotNull())
+    held = lambda names, table: F.array_intersect(lit(names), text.names_held(F.col("_set"), {n: table.get(n, []) for n in names}))
     wanted = lit(profile.get("domains") or [])
     wanted_primary = F.array_intersect(wanted, lit(vocab.PRIMARY_DOMAINS))
     df = df.withColumn("_primary", F.array_sort(F.array_intersect(wanted_primary, F.col("_own"))))
@@ -262,13 +263,6 @@ def facets(entries: DataFrame, profile: dict, intent: str | None = None) -> Data
     return df.drop("_set", "_chapter", "_scores", "_own", "_primary", "_support", "_risks", "_mechanisms", "_clash")
 
 
-def _any_tokens(token_set: Column, phrases: list[str]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | text.holds_tokens(token_set, p)
-    return out
-
-
 def fuse(ranked: DataFrame, keys: list[str], k: float = vocab.RANKING["rrf_k"]) -> DataFrame:
     """Reciprocal-rank fusion of (lens, weight, entry, rank, score[, level]) by keys and entry; final is the scaled score."""
     order = F.array(*map(F.lit, vocab.LEVELS))
@@ -350,13 +344,21 @@ def coverage(hits: DataFrame, keys: list[str], has_primary: Column, risks_wanted
     return out.withColumn("gaps", F.filter(F.array(*[F.when(t, F.lit(x)) for t, x in gaps]), lambda x: x.isNotNull())).drop("_primary", "_risks")
 
 
+def _local(df: DataFrame) -> DataFrame:
+    """A table of a bounded number of rows, made once."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def retrieve(entries: DataFrame, profile: dict, queries: list[str] | None = None, intent: str | None = None, recall: int = 80, limit: int = 12) -> DataFrame:
     """The flagship pipeline: (position, entry, final, level, reasons, lenses) for one profile; entries have `id`."""
     spark = entries.sparkSession
     specs = lenses(profile, queries)
     table = spark.createDataFrame([(n, t, float(w)) for n, t, w, _ in specs], "query string, text string, weight double")
     hits = bm25_scan(tokenised(entries, "id", entry_fields()), query_tokens(table, "query", F.col("text")), top=max(2 * recall, vocab.RANKING["minimum_candidate_pool"]))
-    scored = facets(entries, profile, intent).select(F.col("id").alias("entry"), "facet", "level", "reasons", "title", "competition_slug").cache()
+    # facets of what the search returned only: some thirty lenses times their pool, whatever the catalog's size
+    hits = _local(hits)
+    named = F.broadcast(hits.select(F.col("entry").alias("id")).distinct())
+    scored = _local(facets(entries.join(named, "id", "left_semi"), profile, intent).select(F.col("id").alias("entry"), "facet", "level", "reasons", "title", "competition_slug"))
     both = hits.join(scored, "entry").withColumn("raw", F.col("score") + F.col("facet")).where("raw > 0").join(F.broadcast(table.select("query", "weight")), "query")
     order = Window.partitionBy("query").orderBy(F.desc("raw"), "entry")
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= recall)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance, infer, text, vocab
-from ..operators import audit, briefing, cards, catalog, ledger, planning, profile, retrieval, setjoin
-from ..sources import files
+from ..operators import audit, briefing, cards, catalog, evidence, ledger, planning, profile, replay, retrieval, setjoin
+from ..sources import files, index, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,6 +117,16 @@ def _tokenised(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.tokenised(spread(table(spark, sf, "documents")), "doc_id", one).persist(StorageLevel.DISK_ONLY)
 
 
+@query(SQL["bm25_topk"])
+def index_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The same answers from the persistent index, built on the first call for these documents and found again later."""
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    one = F.array(F.struct(F.col("text").alias("text"), F.lit(1.0).alias("weight")))
+    found = index.load_or_build(docs, "doc_id", one, f"{store.shared_root(spark)}/document-index")
+    hits = found.rank(retrieval.query_tokens(table(spark, sf, "benchmark"), "item_id", F.col("text")), top=10)
+    return hits.select(F.col("query").alias("item_id"), F.col("entry").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH src AS (SELECT 'full' AS lens, item_id AS query, text AS txt FROM benchmark UNION ALL SELECT 'head', item_id, array_to_string({tok_sql('text')}[1:8], ' ') FROM benchmark), {BM25_SQL},
 f AS (SELECT query, entry, sum(CASE lens WHEN 'full' THEN 1.9 ELSE 1.5 END / (45 + rank)) AS rrf, max(score) AS raw FROM rk WHERE rank <= 40 GROUP BY ALL),
 g AS (SELECT *, round((1000 * rrf + 6 * ln(1 + raw)) * 0.95, 3) AS final FROM f)
@@ -161,14 +171,15 @@ def _any_sql(phrases: list[str]) -> str:
     return "(" + " OR ".join(_set_sql(p) for p in phrases) + ")"
 
 
-def _facet_sql() -> str:
+def _facet_sql(words: str | None = None) -> str:
+    words = words or f"d.source || '  ' || d.lang || ' ' || ({sql_pick('d.doc_id', NOTES)})"
     ascii_only = lambda ps: [p for p in ps if p.isascii()]  # noqa: E731  the injected notes hold no CJK
     dom = ",\n".join(f"{' + '.join(f'CASE WHEN {_set_sql(p)} THEN {2 if chr(32) in p else 1} ELSE 0 END' for p in ascii_only(ps))} AS d_{d}" for d, ps in vocab.DOMAINS.items())
     risk = " + ".join(f"CASE WHEN {_any_sql(ascii_only(vocab.RISKS[r]))} THEN 1 ELSE 0 END" for r in PROFILE["validation_risks"])
     mech = " + ".join(f"CASE WHEN {_any_sql(ascii_only(vocab.MECHANISMS[m]))} THEN 1 ELSE 0 END" for m in PROFILE["mechanisms"])
     others = " OR ".join(f"d_{d} >= 2" for d in vocab.PRIMARY_DOMAINS if d not in PROFILE["domains"])
     return f"""e AS (SELECT d.doc_id, d.source AS slug, d.doc_id % 4 AS code, d.doc_id % 6 AS tricks, d.doc_id % 2 AS odd, coalesce(l.quality * 100, 0) AS quality, d.doc_id % 3 AS tier,
-  list_distinct({tok_sql(f"d.source || '  ' || d.lang || ' ' || ({sql_pick('d.doc_id', NOTES)})")}) AS tok FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+  list_distinct({tok_sql(words)}) AS tok FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
 s AS (SELECT *, {dom}, {risk} AS risks, {mech} AS mechs FROM e),
 t AS (SELECT *, slug = 'src3' AS exact, (d_tabular >= 2 OR d_cv_vision >= 2) AS prim, d_feature >= 2 AS supp, ({others}) AS clash0, (list_contains(tok, 'macro') OR list_contains(tok, 'f1')) AS met FROM s),
 fc AS (SELECT doc_id, slug, code, odd, risks,
@@ -202,6 +213,53 @@ def retrieve_evidence(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("position", "entry", "final", "level", F.array_join("lenses", ",").alias("lenses"))
 
 
+#: Lenses of the profile with the item's text as description; @@ stands for the text.
+MANY = PROFILE | {"description": "@@", "queries": ["group kfold by patient"]}
+
+
+def _many_sql() -> str:
+    """All lenses of all items over weighted fields, facets, and fusion to the best 40 of each item."""
+    note = sql_pick("doc_id", NOTES)
+    part = lambda x: " || ".join(q(p) if k % 2 == 0 else "text" for k, p in enumerate(y for z in x.split("@@") for y in (z, "@@")) if k < 2 * x.count("@@") + 1)
+    src = " UNION ALL ".join(f"SELECT {q(n)} AS lens, {float(w)} AS weight, item_id AS query, {part(t)} AS txt FROM benchmark" for n, t, w, _ in retrieval.lenses(MANY, MANY["queries"]))
+    fields = [(4.0, "source"), (3.2, "'doc ' || doc_id"), (2.8, "lang"), (1.3, f"({note}) || ' ' || text")]
+    post = " UNION ALL ".join(f"SELECT doc_id, {w} AS w, unnest({tok_sql(x)}) AS token FROM documents" for w, x in fields)
+    bm = BM25_SQL.replace(BM25_SQL[: BM25_SQL.index("dl AS")], "\np AS (SELECT doc_id AS entry, token, CAST(sum(w) AS DOUBLE) AS tf FROM (" + post + ") GROUP BY ALL),\n", 1)
+    face = _facet_sql(f"d.source || ' doc ' || d.doc_id || ' ' || d.lang || ' ' || ({sql_pick('d.doc_id', NOTES)}) || ' ' || d.text")
+    return f"""WITH src AS ({src}), {bm}, {face},
+rw AS (SELECT lens, query, entry, level, score + facet AS raw FROM rk JOIN fc ON fc.doc_id = rk.entry WHERE rank <= 160 AND score + facet > 0),
+rr AS (SELECT *, row_number() OVER (PARTITION BY lens, query ORDER BY round(raw, 9) DESC, entry) AS r FROM rw),
+fu AS (SELECT query, entry, any_value(level) AS level, sum(weight / (45 + r)) AS rrf, max(raw) AS raw FROM rr JOIN (SELECT DISTINCT lens, weight FROM src) USING (lens) WHERE r <= 80 GROUP BY ALL),
+fi AS (SELECT *, round((1000 * rrf + 6 * ln(1 + raw)) * CASE level WHEN 'exact' THEN 1.25 WHEN 'direct' THEN 1.12 WHEN 'near' THEN 1.04 WHEN 'adjacent' THEN 0.95 ELSE 0.82 END, 3) AS final FROM fu)
+SELECT query AS item_id, entry AS doc_id, level, final, row_number() OVER (PARTITION BY query ORDER BY final DESC, entry) AS place FROM fi QUALIFY place <= 40"""
+
+
+def _many(spark: SparkSession, sf: str) -> evidence.Evidence:
+    """Evidence for every item of the benchmark among all documents, which are entries with whole texts."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    entries = _entries(spark, sf).withColumn("title", F.concat(F.lit("doc "), F.col("id"))).join(docs, "id").withColumn("summary", F.concat_ws(" ", "summary", "text")).drop("text")
+    shaped = evidence.shaped(spread(entries))
+    found = index.load_or_build(shaped, "id", retrieval.entry_fields(), f"{store.shared_root(spark)}/entry-index", mark=index.fingerprint(entries))
+    literal = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    own = {k: literal(v).alias(k) for k, v in MANY.items() if k != "description"}
+    return evidence.retrieve(found, table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("profile"), F.col("text").alias("description"), *own.values()))
+
+
+@query(_many_sql())
+def retrieve_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The fused candidates of every benchmark item, through the persistent index."""
+    out = _many(spark, sf).candidates.where("place <= 40")
+    return out.select(F.col("profile").cast("long").alias("item_id"), F.col("entry").alias("doc_id"), "level", "final", F.col("place").cast("long").alias("place"))
+
+
+@query()
+def retrieve_many_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Results and bridges of every item, with what covers it; tests hold the greedy choice against a brute-force one."""
+    found = _many(spark, sf)
+    out = found.results.select("profile", "kind", "position", "entry", "final", "level", F.array_join("lenses", ",").alias("lenses"), F.array_join("reasons", ";").alias("reasons"))
+    return out.join(found.coverage.select("profile", "confidence", "direct_or_near", "unique_competitions"), "profile")
+
+
 @query()
 def mmr_diversify(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where(F.length("text") > 200)
@@ -839,3 +897,76 @@ def ablation_status(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(c("o_orderstatus") == "F", "success").when(c("o_orderstatus") == "O", "running").otherwise("failed")
     runs = table(spark, sf, "orders").select(c("o_custkey").alias("c_custkey"), "o_orderkey", status.alias("status"))
     return planning.ablation_status(table(spark, sf, "customer").select("c_custkey", F.lit("planned").alias("status")), runs, "c_custkey", "o_orderkey")
+
+
+#: Actions from the events, a workspace a user: one run each; every event records an experiment (a tenth of them planned as ablations
+#: before), those that run end later, and some actions break a rule.
+_ACTIONS_SQL = """
+ev AS (SELECT 'u' || user_id AS workspace, event_id AS e, round(value, 4) AS v FROM events WHERE user_id IS NOT NULL),
+act AS (
+  SELECT workspace, 'begin' AS kind, -1 AS tm, 0 AS seq, NULL AS id, NULL AS ablation, NULL AS component, NULL AS status, NULL AS cv FROM ev GROUP BY workspace
+  UNION ALL SELECT workspace, 'plan', 2 * e, 0, 'A' || e, NULL, NULL, NULL, NULL FROM ev WHERE e % 10 = 3
+  UNION ALL SELECT workspace, 'record', 2 * e, 1, 'E' || e, CASE WHEN e % 10 = 3 THEN 'A' || e END, CASE e % 7 WHEN 0 THEN 'validation' WHEN 1 THEN 'baseline' ELSE 'model' END,
+    CASE e % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'success' END, CASE WHEN e % 4 > 1 THEN v END FROM ev
+  UNION ALL SELECT workspace, 'finalize', 2 * e + 1001, 0, 'E' || e, NULL, NULL, CASE WHEN e % 8 = 0 THEN 'success' ELSE 'discarded' END, CASE WHEN e % 8 = 0 THEN v + 1 END FROM ev WHERE e % 4 = 0
+  UNION ALL SELECT workspace, 'record', 2 * e, 2, 'E' || e, NULL, 'model', 'success', v FROM ev WHERE e % 97 = 5
+  UNION ALL SELECT workspace, 'finalize', 2 * e + 1001, 1, 'E' || e, NULL, NULL, 'failed', NULL FROM ev WHERE e % 64 = 0)"""
+#: What improves: every success with a score, in order, against the best before it.
+_FOLD_SQL = f"""WITH {_ACTIONS_SQL},
+good AS (SELECT * FROM act WHERE kind IN ('record', 'finalize') AND NOT (kind = 'record' AND seq = 2) AND NOT (kind = 'finalize' AND seq = 1)),
+sc AS (SELECT workspace, id, tm, seq, cv, max(cv) OVER (PARTITION BY workspace ORDER BY tm, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM good WHERE status = 'success' AND cv IS NOT NULL),
+im AS (SELECT *, best IS NULL OR cv > best AS improved, cv - best AS delta FROM sc)"""
+
+
+def _ledger_state(spark: SparkSession, sf: str) -> replay.State:
+    """The events' actions, folded."""
+    ev = table(spark, sf, "events").where("user_id is not null").select(F.concat(F.lit("u"), "user_id").alias("workspace"), F.col("event_id").alias("e"), F.round("value", 4).alias("v"))
+    e, v, run = F.col("e"), F.col("v"), F.concat(F.lit("E"), F.col("e"))
+    status = F.when(e % 4 == 0, "running").when(e % 4 == 1, "failed").otherwise("success")
+    part = F.when(e % 7 == 0, "validation").when(e % 7 == 1, "baseline").otherwise("model")
+    rows = [
+        (ev.select("workspace").distinct(), F.lit("begin"), F.lit(-1), 0, {}),
+        (ev.where("e % 10 = 3"), F.lit("plan"), 2 * e, 0, {"id": F.concat(F.lit("A"), e)}),
+        (ev, F.lit("record"), 2 * e, 1, {"id": run, "ablation": F.when(e % 10 == 3, F.concat(F.lit("A"), e)), "component": part, "status": status, "cv": F.when(e % 4 > 1, v)}),
+        (ev.where("e % 4 = 0"), F.lit("finalize"), 2 * e + 1001, 0, {"id": run, "status": F.when(e % 8 == 0, "success").otherwise("discarded"), "cv": F.when(e % 8 == 0, v + 1)}),
+        (ev.where("e % 97 = 5"), F.lit("record"), 2 * e, 2, {"id": run, "component": F.lit("model"), "status": F.lit("success"), "cv": v}),
+        (ev.where("e % 64 = 0"), F.lit("finalize"), 2 * e + 1001, 1, {"id": run, "status": F.lit("failed")}),
+    ]
+    out = None
+    for part_rows, kind, at, seq, columns in rows:
+        own = replay.shaped(part_rows.select("workspace", F.lit("r").alias("run_id"), kind.alias("kind"), at.cast("long").alias("commit"), F.lit(seq).alias("seq"), *[c.alias(k) for k, c in columns.items()]))
+        out = own if out is None else out.unionByName(own)
+    return replay.replay(out)
+
+
+@query(f"""{_FOLD_SQL}, st AS (SELECT workspace, id, arg_max(status, (tm, seq)) AS status, arg_max(cv, (tm, seq)) FILTER (status <> 'running') AS cv, min((tm, seq)) AS first_at FROM good GROUP BY ALL)
+SELECT st.workspace, st.id, st.status, st.cv, coalesce(im.improved, false) AS improved, im.delta, row_number() OVER (PARTITION BY st.workspace ORDER BY first_at) AS place,
+  (SELECT max(b.id) FROM im b WHERE b.workspace = st.workspace AND b.improved AND (b.tm, b.seq) < st.first_at AND NOT EXISTS (SELECT 1 FROM im c WHERE c.workspace = b.workspace AND c.improved AND (c.tm, c.seq) < st.first_at AND (c.tm, c.seq) > (b.tm, b.seq))) AS parent
+FROM st LEFT JOIN im USING (workspace, id)""")
+def ledger_experiments(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger_state(spark, sf).experiments.select("workspace", "id", "status", "cv", "improved", "delta", F.col("place").cast("long").alias("place"), "parent")
+
+
+@query(f"""{_FOLD_SQL}, f AS (SELECT workspace, bool_or(component = 'validation' AND status = 'success') AS v0, bool_or(component = 'baseline' AND status = 'success') AS b0 FROM good GROUP BY ALL),
+f2 AS (SELECT g.workspace, bool_or(r.component = 'validation') AS v1, bool_or(r.component = 'baseline') AS b1 FROM good g JOIN good r ON g.kind = 'finalize' AND g.status = 'success' AND r.kind = 'record' AND r.workspace = g.workspace AND r.id = g.id GROUP BY ALL),
+last AS (SELECT workspace, arg_max(id, (tm, seq)) FILTER (improved) AS best, max(cv) AS best_cv FROM im GROUP BY ALL),
+ok AS (SELECT r.workspace, r.id, min((r.tm, r.seq)) AS p, coalesce(bool_or(im.improved), false) AS improved FROM good r LEFT JOIN im USING (workspace, id) GROUP BY ALL HAVING bool_or(r.status = 'success')),
+pl AS (SELECT workspace, count(*) FILTER (p > coalesce((SELECT max(o.p) FROM ok o WHERE o.workspace = ok.workspace AND o.improved), (-9, -9))) AS plateau, count(*) AS won FROM ok GROUP BY ALL),
+n AS (SELECT workspace, count(DISTINCT id) AS experiments FROM good GROUP BY ALL)
+SELECT n.workspace, best, best_cv, experiments, coalesce(plateau, 0) AS plateau, coalesce(v0 OR coalesce(v1, false), false) AS validated, coalesce(b0 OR coalesce(b1, false), false) AS baseline
+FROM n LEFT JOIN last USING (workspace) LEFT JOIN pl USING (workspace) LEFT JOIN f USING (workspace) LEFT JOIN f2 USING (workspace)""")
+def ledger_workspaces(spark: SparkSession, sf: str) -> DataFrame:
+    out = _ledger_state(spark, sf).workspaces
+    return out.select("workspace", "best", "best_cv", F.col("experiments").cast("long").alias("experiments"), F.col("plateau").cast("long").alias("plateau"), "validated", "baseline")
+
+
+@query(f"""WITH {_ACTIONS_SQL}
+SELECT workspace, id, kind, CASE kind WHEN 'record' THEN 'the experiment exists' ELSE 'the experiment is not running' END AS problem FROM act WHERE kind = 'record' AND seq = 2 OR kind = 'finalize' AND seq = 1""")
+def ledger_refused(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger_state(spark, sf).refused.select("workspace", "id", "kind", "problem")
+
+
+@query(f"""WITH {_ACTIONS_SQL}
+SELECT workspace, id, 'E' || substr(id, 2) AS experiment, CASE CAST(substr(id, 2) AS BIGINT) % 4 WHEN 1 THEN 'failed' ELSE 'completed' END AS status FROM act WHERE kind = 'plan'""")
+def ledger_ablations(spark: SparkSession, sf: str) -> DataFrame:
+    return _ledger_state(spark, sf).ablations.select("workspace", "id", "experiment", "status")
