@@ -64,14 +64,16 @@ def catalog_quality(base: Column, validated: Column, negative: Column) -> Column
     return F.least(F.lit(300), base + 12 * validated + 5 * negative)
 
 
-def file_score(path: Column, kind: Column, chars: Column, hints: list[str]) -> Column:
-    """Additive score of a collected file; tests lose 18."""
+def file_score(path: Column, kind: Column, chars: Column, hints: list[str], role_hints: list[str] | None = None) -> Column:
+    """Additive score of a collected file: 12 a write-up hint and 6 a code role in its name; tests lose 18."""
     low = F.lower(path)
     name = F.element_at(F.split(low, "/"), -1)
     out = F.when(kind == "writeup", 70).when(kind == "code", 45).when(kind == "config", 28).otherwise(0)
     out = out + F.when(name.isin("readme.md", "write-up.md", "writeup.md", "solution.md"), 45).otherwise(0)
     for h in hints:
         out = out + F.when(name.contains(h), 12).otherwise(0)
+    for h in role_hints or []:
+        out = out + F.when(name.contains(h), 6).otherwise(0)
     out = out + F.when(low.rlike("1st|first|winner|gold|第一|高分"), 18).otherwise(0)
     out = out - F.when(low.rlike("(^|/)tests/") | name.startswith("test_"), 18).otherwise(0)
     return out + F.least(F.lit(10), F.floor(F.floor(F.log2(F.greatest(chars, F.lit(1)))) / 2)).cast("int")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance, infer, text, vocab
-from ..operators import audit, briefing, cards, catalog, evidence, ledger, planning, profile, replay, retrieval, setjoin
+from ..operators import audit, briefing, cards, catalog, collect, evidence, ledger, planning, profile, replay, retrieval, setjoin
 from ..sources import files, index, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -970,3 +970,30 @@ def ledger_refused(spark: SparkSession, sf: str) -> DataFrame:
 SELECT workspace, id, 'E' || substr(id, 2) AS experiment, CASE CAST(substr(id, 2) AS BIGINT) % 4 WHEN 1 THEN 'failed' ELSE 'completed' END AS status FROM act WHERE kind = 'plan'""")
 def ledger_ablations(spark: SparkSession, sf: str) -> DataFrame:
     return _ledger_state(spark, sf).ablations.select("workspace", "id", "experiment", "status")
+
+
+def _rust_sql() -> str:
+    """The best symbol of every document that is laid out as a Rust file: a declaration a sentence."""
+    hints = " + ".join(f"CASE WHEN contains(lower(name), {q(h)}) THEN 5 ELSE 0 END" for h in vocab.SYMBOL_HINTS)
+    names = " + ".join(f"CASE WHEN contains(path, {q(h)}) THEN 6 ELSE 0 END" for h in vocab.ROLE_HINTS)
+    body = _redact_sql("'fn ' || regexp_replace(substr(text, 1, 100000000), '[.!?]\\s+', chr(10) || 'fn ', 'g')", vocab.REDACT_LINES)
+    lines = r"list_transform(string_split(replace(substr(body, 1, 250000), chr(13) || chr(10), chr(10)), chr(10)), lambda x: regexp_replace(x, '\s+$', ''))"
+    return rf"""WITH d AS (SELECT doc_id, lang || '/model_' || doc_id || '.rs' AS path, {body} AS body, octet_length(encode(text)) AS size FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, path, string_split(regexp_replace(array_to_string({lines}, chr(10)), '^\s+|\s+$', '', 'g'), chr(10)) AS ls, 45 + ({names}) + least(10, CAST(floor(floor(log2(greatest(size, 1))) / 2) AS INTEGER)) AS own FROM d),
+x AS (SELECT doc_id, path, own, i, ls, regexp_extract(ls[i], {q(vocab.SYMBOL_PATTERNS['rust'])}, 1) AS name FROM f, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+b AS (SELECT *, own + 8 + {hints} AS points FROM x WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY points DESC, i) = 1),
+e AS (SELECT *, sha256(regexp_replace(array_to_string(ls[i:least(len(ls), i + 35)], chr(10)), '^\s+|\s+$', '', 'g')) AS sha FROM b),
+u AS (SELECT *, row_number() OVER (PARTITION BY lower(name), sha ORDER BY points DESC, path DESC) AS n FROM e)
+SELECT 'CE' || lpad(CAST(row_number() OVER (ORDER BY points DESC, path DESC) AS VARCHAR), 3, '0') AS id, path, name AS symbol, i AS start_line, least(len(ls), i + 35) AS end_line, sha AS content_sha256
+FROM u WHERE n = 1 ORDER BY points DESC, path DESC LIMIT 40"""
+
+
+@query(_rust_sql())
+def code_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Code evidence of all documents, each laid out as a source file."""
+    docs = spread(table(spark, sf, "documents")).where("text is not null")
+    path = F.concat("lang", F.lit("/model_"), "doc_id", F.lit(".rs"))
+    body = F.concat(F.lit("fn "), F.regexp_replace("text", r"[.!?]\s+", "\nfn "))
+    score = cards.file_score(path, F.lit("code"), F.octet_length("text"), vocab.WRITEUP_HINTS, vocab.ROLE_HINTS)
+    out = collect.evidence(docs.select(path.alias("path"), F.lit("rust").alias("language"), score.alias("score"), F.sha2("text", 256).alias("sha256"), body.alias("body")), 40)
+    return out.select("id", "path", "symbol", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content_sha256")

@@ -86,8 +86,9 @@ def decoded(content: Column) -> Column:
 def text_stats(body: Column, most: int = 200_000) -> Column:
     """(chars, lines, mean_line) of the first characters."""
     t = F.substring(body, 1, most)
-    lines = F.size(F.split(t, "\n"))
-    return F.struct(F.length(t).alias("chars"), lines.alias("lines"), F.round(F.length(F.replace(t, F.lit("\n"), F.lit(""))) / lines, 3).alias("mean_line"))
+    # a line end ends a line and begins no further one
+    lines = F.when(t == "", 0).otherwise(F.size(F.split(t, "\n")) - F.when(t.endswith("\n"), 1).otherwise(0))
+    return F.struct(F.length(t).alias("chars"), lines.alias("lines"), F.coalesce(F.round(F.try_divide(F.length(F.replace(t, F.lit("\n"), F.lit(""))), lines), 3), F.lit(0.0)).alias("mean_line"))
 
 
 def json_shape(body: Column) -> Column:
@@ -96,9 +97,11 @@ def json_shape(body: Column) -> Column:
 
 
 def is_text(content: Column) -> Column:
-    """No NUL in the first 8 KiB and less than 2 % of characters that do not decode."""
+    """No NUL in the first 8 KiB and less than 2 % of characters that do not decode; an empty file is text."""
     head = F.substring(content, 1, 8192)
-    return (F.instr(F.hex(head), "00") == 0) | ~F.hex(head).rlike("^(?:..)*?00")
+    shown = F.make_valid_utf8(head.cast("string"))
+    broken = F.length(shown) - F.length(F.replace(shown, F.lit("\ufffd"), F.lit("")))
+    return ~F.coalesce(F.hex(head).rlike("^(?:..)*?00"), F.lit(False)) & (broken < 0.02 * F.greatest(F.length(shown), F.lit(1)))
 
 
 def notebook_text(body: Column) -> Column:
