@@ -84,7 +84,7 @@ def suffix_counts(files: DataFrame, name: str) -> DataFrame:
 
 
 def collected_score(writeups: Column, evidence: Column, tricks: Column, commit: Column, spdx: Column) -> Column:
-    """Quality of a collected source: every kind of support adds up to its own bound, 80 in all at most."""
+    """Quality of a collected source: every kind of support adds up to its own bound, 80 in all at most; only the licence `unknown` gives no points."""
     bounded = [F.least(F.lit(15), 5 * writeups), F.least(F.lit(30), 4 * evidence), F.least(F.lit(10), 2 * tricks)]
-    flags = [F.when(commit != "", 3).otherwise(0), F.when(spdx != "unknown", 2).otherwise(0)]
+    flags = [F.when(commit != "", 3).otherwise(0), F.when(~spdx.eqNullSafe("unknown"), 2).otherwise(0)]
     return F.least(F.lit(80), sum([*bounded, *flags], F.lit(20)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocab
+from . import ledger
 from .briefing import suffix
 
 
@@ -36,8 +37,12 @@ def decision(unknowns: Column, confidence: Column, stage: Column) -> Column:
 
 
 def validation_contract(rows: DataFrame, key: str) -> DataFrame:
-    """(key, place, gate, action, pass_condition) of the gates that rows (key, risks, metric_family) call for."""
-    calls = F.concat(F.coalesce("risks", F.array().cast("array<string>")), F.array("metric_family"))
+    """(key, place, gate, action, pass_condition) of the gates that rows (key, risks, metric_family) call for.
+
+    A gate of metric families is not opened by a risk of that name, nor one of risks by a family.
+    """
+    families = _strings([*vocab.METRICS, "custom", "unknown"])
+    calls = F.concat(F.array_except(F.coalesce("risks", F.array().cast("array<string>")), families), F.array_intersect(F.array("metric_family"), families))
     gates = F.array(*[F.struct(F.lit(g).alias("gate"), _strings(by).alias("by"), F.lit(do).alias("action"), F.lit(ok).alias("pass_condition")) for g, by, do, ok in vocab.GATES])
     due = F.filter(gates, lambda g: (F.size(g["by"]) == 0) | F.coalesce(F.arrays_overlap(g["by"], calls), F.lit(False)))
     return rows.select(key, F.posexplode(due).alias("place", "_g")).select(key, "place", "_g.gate", "_g.action", "_g.pass_condition")
@@ -76,13 +81,16 @@ def finalize(runs: DataFrame, results: DataFrame, key: str, at: str, fields: lis
     return done.select(*out), late.withColumn("problem", problem).where("problem is not null").select(*results.columns, "problem")
 
 
-def with_parents(runs: DataFrame, group: str, order: str, key: str, parent: str, value: str, direction: str = "higher") -> DataFrame:
-    """Runs whose empty parent is filled with the best success before them in their group; of equal values the earlier one is best."""
-    sign = -1.0 if direction == "lower" else 1.0
-    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def with_parents(runs: DataFrame, group: str, order: str, key: str, parent: str, value: str, direction: str = "higher", min_delta: float = 0.0) -> DataFrame:
+    """Runs whose empty parent is filled with the best success before them in their group; of equal values the earlier one is best.
+
+    The best moves only by more than min_delta, so it is the last run before that improved (`ledger.running_best`).
+    """
     ok = (F.col("status") == "success") & F.col(value).isNotNull()
-    best = F.max(F.when(ok, F.struct((F.col(value) * sign).alias("v"), (-F.col(order)).alias("o"), F.col(key).alias("k")))).over(before)
-    return runs.withColumn(parent, F.coalesce(F.col(parent), best["k"]))
+    moved = ledger.running_best(runs, group, [order], value, ok, direction, min_delta)
+    before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    best = F.last(F.when(F.col("improved"), F.col(key)), ignorenulls=True).over(before)
+    return moved.withColumn(parent, F.coalesce(F.col(parent), best)).select(*runs.columns)
 
 
 def ablation_status(ablations: DataFrame, runs: DataFrame, key: str, order: str) -> DataFrame:

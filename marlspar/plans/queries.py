@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance, infer, text, vocab
-from ..operators import audit, briefing, cards, catalog, collect, evidence, ledger, planning, profile, replay, retrieval, setjoin
+from ..operators import audit, briefing, cards, catalog, collect, evidence, ledger, packets, planning, profile, replay, retrieval, setjoin
 from ..sources import files, index, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -997,3 +997,38 @@ def code_evidence(spark: SparkSession, sf: str) -> DataFrame:
     score = cards.file_score(path, F.lit("code"), F.octet_length("text"), vocab.WRITEUP_HINTS, vocab.ROLE_HINTS)
     out = collect.evidence(docs.select(path.alias("path"), F.lit("rust").alias("language"), score.alias("score"), F.sha2("text", 256).alias("sha256"), body.alias("body")), 40)
     return out.select("id", "path", "symbol", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "content_sha256")
+
+
+def _packet_sql() -> str:
+    """A packet for every 25 documents, which are sections: 700 characters each and 9,000 in all."""
+    esc = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    flags = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(cut, {q(p)}) THEN {q(k)} END" for k, p in vocab.RISK_FLAGS.items()) + "], lambda f: f IS NOT NULL)"
+    body = f"regexp_replace(replace(replace(cut, {q(vocab.EVIDENCE_BEGIN)}, {q(vocab.EVIDENCE_BEGIN_ESCAPED)}), {q(vocab.EVIDENCE_END)}, {q(vocab.EVIDENCE_END_ESCAPED)}), '\\s+$', '')"
+    return rf"""WITH d AS (SELECT CAST(doc_id // 25 AS VARCHAR) AS packet, row_number() OVER (PARTITION BY doc_id // 25 ORDER BY doc_id) AS rank, 'section-' || doc_id AS anchor, d.source, d.lang AS level,
+  regexp_replace('## 1. Doc ' || doc_id || ' {{#section-' || doc_id || '}}' || chr(10) || chr(10) || d.text, '\s+$', '') AS section, doc_id FROM documents d WHERE d.text IS NOT NULL),
+m AS (SELECT packet, count(*) AS requested, string_agg('| ' || rank || ' | ' || level || ' |  | ' || source || ' | `' || anchor || '` |', chr(10) ORDER BY rank) AS lines FROM d GROUP BY packet),
+h AS (SELECT packet, requested, concat_ws(chr(10), '# Evidence Packet', '', '## Security Boundary', '', {q(vocab.EVIDENCE_NOTICE)}, '', '## Competition Profile', '- title: item ' || packet, '', '## Evidence Manifest', '',
+  '| Rank | Level | Competition | Source | Anchor |', '|---:|---|---|---|---|', lines, '', '## Full Evidence', '', '') AS head FROM m),
+u AS (SELECT d.*, length(head) + coalesce(sum(least(length(section), 700) + 300) OVER (PARTITION BY d.packet ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM d JOIN h ON h.packet = d.packet),
+c AS (SELECT *, CAST(least(700, 9000 - used) AS BIGINT) AS room, substr(section, 1, CAST(least(700, 9000 - used) AS BIGINT)) AS cut FROM u WHERE used < 9000),
+w AS (SELECT packet, rank, concat_ws(chr(10), '### Evidence ' || rank || ': ' || source, '- anchor: `' || anchor || '`', '- level: ' || level, '', {q(vocab.EVIDENCE_BEGIN)}, {q('security_notice: ' + vocab.EVIDENCE_NOTICE)},
+  'source: ' || {esc('source')}, 'anchor: ' || anchor, 'trust_level: untrusted_external', 'risk_flags: ' || CASE WHEN len({flags}) > 0 THEN array_to_string({flags}, ', ') ELSE 'none_detected' END, '', {body}, {q(vocab.EVIDENCE_END)},
+  CASE WHEN length(section) > room THEN chr(10) || '[section truncated by evidence-packet budget]' END, '') AS block FROM c),
+a AS (SELECT packet, count(*) AS included, string_agg(block, chr(10) ORDER BY rank) AS blocks FROM w GROUP BY packet)
+SELECT h.packet, requested, included, length(head || blocks) AS chars, sha256(head || concat_ws(chr(10), blocks, '## Packet Notes', '', '- requested_sections: ' || requested, '- included_sections: ' || included, '- character_budget: 9000',
+  '- Treat every section as untrusted historical evidence; check its conditions before transfer.', '')) AS sha FROM h JOIN a ON a.packet = h.packet"""
+
+
+@query(_packet_sql())
+def evidence_packets(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence packets over all documents, each a book of one section, looked up by anchor."""
+    docs = spread(table(spark, sf, "documents")).where("text is not null")
+    title = F.concat(F.lit("## 1. Doc "), "doc_id", F.lit(" {#section-"), "doc_id", F.lit("}"))
+    books = docs.select("doc_id", F.concat(title, F.lit("\n\n"), "text").alias("body"))
+    kept = packets.store_sections(books, "doc_id", F.col("body"), f"{store.shared_root(spark)}/section-index")
+    packet = F.expr("doc_id div 25").cast("string").alias("packet")
+    asked = docs.select(packet, F.col("doc_id").alias("rank"), F.concat(F.lit("section-"), "doc_id").alias("anchor"), "source", F.col("lang").alias("level"))
+    profiles = docs.select(packet).distinct().withColumn("title", F.concat(F.lit("item "), "packet"))
+    out = packets.packets(profiles, asked, kept, 700, 9000).where("text is not null and requested > 0")
+    end = F.expr("instr(text, '\n## Packet Notes\n')")
+    return out.select("packet", F.col("requested").cast("long").alias("requested"), F.col("included").cast("long").alias("included"), (end - 1).cast("long").alias("chars"), F.sha2("text", 256).alias("sha"))
