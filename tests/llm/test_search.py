@@ -317,7 +317,7 @@ def test_suffix_dedup(spark):
         spans = sum(1 for i, c in enumerate(cut) if c and (i == 0 or not cut[i - 1]))
         assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()), k
         if kept or not b:
-            kept_texts[k] = kept.decode(errors="ignore")
+            kept_texts[k] = None if t is None else kept.decode(errors="ignore")  # a null text stays null
     out = suffixes.rewrite(df)
     assert out.columns == df.columns and {x.doc_id: x.text for x in out.collect()} == kept_texts
     assert suffixes.deduplicate(df.limit(0)).count() == 0
