@@ -363,9 +363,10 @@ def retrieve(entries: DataFrame, profile: dict, queries: list[str] | None = None
     order = Window.partitionBy("query").orderBy(F.desc("raw"), "entry")
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= recall)
     fused = fuse(ranked.select(F.col("query").alias("lens"), "weight", "entry", "rank", F.col("raw").alias("score"), "level"), [])
-    pool = fused.orderBy(F.desc("final"), "entry").limit(max(recall, 6 * limit, 40))  # wide columns only for these
+    pool = _local(fused.orderBy(F.desc("final"), "entry").limit(max(recall, 6 * limit, 40)))  # wide columns only for these
+    few = F.broadcast(pool.select(F.col("entry").alias("id")))
     words = F.array_distinct(text.tokens(F.concat_ws(" ", F.transform(entry_fields(), lambda f: f.text))))
-    wide = entries.select(F.col("id").alias("entry"), F.coalesce(F.nullif("competition_slug", F.lit("")), "title", F.lit("unknown")).alias("slug"), words.alias("tokens"))
+    wide = entries.join(few, "id", "left_semi").select(F.col("id").alias("entry"), F.coalesce(F.nullif("competition_slug", F.lit("")), "title", F.lit("unknown")).alias("slug"), words.alias("tokens"))
     cand = pool.join(wide, "entry").select(F.lit(1).alias("one"), "entry", F.col("final").alias("score"), "level", "slug", "tokens")
     chosen = diversify(cand, "one", limit).drop("one")
     return chosen.join(pool, "entry").join(scored.select("entry", "reasons", "title", "competition_slug"), "entry").select("position", "entry", "final", "level", "reasons", "lenses", "title", "competition_slug")
