@@ -1,13 +1,15 @@
 """The state of experiment ledgers as a fold of their actions.
 
 An action is one row: begin a run, plan an ablation, record or finalize an experiment, analyse one, add or resolve a research
-task. Actions are dealt by workspace and sorted by commit and place in it; a task folds them one after another, so that what
+task, draft, review or promote the run's card. Actions are dealt by workspace and sorted by commit and place in it; a task folds them one after another, so that what
 it holds is one workspace's open state and never its actions. What breaks a rule changes nothing and comes back as refused,
 with the problem.
 
 Cases: an action of a workspace without a run, of another run's id, with an id that exists or one that is unknown is refused;
 a success without a score improves nothing; of equal scores the earlier stays best; with min_delta the best moves only by
 more than it; rows without a workspace are refused; no actions give no states.
+A card goes from draft over reviewed to promoted; a promotion with another hash than the reviewed one is refused, and a draft
+or an experiment after it opens the run again.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ ACTION = (
 )
 OUT = (
     "what string, workspace string, run_id string, place int, commit long, seq int, kind string, id string, parent string, ablation string, component string, status string, cv double, lb double, "
-    "improved boolean, delta double, analysis string, version int, stage string, validated boolean, baseline boolean, plateau int, used_minutes double, problem string"
+    "improved boolean, delta double, analysis string, version int, stage string, validated boolean, baseline boolean, plateau int, used_minutes double, problem string, hash string"
 )
 ENDED = {"success": "completed", "failed": "failed", "discarded": "discarded"}
 
@@ -57,6 +59,7 @@ class Workspace:
     runs: dict[str, dict] = field(default_factory=dict)
     ablations: dict[str, dict] = field(default_factory=dict)
     research: dict[str, str] = field(default_factory=dict)
+    card: dict | None = None
 
     def apply(self, a: dict) -> None:
         """One action; raises Refused and changes nothing if it breaks a rule."""
@@ -67,7 +70,7 @@ class Workspace:
             raise Refused("no run")
         if a["run_id"] != self.run_id:
             raise Refused("not the owner")
-        step = {"plan": self._plan, "record": self._record, "finalize": self._finalize, "analyze": self._analyze, "research": self._add, "resolve": self._resolve}.get(a["kind"])
+        step = {"plan": self._plan, "record": self._record, "finalize": self._finalize, "analyze": self._analyze, "research": self._add, "resolve": self._resolve, "draft": self._draft, "review": self._review, "promote": self._promote}.get(a["kind"])
         if step is None:
             raise Refused("unknown kind of action")
         step(a)
@@ -173,6 +176,37 @@ class Workspace:
                     raise Refused(problem)
         self.research[a["id"]] = a["status"]
 
+    def _draft(self, a: dict) -> None:
+        """A new revision of the card; payload: its hash."""
+        if not a["id"] or not a["payload"]:
+            raise Refused("no card")
+        if self.card and self.card["id"] != a["id"]:
+            raise Refused("another card exists")
+        self.card = {"id": a["id"], "status": "draft", "version": (self.card["version"] if self.card else 0) + 1, "hash": a["payload"]}
+        self.stage = "postmortem"
+
+    def _review(self, a: dict) -> None:
+        """The gate's verdict (pass or fail) over the card of this hash."""
+        card = self._own(a)
+        card |= {"status": "reviewed" if a["status"] == "pass" else "draft", "hash": a["payload"]}
+        self.stage = "postmortem"
+
+    def _promote(self, a: dict) -> None:
+        """Only what was reviewed goes up: status is the gate's verdict now, payload the card's hash now."""
+        card = self._own(a)
+        if card["status"] != "reviewed":
+            raise Refused("the card has not passed review")
+        if card["hash"] != a["payload"]:
+            raise Refused("the card changed after review")
+        if a["status"] != "pass":
+            raise Refused("the card no longer passes the gate")
+        card["status"], self.stage = "promoted", "complete"
+
+    def _own(self, a: dict) -> dict:
+        if not self.card or self.card["id"] != a["id"]:
+            raise Refused("unknown card")
+        return self.card
+
     @staticmethod
     def _known(table: dict, key: str | None, what: str):
         if key not in table:
@@ -198,6 +232,8 @@ class Workspace:
             yield base | {"what": "ablation", "place": k, "id": r["id"], "parent": r["parent"], "component": r["component"], "status": r["status"], "ablation": r["run"], "analysis": r["verdict"]}
         for k, (i, status) in enumerate(self.research.items(), 1):
             yield base | {"what": "research", "place": k, "id": i, "status": status}
+        if self.card:
+            yield base | {"what": "card", "place": 1, **self.card}
 
 
 _NAMES = [c.strip().split(" ")[0] for c in OUT.split(", ")]
@@ -267,6 +303,10 @@ class State:
     def research(self) -> DataFrame:
         return self._of("research", "place", "id", "status")
 
+    @property
+    def cards(self) -> DataFrame:
+        return self._of("card", F.col("id").alias("card_id"), "status", F.col("version").alias("revision"), F.col("hash").alias("card_hash"))
+
     @property
     def refused(self) -> DataFrame:
         return self._of("refused", "commit", "seq", "kind", "id", "problem")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import governance, infer, text, vocab
-from ..operators import audit, briefing, cards, catalog, collect, evidence, ledger, packets, planning, profile, replay, retrieval, setjoin
+from ..operators import audit, briefing, cards, catalog, collect, distill, evidence, ledger, packets, planning, profile, replay, retrieval, setjoin
 from ..sources import files, index, store
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1032,3 +1032,132 @@ def evidence_packets(spark: SparkSession, sf: str) -> DataFrame:
     out = packets.packets(profiles, asked, kept, 700, 9000).where("text is not null and requested > 0")
     end = F.expr("instr(text, '\n## Packet Notes\n')")
     return out.select("packet", F.col("requested").cast("long").alias("requested"), F.col("included").cast("long").alias("included"), (end - 1).cast("long").alias("chars"), F.sha2("text", 256).alias("sha"))
+
+
+_PARTS = ["validation", "baseline", "model", "features", "ensemble"]
+_FACTORS = ["loss", "sampler", "encoder"]
+
+
+def _cards(spark: SparkSession, sf: str) -> tuple[distill.Cards, DataFrame, DataFrame]:
+    """Cards of a ledger made of all documents: each source is a workspace, each document a run, labels are its analyses."""
+    docs = spread(table(spark, sf, "documents")).where("source is not null")
+    labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
+    i, c = F.col("doc_id"), F.col
+    seen = docs.join(labels, "doc_id", "left").withColumn("workspace", c("source")).withColumn("own", F.concat(F.lit("E"), i))
+    runs = seen.select(
+        "workspace", i.alias("place"), c("own").alias("id"), F.lit(None).cast("string").alias("parent"), pick("doc_id", _PARTS).alias("component"),
+        F.when(c("toxic") == 1, "failed").when(i % 11 == 0, "running").otherwise("success").alias("status"), F.concat("lang", F.lit(" "), "n_chars").alias("hypothesis"), c("text").alias("change"),
+        F.when(i % 2 == 0, "out of memory").alias("diagnosis"), c("lang").alias("notes"), (c("n_chars") / 7).alias("cv"), F.lit(None).cast("double").alias("cv_std"),
+        F.when(i % 2 == 0, F.concat(F.lit("A"), i)).alias("ablation"), F.when(i % 3 == 0, F.array(F.concat(F.lit("R"), i))).otherwise(F.array().cast("array<string>")).alias("research_ids"),
+        F.concat(F.lit("out/"), c("own"), F.lit("/")).alias("artifact"), F.when(c("quality").isNotNull(), "complete").otherwise("pending").alias("analysis_status"),
+        F.lit("abcdef0").alias("code_version"), c("lang").alias("data_version"), F.lit("f1").alias("fold_version"), F.lit("").alias("metric_version"), F.lit("[1]").alias("seeds"),
+    )
+    judged = seen.where("quality is not null").select("workspace", "own", "doc_id", "source", "quality", "lang", "n_chars", F.explode(F.array(F.lit(1), F.lit(2))).alias("version"))
+    verdict = F.when((c("version") == 1) | (i % 4 == 0), "inconclusive").when(c("quality") == 0, "not_supported").when(i % 3 == 0, "partially_supported").otherwise("supported")
+    analyses = judged.select(
+        "workspace", c("own").alias("experiment"), "version", verdict.alias("verdict"), F.when(i % 7 > 0, F.concat(F.lit("mechanism "), "lang")).alias("mechanism"), F.array("source", "lang").alias("confounders"),
+        (c("n_chars") % 5).alias("fold_count"), (i % 4).alias("fold_wins"), F.lit(None).cast("string").alias("effect"), F.lit("").alias("slice_findings"), F.lit("none").alias("resource_tradeoff"),
+    )
+    ablations = seen.where(i % 2 == 0).select("workspace", F.concat(F.lit("A"), i).alias("id"), pick("doc_id", _FACTORS).alias("factor"), F.lit("off").alias("control"), F.lit("on").alias("treatment"), F.when(i % 5 > 0, F.array("lang")).alias("fixed_conditions"))
+    research = seen.where(i % 3 == 0).select(
+        "workspace", i.alias("place"), F.concat(F.lit("R"), i).alias("id"), F.when(i % 9 == 0, "pending").otherwise("verified").alias("status"), F.concat(F.lit("same "), "lang").alias("transfer_conditions"),
+        F.concat(F.lit("other "), "lang").alias("failure_conditions"), F.array(F.concat(F.lit("https://example.com/"), "lang", F.lit("?q="), i)).alias("urls"),
+    )
+    code = seen.where("text is not null").select(
+        "workspace", c("own").alias("experiment"), F.lit(1).alias("ord"), F.concat(F.when(i % 50 == 0, "/abs/").otherwise("src/"), "lang", F.lit(".py")).alias("path"), F.lit(1).alias("start_line"),
+        (i % 40).cast("int").alias("end_line"), F.lit("python").alias("language"), F.lit("").alias("symbol"), c("text").alias("excerpt"), F.sha2(F.when(i % 13 == 0, c("lang")).otherwise(c("text")), 256).alias("content_sha256"),
+        F.sha2("source", 256).alias("source_sha256"),
+    )
+    spaces = docs.groupBy(c("source").alias("workspace")).agg(F.concat(F.lit("E"), F.max("doc_id")).alias("best"), F.array_sort(F.collect_set("lang")).alias("domains"))
+    none = F.lit(None)
+    spaces = spaces.select(
+        "workspace", c("workspace").alias("slug"), F.lit("").alias("title"), F.lit("https://example.com/c?x=1").alias("url"), F.when(~c("workspace").endswith("3"), "auc").alias("metric"), F.lit("higher").alias("direction"),
+        F.lit("2024").alias("created_at"), "best", none.cast("int").alias("revision"), "domains", none.cast("array<string>").alias("mechanisms"), F.lit("ranking").alias("metric_family"), F.array(F.lit("leak")).alias("risks"),
+        none.cast("array<string>").alias("runtime_constraints"), F.lit("").alias("summary"), F.when(c("workspace").endswith("2"), "external_source_competition").alias("card_type"), F.lit("").alias("repository"), F.lit("MIT").alias("license"),
+    )
+    return distill.build(spaces, runs, analyses, ablations, research, code), runs, research
+
+
+_CARD_SQL = f"""WITH s AS (SELECT d.*, l.quality, l.toxic, 'E' || doc_id AS own FROM documents d LEFT JOIN labels l USING (doc_id) WHERE source IS NOT NULL),
+v AS (SELECT *, CASE WHEN quality IS NULL THEN NULL WHEN doc_id % 4 = 0 THEN 'inconclusive' WHEN quality = 0 THEN 'not_supported' WHEN doc_id % 3 = 0 THEN 'partially_supported' ELSE 'supported' END AS av,
+  coalesce(lang, '') AS lg, concat(lang, ' ', n_chars) AS hyp FROM s),
+k AS (SELECT *, CASE WHEN av IN ('supported', 'partially_supported') THEN 'validated' WHEN av IS NOT NULL OR toxic = 1 THEN 'negative' END AS kind FROM v),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, kind ORDER BY doc_id) AS num FROM k WHERE kind IS NOT NULL),
+les AS (SELECT source AS workspace, doc_id, kind, num, own AS experiment, CASE kind WHEN 'validated' THEN 'L' ELSE 'N' END || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(num AS VARCHAR))) AS INTEGER), '0') AS lesson_id,
+  coalesce(av, 'failed') AS verdict, CASE WHEN av IS NULL THEN hyp ELSE CASE WHEN doc_id % 2 = 0 THEN {sql_pick('doc_id', _FACTORS)} ELSE {sql_pick('doc_id', _PARTS)} END || ': ' || hyp END AS title,
+  CASE WHEN av IS NULL THEN 'high' WHEN av = 'supported' AND n_chars % 5 >= 3 AND (doc_id % 4) / (n_chars % 5) >= 2 / 3 THEN 'high' WHEN kind = 'validated' THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN av IS NULL THEN CASE WHEN doc_id % 2 = 0 THEN 'out of memory' ELSE 'execution failure' END WHEN doc_id % 7 > 0 THEN 'mechanism ' || lang ELSE '' END AS mechanism, coalesce(text, '') AS implementation,
+  CASE WHEN av IS NULL THEN [] ELSE list_concat(CASE WHEN doc_id % 2 = 0 AND doc_id % 5 > 0 THEN [lang] ELSE [] END, CASE WHEN doc_id % 3 = 0 THEN ['same ' || lang] ELSE [] END) END AS transfer,
+  CASE WHEN av IS NULL THEN list_concat(CASE WHEN doc_id % 2 = 0 THEN ['out of memory'] ELSE [] END, [lang]) ELSE list_concat([source, lang], CASE WHEN doc_id % 3 = 0 THEN ['other ' || lang] ELSE [] END) END AS failure FROM n),
+c1 AS (SELECT source AS workspace, doc_id, own, CASE WHEN doc_id % 50 = 0 THEN '/abs/' ELSE 'src/' END || lang || '.py' AS path, doc_id % 40 AS end_line, text, sha256(CASE WHEN doc_id % 13 = 0 THEN lang ELSE text END) AS sha, doc_id % 13 = 0 AND lang <> text AS stale
+  FROM s WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, path, end_line, sha ORDER BY doc_id) = 1),
+ce AS (SELECT c1.*, row_number() OVER (PARTITION BY c1.workspace ORDER BY c1.doc_id) AS num, les.lesson_id FROM c1 LEFT JOIN les ON les.workspace = c1.workspace AND les.doc_id = c1.doc_id),
+cx AS (SELECT *, 'CE' || lpad(CAST(num AS VARCHAR), CAST(greatest(3, length(CAST(num AS VARCHAR))) AS INTEGER), '0') AS evidence_id FROM ce),
+w AS (SELECT source AS workspace, max(doc_id) AS best FROM documents WHERE source IS NOT NULL GROUP BY 1)"""
+
+
+@query(f"""{_CARD_SQL} SELECT workspace, lesson_id, experiment, kind, verdict, title, confidence, mechanism, sha256(implementation) AS implementation_sha,
+  array_to_string(transfer, '|') AS transfer, array_to_string(list_filter(failure, lambda x: x IS NOT NULL AND x <> ''), '|') AS failure FROM les""")
+def card_lessons(spark: SparkSession, sf: str) -> DataFrame:
+    made, _, _ = _cards(spark, sf)
+    out = made.lessons.select("workspace", "lesson_id", "experiment", "kind", "verdict", "title", "confidence", "mechanism", F.sha2("implementation", 256).alias("implementation_sha"), "transfer_conditions", "failure_conditions")
+    return out.withColumn("transfer", F.array_join("transfer_conditions", "|")).withColumn("failure", F.array_join("failure_conditions", "|")).drop("transfer_conditions", "failure_conditions")
+
+
+@query(f"{_CARD_SQL} SELECT workspace, evidence_id, path, end_line, sha AS content_sha256, own AS experiment, lesson_id FROM cx")
+def card_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    made, _, _ = _cards(spark, sf)
+    return made.evidence.select("workspace", "evidence_id", "path", F.col("end_line").cast("long").alias("end_line"), "content_sha256", "experiment", "lesson_id")
+
+
+_SECRET_SQL = "(" + " OR ".join(f"regexp_matches(x, {q(p)})" for p in vocab.SENSITIVE) + ")"
+_GATE_SQL = f"""{_CARD_SQL}, p AS (
+  SELECT workspace, 'blocker' AS level, 'metric' AS rule, '' AS item FROM w WHERE workspace LIKE '%3'
+  UNION ALL SELECT workspace, 'blocker', 'lessons', '' FROM w WHERE workspace NOT IN (SELECT workspace FROM les)
+  UNION ALL SELECT source, 'blocker', 'analysis', own FROM s WHERE quality IS NULL AND coalesce(toxic, 0) <> 1 AND doc_id % 11 <> 0 AND doc_id % 5 > 1
+  UNION ALL SELECT workspace, 'blocker', 'lesson', lesson_id FROM les WHERE kind = 'validated' AND (mechanism = '' OR implementation = '')
+  UNION ALL SELECT workspace, 'blocker', 'sensitive', '' FROM (SELECT DISTINCT source AS workspace FROM (SELECT source, to_json(text) AS x FROM s JOIN les ON les.doc_id = s.doc_id UNION ALL SELECT workspace, to_json(text) AS x FROM cx UNION ALL SELECT workspace, '"' || path || '"' FROM cx
+    UNION ALL SELECT workspace, to_json(s.text) FROM w JOIN s ON s.doc_id = w.best) WHERE {_SECRET_SQL})
+  UNION ALL SELECT workspace, 'blocker', 'evidence_path', evidence_id FROM cx WHERE path LIKE '/%'
+  UNION ALL SELECT workspace, 'blocker', 'evidence_excerpt', evidence_id FROM cx WHERE NOT regexp_matches(text, '\\S')
+  UNION ALL SELECT workspace, 'blocker', 'evidence_content', evidence_id FROM cx WHERE stale
+  UNION ALL SELECT workspace, 'blocker', 'evidence_bounds', evidence_id FROM cx WHERE end_line < 1
+  UNION ALL SELECT workspace, 'blocker', 'provenance_repository', '' FROM w WHERE workspace LIKE '%2' AND workspace IN (SELECT workspace FROM cx)
+  UNION ALL SELECT workspace, 'warning', 'transfer', lesson_id FROM les WHERE kind = 'validated' AND len(transfer) = 0
+  UNION ALL SELECT DISTINCT source, 'warning', 'research', '' FROM s WHERE doc_id % 9 = 0
+  UNION ALL SELECT workspace, 'warning', 'reproduction_metric_version', '' FROM w
+  UNION ALL SELECT workspace, 'warning', 'sources', '' FROM w WHERE workspace NOT IN (SELECT source FROM s WHERE doc_id % 3 = 0 AND doc_id % 9 > 0))"""
+
+
+@query(f"{_GATE_SQL} SELECT workspace, level, rule, item FROM p")
+def card_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return distill.problems(*_cards(spark, sf)).select("workspace", "level", "rule", "item")
+
+
+@query(f"""{_GATE_SQL}, o AS (SELECT DISTINCT workspace, level, rule, CASE rule WHEN 'analysis' THEN '' ELSE item END AS item FROM p),
+b AS (SELECT workspace, count(*) FILTER (level = 'blocker') AS blockers, count(*) FILTER (level = 'warning') AS warnings FROM o GROUP BY 1)
+SELECT workspace, CASE WHEN coalesce(blockers, 0) = 0 THEN 'pass' ELSE 'fail' END AS status, greatest(0, 100 - 25 * coalesce(blockers, 0) - 4 * coalesce(warnings, 0)) AS score, coalesce(blockers, 0) AS blockers, coalesce(warnings, 0) AS warnings FROM w LEFT JOIN b USING (workspace)""")
+def card_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    made, runs, research = _cards(spark, sf)
+    return distill.reviews(made.heads, distill.problems(made, runs, research))
+
+
+@query(f"""{_CARD_SQL}, t AS (SELECT workspace, kind, num, CASE kind WHEN 'validated' THEN title || ': ' || mechanism || '. Implementation: ' || implementation ELSE 'Negative evidence - ' || title || ': ' || mechanism END AS said FROM les),
+t16 AS (SELECT workspace, string_agg(said, chr(10) ORDER BY kind DESC, num) AS tricks FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY kind DESC, num) <= 16) GROUP BY 1),
+f AS (SELECT workspace, x, min((CASE kind WHEN 'validated' THEN 0 ELSE 1 END, num, pos)) AS o_at FROM (SELECT workspace, kind, num, unnest([mechanism, title]) AS x, unnest([0, 1]) AS pos FROM les) WHERE x <> '' GROUP BY 1, 2),
+f24 AS (SELECT workspace, string_agg(x, '|' ORDER BY o_at) AS factors FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY o_at) <= 24) GROUP BY 1),
+c AS (SELECT workspace, x, min((num, pos)) AS o_at FROM (SELECT workspace, num, unnest(transfer) AS x, unnest(range(len(transfer))) AS pos FROM les WHERE kind = 'validated') WHERE x <> '' GROUP BY 1, 2),
+c20 AS (SELECT workspace, string_agg(x, '|' ORDER BY o_at) AS transfer FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY workspace ORDER BY o_at) <= 20) GROUP BY 1),
+m AS (SELECT workspace, count(*) FILTER (kind = 'validated') AS v, count(*) FILTER (kind = 'negative') AS n FROM les GROUP BY 1),
+u AS (SELECT source AS workspace, arg_min('https://example.com/' || lang, doc_id) AS first FROM s WHERE doc_id % 3 = 0 AND doc_id % 9 > 0 GROUP BY 1), e AS (SELECT workspace, count(*) AS n FROM cx GROUP BY 1)
+SELECT w.workspace, 'experience-' || w.workspace || '-postmortem-' || sha256(w.workspace || '|2024')[1:8] AS anchor, coalesce(u.first, 'https://example.com/c') AS source_url, sha256(coalesce(tricks, '')) AS tricks, coalesce(factors, '') AS factors,
+  coalesce(transfer, '') AS transfer, least(300, 60 + 12 * coalesce(m.v, 0) + 5 * coalesce(m.n, 0)) AS quality_score, coalesce(e.n, 0) AS code_evidence_count, coalesce(m.v + m.n, 0) AS tricks_count
+FROM w LEFT JOIN t16 USING (workspace) LEFT JOIN f24 USING (workspace) LEFT JOIN c20 USING (workspace) LEFT JOIN m USING (workspace) LEFT JOIN u USING (workspace) LEFT JOIN e USING (workspace)""")
+def card_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """Catalog entries of all cards, each with a review of 60 points."""
+    made, _, _ = _cards(spark, sf)
+    out = distill.roll_up(made, made.heads.select("workspace", F.lit(60).cast("long").alias("score")))
+    return out.select(
+        "workspace", "anchor", "source_url", F.sha2(F.array_join("trick_highlights", "\n"), 256).alias("tricks"), F.array_join("method_keywords", "|").alias("factors"), F.array_join("transfer_scenarios", "|").alias("transfer"),
+        F.col("quality_score").cast("long").alias("quality_score"), "code_evidence_count", "tricks_count",
+    )
