@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import governance, text
 
+#: The headings of books.
 _TITLE = r"(?m)^##\s+(\d+\.\s+.+?)(?:\s+\{#([^}]+)\})?\s*$"
 _CHAPTER = r"(?m)^#\s+(第\d+章\s+.+?)(?:\s+\{#([^}]+)\})?\s*$"
 #: Metadata keys of a list block.
