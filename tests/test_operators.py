@@ -154,6 +154,29 @@ def test_similar_sets_against_brute_force(spark):
     assert got == {(min(a, b), max(a, b)) for a, x in own for b, y in own if a < b and len(x & y) / len(x | y) >= 0.7}
 
 
+def test_similar_sets_over_blocks_keep_every_pair(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    sets = [(k, sorted(r.sample(words, r.choice([1, 3, 20, 60, 150])))) for k in range(600)]
+    sets += [(1000 + k, sorted({*t[r.randint(0, 1) :], r.choice(words)})) for k, t in sets]
+    df = spark.createDataFrame(sets, "k int, t array<string>")
+    got = {(x.a, x.b): x.jaccard for x in setjoin.similar_sets(df, "k", "t", 0.8).collect()}
+    first = {}
+    for k, t in sets:
+        first.setdefault(tuple(t), k)
+    own = [(k, set(t)) for t, k in first.items()]
+    want = {(a, b): len(x & y) / len(x | y) for a, x in own for b, y in own if a < b and len(x & y) / len(x | y) >= 0.8}
+    assert got == want and len(want) > 300
+
+
+def test_similar_sets_hand_on_few_pairs(spark):
+    # 1,200 sets that share their rarest token but nothing more: a join by tokens hands on all 719,400 pairs
+    r = random.Random(7)
+    sets = [(k, sorted(["rare", *(f"c{x}" for x in r.sample(range(2000), 60))])) for k in range(1200)]
+    df = spark.createDataFrame(sets, "k int, t array<string>")
+    assert setjoin._candidates(setjoin._classes(setjoin._signed(df, "k", "t")), 0.8).count() < 1000
+
+
 def test_books_and_tiers(spark):
     from marlspar.plans.queries import BOOK
 
