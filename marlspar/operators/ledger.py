@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import store
+
 
 def improves(candidate: Column, best: Column, direction: str = "higher", min_delta: float = 0.0) -> Column:
     """A null best is always improved on."""
@@ -97,22 +99,64 @@ def parent_deltas(runs: DataFrame, key: str, parent: str, values: list[str]) ->
     return runs.join(up, parent, "left").select(key, parent, *[(F.col(v) - F.col(f"_{v}")).alias(f"{v}_delta") for v in values])
 
 
-def lineage(runs: DataFrame, starts: DataFrame, key: str, parent: str, most: int = 10_000) -> DataFrame:
-    """(start, depth, key) from each start up to its root; a cycle ends at its first repeated run.
+def lineage(runs: DataFrame, starts: DataFrame, key: str, parent: str) -> DataFrame:
+    """(start, depth, key) from each start up to its root; a cycle ends at its first repeated run. A run has one parent.
 
-    A recursive query: one join a generation, over the starts still below a root.
+    Jumps of 1, 2, 4, ... generations are tables of their own; taken from the longest to the shortest, each doubles the
+    depths reached, so that neither the depth nor the number of rows is bounded. Runs on a cycle, which long jumps end at,
+    are roots of the jumps; what follows on their cycle is joined to the starts that end there.
     """
-    spark = runs.sparkSession
-    # read once a generation, so kept
-    runs.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("p is not null").cache().createOrReplaceTempView("_lineage_runs")
-    starts.select(F.col(key).alias("k")).createOrReplaceTempView("_lineage_starts")
-    return spark.sql(f"""
-        WITH RECURSIVE up(start, k, depth, seen) MAX RECURSION LEVEL {most} AS (
-          SELECT s.k, s.k, 0, array(s.k) FROM _lineage_starts s
-          UNION ALL
-          SELECT up.start, r.p, up.depth + 1, array_append(up.seen, r.p) FROM up JOIN _lineage_runs r ON r.k = up.k
-          WHERE r.p IS NOT NULL AND NOT array_contains(up.seen, r.p))
-        SELECT start, depth, k AS {key} FROM up""")
+    up = store.kept(runs.select(F.col(key).alias("k"), F.col(parent).alias("p")).where("k is not null and p is not null"), "lineage-parents")
+    first = starts.select(F.col(key).alias("start"), F.lit(0).alias("depth"), F.col(key).alias("k"))
+    jumps, left = _jumps(up)
+    if left is None:
+        return _climbed(first, jumps).select("start", "depth", F.col("k").alias(key))
+    # after as many generations as there are runs every jump ends on a cycle, and each of its runs is an end
+    ring = store.kept(up.join(left.select(F.col("p").alias("k")).distinct(), "k", "left_semi"), "lineage-cycles")
+    tails, _ = _jumps(store.kept(up.join(ring, "k", "left_anti"), "lineage-tails"))
+    spots = _cycle_places(ring)
+    climbed = store.kept(_climbed(first, tails), "lineage-climbed")
+    on = climbed.join(spots.withColumnRenamed("place", "_from"), "k").select("start", "depth", "cycle", "size", "_from")
+    turn = F.pmod(F.col("_from") - F.col("place"), F.col("size")).cast("int")
+    rest = on.join(spots.select("cycle", "place", "k"), "cycle").select("start", (F.col("depth") + turn).alias("depth"), "k", turn.alias("_turn")).where("_turn > 0")
+    return climbed.unionByName(rest.drop("_turn")).select("start", "depth", F.col("k").alias(key))
+
+
+def _jumps(up: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (k, p) of 1, 2, 4, ... generations, and the jumps still left after more generations than runs, if any."""
+    out, reached, count = [], 1, None
+    jump = up
+    while not jump.isEmpty():
+        count = up.count() if count is None else count
+        if reached > count:
+            return out, jump
+        out.append(jump)
+        jump = store.kept(jump.join(jump.select(F.col("k").alias("p"), F.col("p").alias("_p")), "p").select("k", F.col("_p").alias("p")), "lineage-jumps")
+        reached *= 2
+    return out, None
+
+
+def _climbed(first: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(start, depth, k) of all runs above the starts."""
+    out = first
+    for n in range(len(jumps) - 1, -1, -1):
+        out = store.kept(out, "lineage-steps")
+        out = out.unionByName(out.join(jumps[n], "k").select("start", (F.col("depth") + (1 << n)).alias("depth"), F.col("p").alias("k")))
+    return out
+
+
+def _cycle_places(ring: DataFrame) -> DataFrame:
+    """(cycle, size, place, k): of a run on a cycle the cycle's smallest run and the generations up to that."""
+    near, reached, count = ring.select("k", "p", F.least("k", "p").alias("low")), 1, ring.count()
+    while reached < count:
+        far = near.select(F.col("k").alias("p"), F.col("p").alias("_p"), F.col("low").alias("_low"))
+        near = store.kept(near.join(far, "p").select("k", F.col("_p").alias("p"), F.least("low", "_low").alias("low")), "lineage-lows")
+        reached *= 2
+    own = near.select("k", F.col("low").alias("cycle"))
+    opened = store.kept(ring.join(own, "k").where("k <> cycle").select("k", "p"), "lineage-opened")
+    steps = store.kept(_climbed(ring.select(F.col("k").alias("start"), F.lit(0).alias("depth"), "k"), _jumps(opened)[0]).groupBy("start").agg(F.max("depth").alias("place")), "lineage-places")
+    sizes = own.groupBy("cycle").agg(F.count(F.lit(1)).alias("size"))
+    return own.join(sizes, "cycle").join(steps.withColumnRenamed("start", "k"), "k").select("cycle", "size", "place", "k")
 
 
 def next_action(state: DataFrame) -> Column:

@@ -91,6 +91,28 @@ def test_ledger_parts(spark):
     assert {(r.start, r.depth, r.id) for r in ledger.lineage(cyc, cyc.where("id <> 'b'"), "id", "up").collect()} == {("a", 0, "a"), ("a", 1, "b"), ("c", 0, "c")}
 
 
+def test_lineage_of_many_rows_deep_chains_and_cycles(spark):
+    r = random.Random(8)
+    up = {k: k - 1 if k % 13 else None for k in range(90)} | {k: k - 1 if k > 200 else None for k in range(200, 230)}
+    up |= {300: 300, 301: 300, 302: 301} | {400 + k: 400 + (k + 1) % 7 for k in range(7)} | {500 + k: r.randint(400, 499 + k) if k else 403 for k in range(40)}
+    up = {k: p if p in up or p is None else 400 for k, p in up.items()} | {600: 999}
+    want = set()
+    for k in up:
+        seen, at = [], k
+        while at is not None and at not in seen:
+            seen.append(at)
+            at = up.get(at)
+        want |= {(k, d, x) for d, x in enumerate(seen)}
+    runs = spark.createDataFrame([*up.items()], "id int, up int")
+    out = ledger.lineage(runs, runs, "id", "up").collect()
+    assert {tuple(x) for x in out} == want and len(out) == len(want)
+    some = ledger.lineage(runs, runs.where("id % 50 = 7"), "id", "up").collect()
+    assert {tuple(x) for x in some} == {x for x in want if x[0] % 50 == 7}
+    # more rows than a recursive query of Spark gives (1,000,000)
+    long = spark.range(90_000).select("id", F.when(F.col("id") % 15 > 0, F.col("id") - 1).alias("up"))
+    assert ledger.lineage(long, long, "id", "up").count() > 700_000 and ledger.lineage(long, long.union(long), "id", "up").count() == 1_440_000
+
+
 def test_diversify_equals_a_plain_greedy_choice(spark):
     r = random.Random(4)
     rows = [(k % 2, k, round(r.random(), 3), r.choice(vocab.LEVELS), r.choice("xyz"), r.sample("abcdefgh", r.randint(0, 5))) for k in range(60)]
