@@ -22,6 +22,8 @@ from ..functions import infer, text, vocab
 K1, B, QUERY_FACTOR = 1.3, 0.72, 0.15
 #: Distinct query tokens that are broadcast at most; above, the postings join shuffles.
 MAX_QUERY_TOKENS = 200_000
+#: Characters by which `holding` looks heads up.
+KEY = 8
 
 
 def entry_fields() -> Column:
@@ -410,6 +412,47 @@ def experiments(hits: DataFrame, stage: str, budget: str = "standard", allowed:
     return long.coalesce(1).mapInPandas(pick, "ordinal int, priority string, component string, cost string, trick string, anchor string, slug string")
 
 
+def holding(rows: DataFrame, key: str, body: str, heads: list[str]) -> DataFrame:
+    """(key, head) of each text in column `body` that holds a head, once, whatever the place.
+
+    One pass over a text: places whose next KEY characters have the hash of a head's are compared with those heads. The
+    heads go to every task; they are a benchmark's, not the catalog's.
+    """
+    by: dict[str, list[str]] = {}
+    for h in dict.fromkeys(heads):
+        by.setdefault(h[:KEY], []).append(h)
+    brief = [h for h in by if len(h) < KEY]
+
+    def hashes(t: str) -> np.ndarray:
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = np.zeros(len(c) - KEY + 1, np.uint32)
+        for k in range(KEY):
+            out *= np.uint32(2654435761)
+            out += c[k : len(out) + k]
+        return out >> np.uint32(14)
+
+    marked = np.zeros(1 << 18, bool)
+    for h in by:
+        if len(h) == KEY:
+            marked[hashes(h)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for n, t in enumerate(batch.column(1).to_pylist()):
+                if t is None:
+                    continue
+                own = {h for h in brief if h in t}
+                if len(t) >= KEY:
+                    for k in np.flatnonzero(marked[hashes(t)]).tolist():
+                        own.update(h for h in by.get(t[k : k + KEY], ()) if t.startswith(h, k))
+                at += [n] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], [key, "head"])
+
+    return rows.select(key, body).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, head string")
+
+
 def evaluate(ranked: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """mrr and recall@k over the cases that expect something; ranked: case, item, rank; expected: case, item."""
     first = expected.join(ranked, ["case", "item"], "left").groupBy("case").agg(F.min("rank").alias("first"))

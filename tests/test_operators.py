@@ -113,6 +113,22 @@ def test_lineage_of_many_rows_deep_chains_and_cycles(spark):
     assert ledger.lineage(long, long, "id", "up").count() > 700_000 and ledger.lineage(long, long.union(long), "id", "up").count() == 1_440_000
 
 
+def test_holding_finds_heads_at_any_place(spark):
+    r = random.Random(9)
+    heads = ["", "ab", "abcdefgh", "abcdefghij" * 6, "\u4e2d\U0001f600 " * 20, "zz" * 30, "never held at all"]
+    rows = [(k, "".join(r.choice(["x", "\n", "\U0001f600", "abcdefg", *heads[:-1]]) for _ in range(r.randint(0, 12)))) for k in range(200)] + [(900, None)]
+    got = {tuple(x) for x in retrieval.holding(spark.createDataFrame(rows, "k int, t string"), "k", "t", heads).collect()}
+    assert got == {(k, h) for k, t in rows if t is not None for h in heads if h in t}
+
+
+def test_items_of_few_characters_are_cases(spark, tmp_path):
+    from marlspar.plans import queries
+
+    spark.createDataFrame([(1, "one short item stands here"), (2, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, "short item"), (6, "missing words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert tuple(queries.mrr_recall(spark, str(tmp_path)).first()) == (1.0, 1.0, 1)
+
+
 def test_diversify_equals_a_plain_greedy_choice(spark):
     r = random.Random(4)
     rows = [(k % 2, k, round(r.random(), 3), r.choice(vocab.LEVELS), r.choice("xyz"), r.sample("abcdefgh", r.randint(0, 5))) for k in range(60)]
