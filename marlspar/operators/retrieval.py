@@ -80,6 +80,48 @@ def _counted(batch: pa.RecordBatch, words: pa.Array) -> tuple[np.ndarray, np.nda
     return length, key // max(1, len(words)), key % max(1, len(words)), np.bincount(back, weights=weight, minlength=len(key))
 
 
+def query_blocks(token: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int, tokens: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(first query, weights of its own tokens by query, own number of each token) of runs of 256 queries, as small matrices."""
+    blocks = []
+    for q in range(0, queries, 256):
+        mine = np.flatnonzero((query >= q) & (query < q + 256))
+        own, column = np.unique(token[mine], return_inverse=True)
+        table = np.zeros((len(own), min(256, queries - q)))
+        table[column, query[mine] - q] = weight[mine]
+        number = np.full(tokens, -1, np.int64)
+        number[own] = np.arange(len(own))
+        blocks.append((q, table, number))
+    return blocks
+
+
+def keep_best(best: dict[int, list], blocks: list, entries: pa.Array, row: np.ndarray, number: np.ndarray, part: np.ndarray, top: int) -> None:
+    """Scores entries (postings: row, number of the token, part) against all queries and keeps the best `top` of each.
+
+    best: query to its (-rounded score, entry, score) in order.
+    """
+    order = np.argsort(row, kind="stable")
+    row, number, part = row[order], number[order], part[order]
+    for q, table, column in blocks:
+        step = max(1, (1 << 21) // max(1, table.shape[0]))
+        for a in range(0, len(entries), step):
+            span = slice(*np.searchsorted(row, [a, a + step]))
+            at = column[number[span]]
+            some = at >= 0
+            dense = np.zeros((min(step, len(entries) - a), table.shape[0]))
+            dense[row[span][some] - a, at[some]] = part[span][some]
+            scores = dense @ table
+            # ties at the edge stay for the merge
+            floor = np.array([-best[q + k][-1][0] - 1e-8 if len(best.get(q + k, ())) >= top else 0.0 for k in range(scores.shape[1])])
+            for k in np.flatnonzero((scores.max(axis=0) > 0) & (scores.max(axis=0) >= floor)).tolist():
+                hit = np.flatnonzero((scores[:, k] > 0) & (scores[:, k] >= floor[k]))
+                if len(hit) > top:
+                    edge = np.partition(scores[hit, k], len(hit) - top)[len(hit) - top]
+                    hit = hit[scores[hit, k] >= edge - 1e-8]
+                ids = entries.take(pa.array(hit + a)).to_pylist()
+                found = [(-round(float(s), 9), e, float(s)) for e, s in zip(ids, scores[hit, k], strict=True)]
+                best[q + k] = heapq.nsmallest(top, [*best.get(q + k, []), *found])
+
+
 def bm25_scan(rows: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """`bm25` with the best `top` entries of each query, from `tokenised` rows, without a row for each pair.
 
@@ -119,36 +161,12 @@ def bm25_scan(rows: DataFrame, queries: DataFrame, top: int) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (token, query, qtf), weight = side.value[0].T, side.value[1]
-        blocks = []  # queries whose tokens fill one small matrix
-        for q in range(0, len(names), 256):
-            mine = np.flatnonzero((query >= q) & (query < q + 256))
-            own, column = np.unique(token[mine], return_inverse=True)
-            table = np.zeros((len(own), min(256, len(names) - q)))
-            table[column, query[mine] - q] = 1 + QUERY_FACTOR * np.log1p(qtf[mine])
-            number = np.full(len(weight), -1, np.int64)
-            number[own] = np.arange(len(own))
-            blocks.append((q, table * weight[own][:, None], number))
-        best: dict[int, tuple[np.ndarray, list]] = {}
+        blocks = query_blocks(token, query, (1 + QUERY_FACTOR * np.log1p(qtf)) * weight[token], len(names), len(weight))
+        best: dict[int, list] = {}
         for batch in batches:
-            ids = batch.column("entry").to_pylist()
             length, row, number, tf = _counted(batch, words)
             part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))
-            for q, table, column in blocks:
-                step = max(1, (1 << 21) // max(1, table.shape[0]))
-                for a in range(0, len(ids), step):
-                    some = np.flatnonzero((row >= a) & (row < a + step) & (column[number] >= 0))
-                    dense = np.zeros((min(step, len(ids) - a), table.shape[0]))
-                    dense[row[some] - a, column[number[some]]] = part[some]
-                    scores = dense @ table
-                    for k in range(scores.shape[1]):
-                        hit = np.flatnonzero(scores[:, k] > 0)
-                        if len(hit) > top:  # ties at the edge stay for the merge
-                            edge = np.partition(scores[hit, k], len(hit) - top)[len(hit) - top]
-                            hit = hit[scores[hit, k] >= edge - 1e-8]
-                        if not len(hit):
-                            continue
-                        found = [(-round(float(s), 9), ids[a + h], float(s)) for h, s in zip(hit.tolist(), scores[hit, k], strict=True)]
-                        best[q + k] = heapq.nsmallest(top, [*best.get(q + k, []), *found])
+            keep_best(best, blocks, batch.column("entry"), row, number, part, top)
         out = [(names[k], e, s) for k, found in best.items() for _, e, s in found]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", "entry", "score"])

@@ -1,9 +1,11 @@
 """A persistent BM25 index: posting blocks in Parquet, bucketed by token, found again by the catalog's fingerprint.
 
 A block holds a token's postings within one group of some BLOCK entries (dealt by hash, so a token that every entry has
-is many blocks) and the greatest score that any of them can give. A search reads the buckets of its tokens only. From the
-blocks' heads it bounds every group of entries from above for each query, scores the most promising groups to learn a
-score that the result's last place has at least, and then only those groups whose bound reaches it.
+is many blocks) and the greatest score that any of them can give. A search reads the buckets of its tokens only. Queries of
+up to MAX_QUERY_TOKENS tokens go to every task: each block is read once, dealt by group and scored against all queries as
+products of matrices, and a task hands on the best of each query. More queries are joined: from the blocks' heads a search
+bounds every group of entries from above for each query, scores the most promising groups to learn a score that the
+result's last place has at least, and then only those groups whose bound reaches it.
 
 Payloads of entries lie in their own buckets by id, so wide columns are read for the entries of a result alone. An
 index is a folder of its own; a small object named after the fingerprint publishes it when it is complete. Of two
@@ -16,8 +18,12 @@ import hashlib
 import json
 import uuid
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,6 +38,8 @@ SCHEMA = 1
 BLOCK = 64
 #: Buckets of tokens and of payloads; a search names the buckets that it reads.
 BUCKETS = 64
+#: Entries that one task of a search scores, at the mean.
+TASK = 16_384
 
 
 def fingerprint(rows: DataFrame, extensions: dict | None = None) -> str:
@@ -74,7 +82,9 @@ class Index:
         idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = idf * (1 + retrieval.QUERY_FACTOR * F.log1p(F.col("qtf")))
         weighed = asked.join(self._terms("terms", wanted), "token").select("query", "token", weight.alias("w"))
-        side = F.broadcast(weighed) if small else weighed
+        if small:
+            return self._rank_blocks(weighed, queries, wanted, top)
+        side = weighed
         heads = self._terms("blocks", wanted).select("token", "group", "best").join(side, "token")
         bounds = heads.groupBy("query", "group").agg(F.sum(F.col("w") * F.col("best")).alias("bound"))
         order = Window.partitionBy("query").orderBy(F.desc("bound"), "group")
@@ -87,6 +97,39 @@ class Index:
         place = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "entry")
         return self._scored(left, side, wanted).where("score > 0").withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
 
+    def _rank_blocks(self, weighed: DataFrame, queries: DataFrame, wanted: list[int], top: int) -> DataFrame:
+        """`rank` for queries that every task holds; blocks are shuffled once, whatever the number of queries."""
+        asked = weighed.collect()
+        blocks = self._table("blocks")
+        kinds = queries.schema["query"].dataType.simpleString(), blocks.schema["hits"].dataType.elementType["entry"].dataType.simpleString()
+        if not asked:
+            return self.spark.createDataFrame([], f"query {kinds[0]}, entry {kinds[1]}, score double, rank int")
+        names, vocabulary = [*dict.fromkeys(r["query"] for r in asked)], {w: k for k, w in enumerate(dict.fromkeys(r["token"] for r in asked))}
+        place = {n: k for k, n in enumerate(names)}
+        side = self.spark.sparkContext.broadcast((np.array([(vocabulary[r["token"]], place[r["query"]]) for r in asked], np.int64), np.array([r["w"] for r in asked])))
+        numbers = self.spark.createDataFrame([*vocabulary.items()], "token string, number long")
+        tasks = max(self.spark.sparkContext.defaultParallelism, self.entry_count // TASK)
+        dealt = self._terms("blocks", wanted).select("token", "group", "hits").join(F.broadcast(numbers), "token").select("group", "number", "hits").repartition(tasks, "group").sortWithinPartitions("group")
+        known = len(vocabulary)
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            (token, query), weight = side.value[0].T, side.value[1]
+            tables = retrieval.query_blocks(token, query, weight, len(names), known)
+            best: dict[int, list] = {}
+            for rows in _whole_groups(batches):
+                hits = rows.column("hits")
+                flat, size = hits.flatten(), pc.list_value_length(hits).to_numpy(zero_copy_only=False)
+                entry = flat.field("entry").dictionary_encode()
+                number = np.repeat(rows.column("number").to_numpy(zero_copy_only=False), size)
+                retrieval.keep_best(best, tables, entry.dictionary, entry.indices.to_numpy(zero_copy_only=False).astype(np.int64), number, flat.field("part").to_numpy(zero_copy_only=False), top)
+            out = [(names[k], e, s) for k, found in best.items() for _, e, s in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", "entry", "score"])
+
+        place_of = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "entry")
+        found = dealt.mapInArrow(score, f"query {kinds[0]}, entry {kinds[1]}, score double")
+        return found.withColumn("rank", F.row_number().over(place_of)).where(F.col("rank") <= top)
+
     def _scored(self, chosen: DataFrame, side: DataFrame, wanted: list[int] | None) -> DataFrame:
         """(query, entry, score) of all hits within the chosen (query, group)."""
         blocks = self._terms("blocks", wanted).select("token", "group", "hits").join(side, "token").join(chosen, ["query", "group"])
@@ -103,6 +146,25 @@ class Index:
         return rows.join(own, F.col("_entry") == F.col("_key"), "left_semi").drop("_bucket", "_entry")
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of group, cut where a group ends."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column("group").to_numpy(zero_copy_only=False)
+        if held and held[-1].column("group")[-1].as_py() != group[0]:
+            yield pa.concat_batches(held)
+            held = []
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Scan:
     """The same answers from a scan of the entries, where no index can be written."""

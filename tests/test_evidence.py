@@ -141,3 +141,16 @@ def test_intent_is_taken_or_inferred(spark):
     rows = [("a", "show me the code implementation", None), ("b", "show me the code implementation", "strategy"), ("c", "words", None)]
     got = {r.profile: r.intent for r in evidence.prepared(spark.createDataFrame(rows, "profile string, description string, intent string")).collect()}
     assert got["b"] == "strategy" and got["a"] == "code" and got["c"] is None
+
+
+def test_search_hands_on_the_best_of_each_query_only(spark, tmp_path):
+    # before, every pair of a query's token and an entry was a shuffled row
+    docs = spark.range(3000).select("id", F.concat(F.lit("alpha beta gamma w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 11).alias("text"))
+    one = F.array(F.struct(F.col("text").alias("text"), F.lit(1.0).alias("weight")))
+    found = index.load_or_build(docs, "id", one, f"file://{tmp_path}/index")
+    asked = spark.range(40).select(F.col("id").alias("query"), F.concat(F.lit("alpha beta w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 11).alias("text"))
+    tokens = retrieval.query_tokens(asked, "query", F.col("text"))
+    got = [(r.query, r["rank"], r.entry, round(r.score, 6)) for r in found.rank(tokens, 5).orderBy("query", "rank").collect()]
+    want = retrieval.bm25(retrieval.postings(docs, "id", one), tokens, 5).orderBy("query", "rank").collect()
+    assert got == [(r.query, r["rank"], r.entry, round(r.score, 6)) for r in want] and len(got) == 200
+    assert "explode" not in found.rank(tokens, 5)._jdf.queryExecution().toString().lower()
