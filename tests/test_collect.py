@@ -99,3 +99,12 @@ def test_evidence_takes_the_best_distinct_symbols(spark):
     assert [r.id for r in evidence_of(spark, rows)] == [f"CE{k:03d}" for k in range(1, 8)]
     assert [r.path for r in evidence_of(spark, rows, 2)] == [r.path for r in evidence_of(spark, rows)][:2]
     assert evidence_of(spark, rows[3:5]) == []
+
+
+def test_a_text_is_redacted_once(spark):
+    from unittest import mock
+
+    df = spark.createDataFrame([("a.rs", "rust", 45, "s", "fn x() {}")], "path string, language string, score int, sha256 string, body string")
+    with mock.patch.object(vocab, "REDACT_LINES", [("only_once", "")]):
+        plan = collect.evidence(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("only_once") == 1, plan
