@@ -21,7 +21,8 @@ give heads without parts, which the gate blocks; further columns of the inputs a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ BLOCK = 4096
 #: Sources named in one Markdown line.
 LINE_SOURCES = 1000
 SCHEMA_VERSION = 1
+#: Keywords of a card, and its lessons that are looked at for one that alone has as many.
+KEYWORDS, EARLY = 48, 16
 
 POSITIVE = ("supported", "partially_supported")
 NEGATIVE = ("not_supported", "inconclusive")
@@ -80,7 +83,7 @@ def lessons(runs: DataFrame, analyses: DataFrame, ablations: DataFrame, research
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "transfer_conditions", "failure_conditions", "urls"))).alias("r"))
     )
     own = runs.select("workspace", "place", "id", "component", "status", "hypothesis", "change", "diagnosis", "notes", "ablation", "research_ids", "artifact")
-    rows = own.join(last, ["workspace", "id"], "left").join(plan, ["workspace", "ablation"], "left").join(used, ["workspace", "id"], "left")
+    rows = own.join(last, ["workspace", "id"], "left").join(used, ["workspace", "id"], "left").join(plan, ["workspace", "ablation"], "left")
     verdict = c("a.verdict")
     kind = F.when(verdict.isin(*POSITIVE), "validated").when(verdict.isin(*NEGATIVE) | (c("status") == "failed"), "negative")
     broken = ~F.coalesce(verdict.isin(*POSITIVE, *NEGATIVE), F.lit(False))
@@ -105,11 +108,18 @@ def lessons(runs: DataFrame, analyses: DataFrame, ablations: DataFrame, research
     return numbered(out, ["workspace", "kind"], "place", ["experiment"]).withColumn("lesson_id", F.concat(mark, F.lpad(c("number").cast("string"), F.greatest(F.lit(3), F.length(c("number").cast("string"))), F.lit("0"))))
 
 
+def _marked(code: DataFrame) -> DataFrame:
+    """Code evidence with its path as cards have it and 128 bits of the whole row."""
+    rows = code.withColumn("path", F.translate(text.text_or_empty(F.col("path")), "\\", "/"))
+    whole = [F.col(x) for x in ("workspace", "experiment", "ord", "path", "start_line", "end_line", "language", "symbol", "excerpt", "content_sha256", "source_sha256")]
+    return rows.withColumn("_mark", F.xxhash64(*whole)).withColumn("_mark2", F.xxhash64(F.lit(7), *whole))
+
+
 def evidence(code: DataFrame, runs: DataFrame, found: DataFrame) -> DataFrame:
-    """Each piece of code evidence once, with its id and the lesson of the run that first cited it (null: general)."""
+    """Each piece of code evidence once, with its id and the lesson of the run that first cited it (null: general); `with_excerpts` adds the texts."""
     c = F.col
-    rest = ["place", "ord", "experiment", "language", "symbol", "excerpt", "source_sha256"]
-    rows = code.withColumn("path", F.translate(text.text_or_empty(c("path")), "\\", "/")).join(runs.select("workspace", c("id").alias("experiment"), "place"), ["workspace", "experiment"])
+    rest = ["place", "ord", "experiment", "language", "symbol", "source_sha256", "_mark", "_mark2"]
+    rows = _marked(code).drop("excerpt").join(runs.select("workspace", c("id").alias("experiment"), "place"), ["workspace", "experiment"])
     once = rows.groupBy("workspace", "path", "start_line", "end_line", "content_sha256").agg(F.min_by(F.struct(*rest), F.struct("place", "ord")).alias("e"))
     flat = once.select("workspace", "path", "start_line", "end_line", "content_sha256", *[c(f"e.{x}").alias(x) for x in rest])
     digits = c("number").cast("string")
@@ -117,6 +127,15 @@ def evidence(code: DataFrame, runs: DataFrame, found: DataFrame) -> DataFrame:
     return named.join(found.select("workspace", "experiment", "lesson_id", "kind"), ["workspace", "experiment"], "left")
 
 
+def with_excerpts(cited: DataFrame, code: DataFrame) -> DataFrame:
+    """The pieces of `evidence` with their excerpts: one shuffle of the texts, by the marks of their rows."""
+    marks = ["_mark", "_mark2"]
+    rows = cited.join(_marked(code).select(*marks, "excerpt"), marks).dropDuplicates(marks)  # rows with equal marks are equal
+    return rows.select(
+        "workspace", "experiment", "path", "start_line", "end_line", "content_sha256", "place", "ord", "language", "symbol", "excerpt", "source_sha256", "number", "evidence_id", "lesson_id", "kind",
+    )
+
+
 def first_distinct(rows: DataFrame, key: str, value: str, order: list[str], most: int) -> DataFrame:
     """(key, list): the first `most` distinct values of each key that are neither null nor empty; counted before they are shuffled."""
     firsts = rows.where(F.coalesce(F.col(value), F.lit("")) != "").groupBy(key, value).agg(F.min(F.struct(*order)).alias("_order"))
@@ -124,31 +143,59 @@ def first_distinct(rows: DataFrame, key: str, value: str, order: list[str], most
     return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]).alias("list"))
 
 
-@dataclass
 class Cards:
-    """The tables of any number of cards."""
+    """The tables of any number of cards; each is made when it is first asked for, so that a reader of one pays for no other.
+
+    heads, lessons, cited (code evidence without its excerpts), evidence (with them), faults (of the evidence), chain, sources.
+    """
 
-    heads: DataFrame
-    lessons: DataFrame
-    evidence: DataFrame
-    chain: DataFrame
-    sources: DataFrame
+    def __init__(self, **parts: Callable[[], DataFrame]):
+        self._parts = {name: cache(make) for name, make in parts.items()}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        parts = self.__dict__.get("_parts", {})
+        if name not in parts:
+            raise AttributeError(name)
+        return parts[name]()
 
     def only(self, workspaces: DataFrame) -> Cards:
         """The cards of these workspaces."""
-        part = lambda t: t.join(workspaces, "workspace", "left_semi")
-        return Cards(part(self.heads), part(self.lessons), part(self.evidence), part(self.chain), part(self.sources))
+        return Cards(**{name: lambda make=make: make().join(workspaces, "workspace", "left_semi") for name, make in self._parts.items()})
 
 
 def build(workspaces: DataFrame, runs: DataFrame, analyses: DataFrame, ablations: DataFrame, research: DataFrame, code: DataFrame) -> Cards:
-    """Draft cards of all workspaces; the parts are written once to the shared folder, as the gate, digest and text all read them."""
+    """Draft cards of all workspaces; a part that several steps read is written once to the shared folder.
+
+    Texts go through as few shuffles as can be: numbers and ids are found without them.
+    """
+    made: Cards
+    found = lessons(runs, analyses, ablations, research)
+
+    def numbers() -> DataFrame:
+        """The lessons' ids alone; no text is read for them."""
+        return store.kept(found.select("workspace", "experiment", "lesson_id", "kind"), "card-numbers")
+
+    def sources() -> DataFrame:
+        urls = research.where("status = 'verified'").select("workspace", "place", F.posexplode("urls").alias("_pos", "_url"))
+        urls = urls.select("workspace", governance.strip_query(F.col("_url")).alias("url"), F.struct("place", "_pos").alias("_at")).where("url <> ''")
+        firsts = urls.groupBy("workspace", "url").agg(F.min("_at").alias("_at")).select("workspace", "url", "_at.place", "_at._pos")
+        return store.kept(numbered(firsts, ["workspace"], "place", ["_pos"]).select("workspace", "number", "url"), "card-sources")
+
+    def chain() -> DataFrame:
+        link = runs.select(F.struct("workspace", "id").alias("key"), F.when(F.col("parent").isNotNull(), F.struct(F.col("workspace"), F.col("parent").alias("id"))).alias("up"))
+        steps = ledger.lineage(link, made.heads.where("best is not null").select(F.struct("workspace", F.col("best").alias("id")).alias("key")), "key", "up")
+        steps = store.kept(steps.select("key.workspace", F.col("key.id").alias("id"), "depth"), "card-steps")  # its size decides how the runs' texts are joined
+        return store.kept(steps.join(runs.select("workspace", "id", "component", "change", "cv", "cv_std", base_name(F.col("artifact")).alias("artifact_ref")), ["workspace", "id"]), "card-lineage")
+
+    made = Cards(
+        heads=lambda: store.kept(_heads(workspaces, runs, made.lessons, made.cited), "card-heads"), lessons=lambda: store.kept(found, "card-lessons"), cited=lambda: store.kept(evidence(code, runs, numbers()), "card-evidence"),
+        evidence=lambda: with_excerpts(made.cited, code), faults=lambda: store.kept(_evidence_faults(made.evidence), "card-faults"), chain=chain, sources=sources,
+    )
+    return made
+
+
+def _heads(workspaces: DataFrame, runs: DataFrame, found: DataFrame, cited: DataFrame) -> DataFrame:
     c = F.col
-    found = store.kept(lessons(runs, analyses, ablations, research), "card-lessons")
-    cited = store.kept(evidence(code, runs, found), "card-evidence")
-    urls = research.where("status = 'verified'").select("workspace", "place", F.posexplode("urls").alias("_pos", "_url"))
-    urls = urls.select("workspace", governance.strip_query(c("_url")).alias("url"), F.struct("place", "_pos").alias("_at")).where("url <> ''")
-    sources = numbered(urls.groupBy("workspace", "url").agg(F.min("_at").alias("_at")).select("workspace", "url", "_at.place", "_at._pos"), ["workspace"], "place", ["_pos"]).select("workspace", "number", "url")
-    sources = store.kept(sources, "card-sources")
     counts = found.groupBy("workspace").agg(F.count_if(c("kind") == "validated").alias("n_validated"), F.count_if(c("kind") == "negative").alias("n_negative"))
     best = runs.select("workspace", c("id").alias("best"), *REPRODUCTION)
     heads = workspaces.join(best, ["workspace", "best"], "left").join(counts, "workspace", "left").fillna(0, ["n_validated", "n_negative"])
@@ -164,20 +211,21 @@ def build(workspaces: DataFrame, runs: DataFrame, analyses: DataFrame, ablations
         F.coalesce("metric_family", F.lit("unknown")).alias("metric_family"), F.coalesce(F.nullif("summary", F.lit("")), short).alias("summary"), "best", *REPRODUCTION, "card_type", "repository", "license",
         "n_validated", "n_negative", "n_evidence",
     ).where("workspace is not null")
-    link = runs.select(F.struct("workspace", "id").alias("key"), F.when(c("parent").isNotNull(), F.struct(c("workspace"), c("parent").alias("id"))).alias("up"))
-    steps = ledger.lineage(link, heads.where("best is not null").select(F.struct("workspace", c("best").alias("id")).alias("key")), "key", "up")
-    chain = steps.select("key.workspace", c("key.id").alias("id"), "depth").join(runs.select("workspace", "id", "component", "change", "cv", "cv_std", base_name(c("artifact")).alias("artifact_ref")), ["workspace", "id"])
-    heads = heads.join(_keywords(heads, found), "workspace", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast(_NONE)))
-    return Cards(store.kept(heads, "card-heads"), found, cited, store.kept(chain, "card-lineage"), sources)
+    return heads.join(_keywords(heads, found), "workspace", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast(_NONE)))
 
 
 def _keywords(heads: DataFrame, found: DataFrame) -> DataFrame:
-    """The first 48 of the profile's terms and then of the lessons' words."""
+    """The first KEYWORDS of the profile's terms and then of the lessons' words.
+
+    A lesson of so many distinct words ends its card's list at the latest: no word of it beyond them and no lesson after it counts.
+    """
     own = heads.select("workspace", F.posexplode(F.concat("domains", "mechanisms", "risks")).alias("_pos", "word")).select("workspace", F.lit(0).alias("_part"), F.lit(0).cast("long").alias("number"), "_pos", "word")
-    words = text.tokens(F.concat_ws(" ", *[text.text_or_empty(F.col(x)) for x in ("title", "mechanism", "implementation")]))
-    part = F.when(F.col("kind") == "validated", 1).otherwise(2)
-    rest = found.select("workspace", part.alias("_part"), "number", F.posexplode(words).alias("_pos", "word"))
-    return first_distinct(own.unionByName(rest), "workspace", "word", ["_part", "number", "_pos"], 48).withColumnRenamed("list", "keywords")
+    words = F.slice(F.array_distinct(text.tokens(F.concat_ws(" ", *[text.text_or_empty(F.col(x)) for x in ("title", "mechanism", "implementation")]))), 1, KEYWORDS)
+    said = found.withColumn("_part", F.when(F.col("kind") == "validated", 1).otherwise(2))
+    full = said.where(F.col("number") <= EARLY).where(F.size(words) == KEYWORDS).groupBy("workspace").agg(F.min(F.struct("_part", "number")).alias("_last"))
+    needed = said.join(store.kept(full, "card-keywords-full"), "workspace", "left").where(F.col("_last").isNull() | (F.struct("_part", "number") <= F.col("_last")))
+    rest = needed.select("workspace", "_part", "number", F.posexplode(words).alias("_pos", "word"))
+    return first_distinct(own.unionByName(rest), "workspace", "word", ["_part", "number", "_pos"], KEYWORDS).withColumnRenamed("list", "keywords")
 
 
 def digests(made: Cards) -> DataFrame:
@@ -203,14 +251,14 @@ def _broken(level: str, rule: str, table: DataFrame, test: Column, message: Colu
 
 def _sensitive(made: Cards) -> DataFrame:
     """Workspaces of cards with a secret, a local path or a URL with a query in any text."""
-    hits = None
-    for t in (made.heads, made.lessons, made.evidence, made.chain):
-        own = t.where(governance.is_sensitive(F.to_json(F.struct(*[c for c in t.columns])))).select("workspace")
-        hits = own if hits is None else hits.unionByName(own)
+    hits = made.faults.where("sensitive").select("workspace")
+    for t in (made.heads, made.lessons, made.chain):
+        hits = hits.unionByName(t.where(governance.is_sensitive(F.to_json(F.struct(*[c for c in t.columns])))).select("workspace"))
     return hits.distinct()
 
 
-def evidence_problems(made: Cards, level: str = "blocker") -> DataFrame:
+def _evidence_faults(pieces: DataFrame) -> DataFrame:
+    """(workspace, item, marks, sensitive) of the pieces with a fault: all rules in one scan of the excerpts."""
     c = F.col
     name = c("evidence_id")
     say = lambda s: F.concat(F.lit("code evidence "), name, F.lit(f" {s}"))
@@ -222,9 +270,14 @@ def evidence_problems(made: Cards, level: str = "blocker") -> DataFrame:
         ("integers", c("start_line").isNull() | c("end_line").isNull(), say("needs integer line bounds")),
         ("bounds", c("start_line").isNotNull() & c("end_line").isNotNull() & ((c("start_line") <= 0) | (c("end_line") < c("start_line"))), say("has invalid line bounds")),
     ]
-    # all rules in one scan of the excerpts
     marks = F.filter(F.array(*[F.when(t, F.struct(F.lit(f"evidence_{r}").alias("rule"), m.alias("message"))) for r, t, m in rules]), lambda x: x.isNotNull())
-    return made.evidence.select("workspace", F.lit(level).alias("level"), F.explode(marks).alias("m"), name.alias("item")).select("workspace", "level", "m.rule", "item", F.col("item").alias("counted"), "m.message")
+    # a generated row is not made again for the filter
+    fault = F.explode(F.array(F.struct(marks.alias("marks"), governance.is_sensitive(F.to_json(F.struct(*[c(x) for x in pieces.columns]))).alias("sensitive"))))
+    return pieces.select("workspace", name.alias("item"), fault.alias("f")).select("workspace", "item", "f.marks", "f.sensitive").where(c("sensitive") | (F.size("marks") > 0))
+
+
+def evidence_problems(made: Cards, level: str = "blocker") -> DataFrame:
+    return made.faults.select("workspace", F.lit(level).alias("level"), F.explode("marks").alias("m"), "item").select("workspace", "level", "m.rule", "item", F.col("item").alias("counted"), "m.message")
 
 
 def provenance_problems(made: Cards, level: str = "blocker") -> DataFrame:

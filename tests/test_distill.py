@@ -157,3 +157,46 @@ def test_catalog_by_changes_equals_a_rebuild(spark, tmp_path):
         assert stats == lib.stats() and (stats["entries"], stats["linked"], stats["quality"]) == (len(rows), linked, sum(r[3] for r in rows))
         assert k == 0 or lib.refresh(now.select("card_id", "card_hash"), roll) == stats
     assert [m for m in made if m] == [{"a", "b"}, {"b", "c"}, {"a"}]
+
+
+def test_evidence_is_scanned_once_and_faults_are_rows(build):
+    made, runs, research = build(code=[piece(2, "/etc/x"), piece(2, "src/b.py", "see /home/me/secret/x"), piece(2, "src/c.py", "fine")])
+    assert [(r["item"], len(r.marks), r.sensitive) for r in made.faults.orderBy("item").collect()] == [("CE001", 1, False), ("CE002", 0, True)]
+    assert {("blocker", "sensitive", ""), ("blocker", "evidence_path", "CE001")} <= {*rules(distill.problems(made, runs, research))}
+
+
+def written(monkeypatch):
+    from marlspar.sources import store
+
+    labels, kept = [], store.kept
+    monkeypatch.setattr(store, "kept", lambda df, label: labels.append((label, {*df.columns})) or kept(df, label))
+    return labels
+
+
+def test_a_part_is_made_when_it_is_asked_for(build, monkeypatch):
+    labels = written(monkeypatch)
+    made, _, _ = build(code=[piece(2)])
+    assert labels == [] and made.lessons.count() == 2 and made.lessons.count() == 2
+    assert [x for x, _ in labels] == ["card-lessons"]
+
+
+def test_evidence_is_numbered_without_its_texts(build, monkeypatch):
+    labels = written(monkeypatch)
+    # rows that are equal in all columns, and one with null lines
+    made, _, _ = build(code=[piece(2), piece(2), piece(3, "src/b.py", "y = 2"), ("w", "E2", 3, "src/n.py", None, None, None, None, None, None, None)])
+    assert [(r.evidence_id, r.experiment) for r in made.cited.orderBy("number").collect()] == [("CE001", "E2"), ("CE002", "E2"), ("CE003", "E3")]
+    assert [x for x, _ in labels] == ["card-numbers", "card-evidence"] and not any({"excerpt", "implementation"} & columns for _, columns in labels)
+    assert [(r.evidence_id, r.excerpt) for r in made.evidence.orderBy("number").collect()] == [("CE001", "x = 1"), ("CE002", None), ("CE003", "y = 2")]
+
+
+def test_keywords_are_the_first_words_of_all_lessons(build, monkeypatch):
+    monkeypatch.setattr(distill, "EARLY", 3)
+    monkeypatch.setattr(distill, "KEYWORDS", 12)
+    for wide in (0, 2, 6):  # the lesson that alone fills the list: none, an early one, a late one
+        runs = [run(k, None, "model", "failed", " ".join(f"w{k}x{n} w1x{n}" for n in range(30 if k == wide else 2))) for k in range(1, 9)]
+        made, _, _ = build(runs, [], ())
+        want = {"vision": 0, "leak": 0}
+        for r in made.lessons.orderBy("number").collect():
+            want |= dict.fromkeys(f"{r.title} {r.mechanism} {r.implementation}".lower().split(), 0)
+        stop = {w for w in want if w in distill.text.vocab.STOPWORDS or len(w) < 2}
+        assert made.heads.first().keywords == [w for w in want if w not in stop][:12]
