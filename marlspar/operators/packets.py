@@ -27,16 +27,15 @@ def strip(c: Column) -> Column:
 
 
 def by_anchor(books: DataFrame, key: str, body: Column) -> DataFrame:
-    """(anchor, book, ordinal, title, section): every section under its own anchor, or the one its place and title give."""
+    """(anchor, book, ordinal, title, section): every section under its own anchor, or the one its place and title give; in several books it has a row each."""
     cut = catalog.sections(books, key, body)
-    first = F.row_number().over(Window.partitionBy("anchor").orderBy(F.col(key).cast("string"), "ordinal"))
-    return cut.withColumn("_n", first).where("_n = 1").select("anchor", F.col(key).cast("string").alias("book"), "ordinal", "title", strip(F.col("section")).alias("section"))
+    return cut.select("anchor", F.col(key).cast("string").alias("book"), "ordinal", "title", strip(F.col("section")).alias("section"))
 
 
 def store_sections(books: DataFrame, key: str, body: Column, root: str, mark: str | None = None) -> index.Index | index.Scan:
     """The sections of all books, to be looked up by anchor; parsed unless they are kept already."""
     title = F.array(F.struct(F.col("title").alias("text"), F.lit(1.0).alias("weight")))
-    return index.load_or_build(by_anchor(books, key, body), "anchor", title, root, mark=mark or index.fingerprint(books))
+    return index.load_or_build(by_anchor(books, key, body), "anchor", title, root, mark=mark or index.fingerprint(books), order=[F.col("book"), F.col("ordinal")])
 
 
 def anchors_of(results: DataFrame, support: bool = True) -> DataFrame:
@@ -60,7 +59,8 @@ def packets(profiles: DataFrame, asked: DataFrame, sections, per_section: int =
         asked = asked if c in asked.columns else asked.withColumn(c, F.lit(None).cast("string"))
     once = asked.withColumn("_n", F.row_number().over(Window.partitionBy("packet", "anchor").orderBy("rank"))).where("_n = 1").drop("_n")
     once = once.withColumn("rank", F.row_number().over(Window.partitionBy("packet").orderBy("rank")))
-    found = sections.entries(once, "anchor").select("anchor", "book", "section")
+    # no packet shows more of a section, so no more is shuffled
+    found = sections.entries(once, "anchor", ["anchor", "book", F.length("section").alias("_length"), F.substring("section", 1, per_section).alias("section")])
     rows = once.join(found, "anchor", "left")
     filled = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
     named = F.coalesce(filled("source", "title"), F.lit("unknown"))
@@ -80,7 +80,7 @@ def packets(profiles: DataFrame, asked: DataFrame, sections, per_section: int =
     base = profiles.join(manifest, "packet", "left").select("packet", F.concat(F.array_join(head, "\n"), F.lit("\n")).alias("_head"), F.size(F.coalesce("_manifest", none)).alias("requested"), F.coalesce("missing", none).alias("missing"))
     # what precedes a section: the header, and of every section before it its characters and its frame
     before = Window.partitionBy("packet").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    length = F.least(F.length("section"), F.lit(per_section)) + FRAME
+    length = F.least("_length", F.lit(per_section)) + FRAME
     body = rows.join(base.select("packet", F.length("_head").alias("_start")), "packet").withColumn("_used", F.col("_start") + F.coalesce(F.sum(length).over(before), F.lit(0)))
     body = body.where((F.col("_used") < total) & F.col("section").isNotNull()).withColumn("_room", F.least(F.lit(per_section), total - F.col("_used")).cast("int"))
     cut = F.substring(F.col("section"), F.lit(1), F.col("_room"))
@@ -88,7 +88,7 @@ def packets(profiles: DataFrame, asked: DataFrame, sections, per_section: int =
     block = F.concat_ws(
         "\n", F.concat(F.lit("### Evidence "), F.col("rank"), F.lit(": "), F.coalesce(filled("title", "source"), F.col("anchor"))), F.concat(F.lit("- anchor: `"), F.col("anchor"), F.lit("`")),
         F.concat(F.lit("- level: "), F.coalesce(filled("level"), F.lit("unknown"))), F.concat(F.lit("- source: "), filled("source_url")), F.lit(""), F.regexp_replace(wrapped, r"(?U)\s+$", ""),
-        F.when(F.length("section") > F.col("_room"), F.lit("\n[section truncated by evidence-packet budget]")), F.lit(""),
+        F.when(F.col("_length") > F.col("_room"), F.lit("\n[section truncated by evidence-packet budget]")), F.lit(""),
     )
     blocks = body.select("packet", "rank", block.alias("block")).groupBy("packet").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]).alias("blocks"))
     out = base.join(blocks, "packet", "left").withColumn("blocks", F.coalesce("blocks", none))

@@ -136,13 +136,14 @@ class Index:
         hit = blocks.select("query", "w", F.explode("hits").alias("h"))
         return hit.groupBy("query", F.col("h.entry").alias("entry")).agg(F.sum(F.col("w") * F.col("h.part")).alias("score"))
 
-    def entries(self, ids: DataFrame, key: str = "entry") -> DataFrame:
-        """Payloads of the ids in column `key`; the buckets of at most MAX_QUERY_TOKENS ids are named to the scan."""
+    def entries(self, ids: DataFrame, key: str = "entry", columns: list[Column | str] | None = None) -> DataFrame:
+        """Payloads of the ids in column `key`, or `columns` made of them before any shuffle; the buckets of at most MAX_QUERY_TOKENS ids are named to the scan."""
         own = ids.select(F.col(key).alias("_key")).distinct()
         rows = self._table("entries")
         if own.limit(retrieval.MAX_QUERY_TOKENS + 1).count() <= retrieval.MAX_QUERY_TOKENS:
             rows = rows.where(F.col("_bucket").isin([r[0] for r in own.select(_bucket(F.col("_key"))).distinct().collect()]))
             own = F.broadcast(own)
+        rows = rows if columns is None else rows.select("_bucket", "_entry", *columns)
         return rows.join(own, F.col("_entry") == F.col("_key"), "left_semi").drop("_bucket", "_entry")
 
 
@@ -177,14 +178,21 @@ class Scan:
     def rank(self, queries: DataFrame, top: int) -> DataFrame:
         return retrieval.bm25_scan(retrieval.tokenised(self.rows, self.entry, self.fields), queries, top)
 
-    def entries(self, ids: DataFrame, key: str = "entry") -> DataFrame:
-        return self.rows.join(ids.select(F.col(key).alias("_key")).distinct(), F.col(self.entry) == F.col("_key"), "left_semi")
+    def entries(self, ids: DataFrame, key: str = "entry", columns: list[Column | str] | None = None) -> DataFrame:
+        found = self.rows.withColumn("_entry", F.col(self.entry)).join(ids.select(F.col(key).alias("_key")).distinct(), F.col("_entry") == F.col("_key"), "left_semi")
+        return found.drop("_entry") if columns is None else found.select(*columns)
 
 
-def build(rows: DataFrame, entry: str, fields: Column, folder: str) -> dict:
-    """Writes all parts of an index into a new folder; what has to be published."""
+def _firsts(rows: DataFrame, keys: list[str], order: list[Column] | None) -> DataFrame:
+    """The first row of each key; all rows without an order."""
+    return rows if order is None else rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def build(rows: DataFrame, entry: str, fields: Column, folder: str, order: list[Column] | None = None) -> dict:
+    """Writes all parts of an index into a new folder; what has to be published. With `order` the first row of each entry counts."""
     spark = rows.sparkSession
-    held = rows.where(F.col(entry).isNotNull())
+    every = rows.where(F.col(entry).isNotNull())
+    held = _firsts(every, [entry], order)  # the payloads are not read for the postings
     said = F.transform(fields, lambda f: F.struct(text.tokens(f["text"]).alias("t"), f["weight"].cast("double").alias("w")))
     size = F.aggregate("said", F.lit(0.0), lambda a, f: a + f["w"] * F.size(f["t"]))
     long = held.select(F.col(entry).alias("entry"), said.alias("said")).select("entry", size.alias("dl"), F.explode("said").alias("f")).select("entry", "dl", F.explode("f.t").alias("token"), "f.w")
@@ -205,8 +213,10 @@ def build(rows: DataFrame, entry: str, fields: Column, folder: str) -> dict:
     blocks.repartition("bucket", F.pmod("group", F.lit(8))).sortWithinPartitions("bucket", "token", "group").write.partitionBy("bucket").parquet(f"{folder}/blocks")
     terms = spark.read.parquet(f"{folder}/blocks").groupBy("bucket", "token").agg(F.sum(F.size("hits")).alias("df"))
     terms.repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").parquet(f"{folder}/terms")
-    wide = held.withColumn("_entry", F.col(entry)).withColumn("_bucket", _bucket(F.col(entry)))
-    wide.repartition("_bucket", F.pmod(F.xxhash64("_entry", F.lit(1)), F.lit(4))).write.partitionBy("_bucket").parquet(f"{folder}/entries")
+    wide = every.withColumn("_entry", F.col(entry)).withColumn("_bucket", _bucket(F.col(entry))).withColumn("_part", F.pmod(F.xxhash64("_entry", F.lit(1)), F.lit(4)))
+    # an entry's rows lie in one part: the same shuffle serves its first row and the files
+    dealt = _firsts(wide.repartition("_bucket", "_part"), ["_bucket", "_part", "_entry"], order)
+    dealt.drop("_part").write.partitionBy("_bucket").parquet(f"{folder}/entries")
     store.remove(spark, f"{folder}/raw")
     return {"schema": SCHEMA, "folder": folder, "entry_count": n, "mean": mean}
 
@@ -220,26 +230,27 @@ def opened(spark: SparkSession, root: str, mark: str) -> Index | None:
     return Index(spark, said["folder"], said["entry_count"], said["mean"])
 
 
-def load_or_build(rows: DataFrame, entry: str, fields: Column, root: str, mark: str | None = None, refresh: bool = False) -> Index | Scan:
-    """The index of `rows` below `root`, built unless one of this fingerprint is there (or refresh asks for a new one)."""
+def load_or_build(rows: DataFrame, entry: str, fields: Column, root: str, mark: str | None = None, refresh: bool = False, order: list[Column] | None = None) -> Index | Scan:
+    """The index of `rows` (with `order`: of each entry's first row) below `root`, built unless one of this fingerprint is there (or refresh asks for a new one)."""
     spark = rows.sparkSession
     mark = mark or fingerprint(rows)
     if not refresh and (found := opened(spark, root, mark)):
         return found
     folder = f"{root}/{mark[:16]}-{uuid.uuid4().hex}"
     try:
-        said = build(rows, entry, fields, folder)
+        said = build(rows, entry, fields, folder, order)
         if not said["entry_count"]:
             store.remove(spark, folder)
-            return Scan(rows, entry, fields, 0)
+            return Scan(_firsts(rows, [entry], order), entry, fields, 0)
         if refresh:
             store.remove(spark, f"{root}/{mark}.json")
         if not store.put_if_absent(spark, f"{root}/{mark}.json", json.dumps(said).encode()):
             store.remove(spark, folder)  # another builder was first
     except (OSError, PySparkException, Py4JJavaError) as e:
         warnings.warn(f"no index can be kept below {root} ({type(e).__name__}); entries are scanned instead", RuntimeWarning, stacklevel=2)
-        return Scan(rows, entry, fields, rows.count())
-    return opened(spark, root, mark) or Scan(rows, entry, fields, 0)
+        only = _firsts(rows, [entry], order)
+        return Scan(only, entry, fields, only.count())
+    return opened(spark, root, mark) or Scan(_firsts(rows, [entry], order), entry, fields, 0)
 
 
 def prune(spark: SparkSession, root: str, keep: str) -> list[str]:

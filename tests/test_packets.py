@@ -72,3 +72,20 @@ def test_gates_and_scores_keep_names_apart(spark):
     c = F.col("spdx")
     scores = spark.createDataFrame([("MIT",), ("unknown",), (None,)], "spdx string").select(briefing.collected_score(F.lit(0), F.lit(0), F.lit(0), F.lit(None).cast("string"), c)).collect()
     assert [r[0] for r in scores] == [22, 20, 22]
+
+
+def test_sections_are_dealt_once_and_looked_up_short(spark, tmp_path):
+    from unittest import mock
+
+    from pyspark.sql import DataFrameWriter
+
+    plans = []
+    real = DataFrameWriter.parquet
+    with mock.patch.object(DataFrameWriter, "parquet", lambda self, path, *a, **k: (plans.append((path, self._df)), real(self, path, *a, **k))[1]):
+        books = spark.createDataFrame([(1, "## 1. A {#a}\nlong text of a\n"), (2, "## 1. A {#a}\nother\n## 2. B {#b}\nb\n")], "key int, body string")
+        kept = packets.store_sections(books, "key", F.col("body"), str(tmp_path / "once"))
+    wide = next(df for path, df in plans if path.endswith("/entries"))
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # its first book and its files from one shuffle
+    asked = spark.createDataFrame([("a",)], "anchor string")
+    short = kept.entries(asked, "anchor", ["anchor", F.substring("section", 1, 4).alias("section"), F.length("section").alias("n")])
+    assert [tuple(r) for r in short.collect()] == [("a", "## 1", 27)]
