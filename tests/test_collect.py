@@ -108,3 +108,10 @@ def test_a_text_is_redacted_once(spark):
     with mock.patch.object(vocab, "REDACT_LINES", [("only_once", "")]):
         plan = collect.evidence(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("only_once") == 1, plan
+
+
+def test_a_file_is_searched_to_its_end(spark):
+    body = "// nothing\n" * 30_000 + "fn train_model() {\n}\n"
+    (got,) = evidence_of(spark, [("long.rs", "rust", body)])
+    assert (got.symbol, got.start_line, got.end_line) == ("train_model", 30_001, 30_002)
+    assert got.content_sha256 == hashlib.sha256(b"fn train_model() {\n}").hexdigest()
