@@ -1,7 +1,8 @@
 """A persistent BM25 index: posting blocks in Parquet, bucketed by token, found again by the catalog's fingerprint.
 
 A block holds a token's postings within one group of some BLOCK entries (dealt by hash, so a token that every entry has
-is many blocks) and the greatest score that any of them can give. A search reads the buckets of its tokens only. Queries of
+is many blocks), the greatest count and the least length among them, which bound the score that any of them can give. Entries
+are shuffled once, as texts by group, and their blocks written where they are counted: postings are never shuffled. A search reads the buckets of its tokens only. Queries of
 up to MAX_QUERY_TOKENS tokens go to every task: each block is read once, dealt by group and scored against all queries as
 products of matrices, and a task hands on the best of each query. More queries are joined: from the blocks' heads a search
 bounds every group of entries from above for each query, scores the most promising groups to learn a score that the
@@ -18,7 +19,7 @@ import hashlib
 import json
 import uuid
 import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,13 +34,17 @@ from ..functions import text
 from ..operators import retrieval
 from . import store
 
-SCHEMA = 1
+SCHEMA = 2
 #: Entries of one group at the mean.
 BLOCK = 64
 #: Buckets of tokens and of payloads; a search names the buckets that it reads.
 BUCKETS = 64
-#: Entries that one task of a search scores, at the mean.
-TASK = 16_384
+#: Entries that one task of a search scores, or of a build counts, at the mean; bytes of text of the latter.
+TASK, TASK_BYTES = 16_384, 64 << 20
+#: Entries whose postings a task counts, and blocks that it scores, at once, at least.
+COUNTED, SCORED = 1024, 1 << 16
+#: The bucket of what a build has counted.
+SUMS = -1
 
 
 def fingerprint(rows: DataFrame, extensions: dict | None = None) -> str:
@@ -85,7 +90,7 @@ class Index:
         if small:
             return self._rank_blocks(weighed, queries, wanted, top)
         side = weighed
-        heads = self._terms("blocks", wanted).select("token", "group", "best").join(side, "token")
+        heads = self._terms("blocks", wanted).select("token", "group", _part(F.col("most"), F.col("least"), self.mean).alias("best")).join(side, "token")
         bounds = heads.groupBy("query", "group").agg(F.sum(F.col("w") * F.col("best")).alias("bound"))
         order = Window.partitionBy("query").orderBy(F.desc("bound"), "group")
         # each of these groups has one hit at least
@@ -110,18 +115,19 @@ class Index:
         numbers = self.spark.createDataFrame([*vocabulary.items()], "token string, number long")
         tasks = max(self.spark.sparkContext.defaultParallelism, self.entry_count // TASK)
         dealt = self._terms("blocks", wanted).select("token", "group", "hits").join(F.broadcast(numbers), "token").select("group", "number", "hits").repartition(tasks, "group").sortWithinPartitions("group")
-        known = len(vocabulary)
+        known, mean = len(vocabulary), self.mean
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (token, query), weight = side.value[0].T, side.value[1]
             tables = retrieval.query_blocks(token, query, weight, len(names), known)
             best: dict[int, list] = {}
-            for rows in _whole_groups(batches):
+            for rows in _whole_groups(batches, SCORED):
                 hits = rows.column("hits")
                 flat, size = hits.flatten(), pc.list_value_length(hits).to_numpy(zero_copy_only=False)
                 entry = flat.field("entry").dictionary_encode()
                 number = np.repeat(rows.column("number").to_numpy(zero_copy_only=False), size)
-                retrieval.keep_best(best, tables, entry.dictionary, entry.indices.to_numpy(zero_copy_only=False).astype(np.int64), number, flat.field("part").to_numpy(zero_copy_only=False), top)
+                part = _part(*[flat.field(c).to_numpy(zero_copy_only=False) for c in ("tf", "dl")], mean)
+                retrieval.keep_best(best, tables, entry.dictionary, entry.indices.to_numpy(zero_copy_only=False).astype(np.int64), number, part, top)
             out = [(names[k], e, s) for k, found in best.items() for _, e, s in found]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["query", "entry", "score"])
@@ -134,7 +140,7 @@ class Index:
         """(query, entry, score) of all hits within the chosen (query, group)."""
         blocks = self._terms("blocks", wanted).select("token", "group", "hits").join(side, "token").join(chosen, ["query", "group"])
         hit = blocks.select("query", "w", F.explode("hits").alias("h"))
-        return hit.groupBy("query", F.col("h.entry").alias("entry")).agg(F.sum(F.col("w") * F.col("h.part")).alias("score"))
+        return hit.groupBy("query", F.col("h.entry").alias("entry")).agg(F.sum(F.col("w") * _part(F.col("h.tf"), F.col("h.dl"), self.mean)).alias("score"))
 
     def entries(self, ids: DataFrame, key: str = "entry", columns: list[Column | str] | None = None) -> DataFrame:
         """Payloads of the ids in column `key`, or `columns` made of them before any shuffle; the buckets of at most MAX_QUERY_TOKENS ids are named to the scan."""
@@ -147,25 +153,73 @@ class Index:
         return rows.join(own, F.col("_entry") == F.col("_key"), "left_semi").drop("_bucket", "_entry")
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of group, cut where a group ends."""
+def _part(tf, dl, mean: float):
+    """What a posting adds to a score but for its token's weight; grows with tf, falls with dl. Of columns or arrays."""
+    return tf * (retrieval.K1 + 1) / (tf + retrieval.K1 * (1 - retrieval.B + retrieval.B * dl / mean))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows in order of group, cut where a group ends and `least` rows or more have come."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
         group = batch.column("group").to_numpy(zero_copy_only=False)
-        if held and held[-1].column("group")[-1].as_py() != group[0]:
-            yield pa.concat_batches(held)
-            held = []
-        cut = int(np.searchsorted(group, group[-1]))
-        if cut:
-            yield pa.concat_batches([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
+        before = held[-1].column("group")[-1].as_py() if held else None
+        ends = np.flatnonzero(group[1:] != group[:-1]) + 1
+        if before is not None and len(group) and group[0] != before:
+            ends = np.concatenate([[0], ends])
+        at, waiting = 0, sum(map(len, held))
+        for cut in ends.tolist():
+            if waiting + cut - at >= least:
+                yield pa.concat_batches([*held, batch.slice(at, cut - at)])
+                at, waiting, held = cut, 0, []
+        if at < len(group):
+            held.append(batch.slice(at))
     if held:
         yield pa.concat_batches(held)
 
 
+def _counted() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks of the entries' tokens, from rows (group, entry, said) in order of group; a row without a token has the sums of some entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches, COUNTED):
+            said, ids = rows.column("said"), rows.column("entry").dictionary_encode()
+            entry = ids.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            entries = len(ids.dictionary)
+            group = np.zeros(entries, np.int64)
+            group[entry] = rows.column("group").to_numpy(zero_copy_only=False)
+            fields = said.flatten()
+            row = np.repeat(entry, pc.fill_null(pc.list_value_length(said), 0).to_numpy(zero_copy_only=False))
+            tokens, weight = fields.field("t"), fields.field("w").to_numpy(zero_copy_only=False)
+            size = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+            words = tokens.flatten().dictionary_encode()
+            row, weight = np.repeat(row, size), np.repeat(weight, size)
+            length = np.bincount(row, weights=weight, minlength=entries)
+            # all rows of an entry are here, in one group
+            place = np.unique(group, return_inverse=True)[1]
+            known = max(1, len(words.dictionary))
+            key, back = np.unique((place[row] * known + words.indices.to_numpy(zero_copy_only=False)) * entries + row, return_inverse=True)
+            tf, who, block = np.bincount(back, weights=weight, minlength=len(key)), key % entries, key // entries
+            first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+            at = who[first]
+            sums = pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0]), pa.array([float(length.sum())]), pa.array([float((length > 0).sum())]), pa.array([None], _hits(ids.dictionary.type))], BLOCKS)
+            yield sums
+            if len(first):
+                hit = pa.StructArray.from_arrays([ids.dictionary.take(pa.array(who)), pa.array(tf), pa.array(length[who])], ["entry", "tf", "dl"])
+                hits = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)).astype(np.int32)), hit)
+                token = words.dictionary.take(pa.array(block[first] % known))
+                yield pa.RecordBatch.from_arrays([token, pa.array(group[at]), pa.array(np.maximum.reduceat(tf, first)), pa.array(np.minimum.reduceat(length[who], first)), hits], BLOCKS)
+
+    return run
+
+
+BLOCKS = ["token", "group", "most", "least", "hits"]
+
+
+def _hits(entry: pa.DataType) -> pa.DataType:
+    return pa.list_(pa.struct([("entry", entry), ("tf", pa.float64()), ("dl", pa.float64())]))
+
+
 @dataclass
 class Scan:
     """The same answers from a scan of the entries, where no index can be written."""
@@ -193,31 +247,28 @@ def build(rows: DataFrame, entry: str, fields: Column, folder: str, order: list[
     spark = rows.sparkSession
     every = rows.where(F.col(entry).isNotNull())
     held = _firsts(every, [entry], order)  # the payloads are not read for the postings
-    said = F.transform(fields, lambda f: F.struct(text.tokens(f["text"]).alias("t"), f["weight"].cast("double").alias("w")))
-    size = F.aggregate("said", F.lit(0.0), lambda a, f: a + f["w"] * F.size(f["t"]))
-    long = held.select(F.col(entry).alias("entry"), said.alias("said")).select("entry", size.alias("dl"), F.explode("said").alias("f")).select("entry", "dl", F.explode("f.t").alias("token"), "f.w")
-    long.groupBy("entry", "dl", "token").agg(F.sum("w").alias("tf")).write.parquet(f"{folder}/raw")
-    raw = spark.read.parquet(f"{folder}/raw")
-    # an entry's postings have its length each: one of them counts it
-    lengths = raw.groupBy("entry").agg(F.max("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean")).first()
-    if not lengths["n"]:
+    kind = rows.schema[entry].dataType.simpleString()
+    long = held.select(F.col(entry).alias("entry"), F.transform(fields, lambda f: F.struct(f["text"].alias("text"), f["weight"].cast("double").alias("w"))).alias("fields"))
+    heavy = F.aggregate("fields", F.lit(0).cast("long"), lambda a, f: a + F.coalesce(F.octet_length(f["text"]), F.lit(0)))
+    about = long.agg(F.count(F.lit(1)).alias("rows"), F.sum(heavy).alias("bytes")).first()
+    group = F.pmod(F.xxhash64("entry"), F.lit(max(1, -(-about["rows"] // BLOCK))))
+    tasks = max(spark.sparkContext.defaultParallelism, about["rows"] // TASK, (about["bytes"] or 0) // TASK_BYTES)
+    dealt = long.withColumn("group", group).repartition(tasks, "group").sortWithinPartitions("group")
+    said = F.transform("fields", lambda f: F.struct(text.tokens(f["text"]).alias("t"), f["w"].alias("w")))
+    blocks = dealt.select("group", "entry", said.alias("said")).mapInArrow(_counted(), f"token string, group long, most double, least double, hits array<struct<entry: {kind}, tf: double, dl: double>>")
+    blocks = blocks.withColumn("bucket", F.when(F.col("token").isNull(), SUMS).otherwise(_bucket(F.col("token"))))
+    blocks.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/blocks")
+    written = spark.read.parquet(f"{folder}/blocks")
+    sums = written.where(F.col("bucket") == SUMS).agg(F.sum("least").cast("long").alias("n"), F.sum("most").alias("total")).first()
+    if not sums["n"]:
         return {"schema": SCHEMA, "folder": folder, "entry_count": 0, "mean": 1.0}
-    n, mean = lengths["n"], max(1.0, lengths["mean"] or 1.0)
-    norm = F.col("tf") + retrieval.K1 * (1 - retrieval.B + retrieval.B * F.col("dl") / mean)
-    part = F.col("tf") * (retrieval.K1 + 1) / norm
-    group = F.pmod(F.xxhash64("entry"), F.lit(max(1, -(-n // BLOCK))))
-    hits = raw.select("token", group.alias("group"), F.struct("entry", part.alias("part")).alias("hit"))
-    blocks = hits.groupBy("token", "group").agg(F.sort_array(F.collect_list("hit")).alias("hits"))  # some BLOCK entries each
-    blocks = blocks.select("token", "group", F.array_max(F.transform("hits", lambda h: h["part"])).alias("best"), "hits", _bucket(F.col("token")).alias("bucket"))
-    # a bucket of many blocks is several tasks' work
-    blocks.repartition("bucket", F.pmod("group", F.lit(8))).sortWithinPartitions("bucket", "token", "group").write.partitionBy("bucket").parquet(f"{folder}/blocks")
-    terms = spark.read.parquet(f"{folder}/blocks").groupBy("bucket", "token").agg(F.sum(F.size("hits")).alias("df"))
+    n, mean = sums["n"], max(1.0, sums["total"] / sums["n"])
+    terms = written.where(F.col("bucket") != SUMS).groupBy("bucket", "token").agg(F.sum(F.size("hits")).alias("df"))
     terms.repartition("bucket").sortWithinPartitions("token").write.partitionBy("bucket").parquet(f"{folder}/terms")
     wide = every.withColumn("_entry", F.col(entry)).withColumn("_bucket", _bucket(F.col(entry))).withColumn("_part", F.pmod(F.xxhash64("_entry", F.lit(1)), F.lit(4)))
     # an entry's rows lie in one part: the same shuffle serves its first row and the files
     dealt = _firsts(wide.repartition("_bucket", "_part"), ["_bucket", "_part", "_entry"], order)
     dealt.drop("_part").write.partitionBy("_bucket").parquet(f"{folder}/entries")
-    store.remove(spark, f"{folder}/raw")
     return {"schema": SCHEMA, "folder": folder, "entry_count": n, "mean": mean}
 
 

@@ -154,3 +154,27 @@ def test_search_hands_on_the_best_of_each_query_only(spark, tmp_path):
     want = retrieval.bm25(retrieval.postings(docs, "id", one), tokens, 5).orderBy("query", "rank").collect()
     assert got == [(r.query, r["rank"], r.entry, round(r.score, 6)) for r in want] and len(got) == 200
     assert "explode" not in found.rank(tokens, 5)._jdf.queryExecution().toString().lower()
+
+
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_a_build_shuffles_texts_but_no_postings(spark, tmp_path):
+    docs = spark.range(3000).select("id", F.concat(F.lit("alpha beta gamma delta w"), F.col("id") % 7, F.lit(" v"), F.col("id") % 11).alias("text"))
+    before = shuffled(spark)
+    assert index.build(docs, "id", ONE(), f"file://{tmp_path}/index")["entry_count"] == 3000
+    assert 0 < shuffled(spark) - before < 3000 * 6
+
+
+def test_rows_of_one_entry_are_one(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "alpha beta"), (1, "alpha gamma delta"), (2, "beta"), (3, "")], "id long, text string")
+    one = spark.createDataFrame([(1, "alpha beta alpha gamma delta"), (2, "beta"), (3, "")], "id long, text string")
+    asked = retrieval.query_tokens(spark.createDataFrame([("q", "alpha beta delta")], "q string, text string"), "q", F.col("text"))
+    found = index.load_or_build(rows, "id", ONE(), f"file://{tmp_path}/index")
+    assert found.entry_count == 2
+    assert plain(found.rank(asked, 5)) == plain(retrieval.bm25(retrieval.postings(one, "id", ONE()), asked, 5))
