@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import constant, has_any, has_phrase, held, normalize, tokens, tokens_py
+from .text import among, constant, has_any, has_phrase, held, normalize, tokens, tokens_py
 
 
 def _ranked(scores: dict[str, Column], order: list[str] | None = None) -> Column:
@@ -105,12 +105,15 @@ def entry_domain_scores(token_set: Column, chapter_tokens: Column) -> Column:
     ]
     known = constant(rows, "array<struct<domain: string, two: array<array<string>>, one: array<array<string>>, hints: array<array<string>>>>")
 
-    def score(x: Column) -> Column:
-        hint = F.when(F.size(held(chapter_tokens, x["hints"])) > 0, 5).otherwise(0)
-        points = 2 * F.size(held(token_set, x["two"])) + F.size(held(token_set, x["one"])) + hint
-        return F.struct(x["domain"].alias("key"), points.alias("value"))
+    def scores(own: Column) -> Column:
+        def score(x: Column) -> Column:
+            hint = F.when(F.size(held(chapter_tokens, x["hints"])) > 0, 5).otherwise(0)
+            points = 2 * F.size(held(own, x["two"])) + F.size(held(own, x["one"])) + hint
+            return F.struct(x["domain"].alias("key"), points.alias("value"))
 
-    return F.map_from_entries(F.filter(F.transform(known, score), lambda x: x["value"] > 0))
+        return F.map_from_entries(F.filter(F.transform(known, score), lambda x: x["value"] > 0))
+
+    return among(token_set, [t for r in rows for t in r["two"] + r["one"]], scores)
 
 
 def profile(slug: Column, title: Column, description: Column, metric: Column, data: Column, constraints: Column) -> Column:

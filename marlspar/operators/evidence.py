@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +35,9 @@ SUMMARY, REASONS = 1000, 8
 TEXTS = ["id", "title", "chapter", "competition_slug", "competition_url", "source", "source_url", "source_type", "catalog_tier", "provenance_status", "trust_level", "source_license", "source_content_sha256", "code_evidence_status", "anchor", "summary"]
 LISTS = ["algo_tags", *PAYLOAD]
 NUMBERS = ["tricks_count", "code_evidence_count", "quality_score"]
+#: What `facet` reads of a profile, and of an entry beside its title, summary and words.
+ASKED = ["slug", "metric", "domains", "mechanisms", "validation_risks", "intent"]
+FACED = ["_scores", "_risks", "_mechanisms", "_identity", "_slug", *NUMBERS, "catalog_tier", "source_type"]
 
 
 def shaped(entries: DataFrame) -> DataFrame:
@@ -116,12 +120,20 @@ def _quality(intent: str | None) -> Column:
 
 @dataclass
 class Evidence:
-    """candidates: fused pools; results: chosen ones and bridges with payloads; coverage: one row a profile."""
+    """candidates: fused pools; results: chosen ones and bridges with payloads; coverage: one row a profile. The last two are made when first asked for."""
 
     profiles: DataFrame
     candidates: DataFrame
-    results: DataFrame
-    coverage: DataFrame
+    _index: object
+    _limit: int
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return _results(self._index, self.candidates, self._limit)
+
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return _coverage(self.results, self.profiles)
 
 
 def retrieve(index, profiles: DataFrame, recall: int = 80, limit: int = 12) -> Evidence:
@@ -133,8 +145,7 @@ def retrieve(index, profiles: DataFrame, recall: int = 80, limit: int = 12) -> E
     asked = retrieval.query_tokens(queries, "query", F.col("words"))
     found = index.rank(asked, top=max(recall * r["candidate_multiplier"], r["minimum_candidate_pool"]))
     hits = store.kept(found.select("query", "entry", F.col("score").alias("lexical")).join(queries.select("query", "profile", "lens", "weight"), "query"), "hits")
-    narrow = index.entries(hits, "entry")
-    pairs = hits.select("profile", "entry").distinct().join(have.select("profile", F.struct(*PROFILE).alias("p")), "profile").join(narrow.select(F.col("id").alias("entry"), F.struct("*").alias("e")), "entry")
+    pairs = hits.select("profile", "entry").distinct().join(have.select("profile", F.struct(*ASKED).alias("p")), "profile").join(_faces(index, hits, have), "entry")
     faced = facet(pairs).select("profile", "entry", "facet", "level", "reasons", F.col("e._identity").alias("identity"))
     both = hits.join(faced, ["profile", "entry"]).withColumn("raw", F.col("lexical") + F.col("facet")).where("raw > 0")
     ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("profile", "lens").orderBy(F.desc(F.round("raw", 9)), "entry"))).where(F.col("rank") <= recall)
@@ -142,9 +153,16 @@ def retrieve(index, profiles: DataFrame, recall: int = 80, limit: int = 12) -> E
     # payloads of a pool only
     size = max(recall, 6 * limit, 40)
     pool = pool.withColumn("place", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("final"), "entry"))).where(F.col("place") <= size)
-    pool = store.kept(pool, "pool")
-    wide = index.entries(pool, "entry")
-    return _chosen(pool, wide, have, limit)
+    return Evidence(have, store.kept(pool, "pool"), index, limit)
+
+
+def _faces(index, hits: DataFrame, have: DataFrame) -> DataFrame:
+    """(entry, e) of the hits' entries with what `facet` reads: of its words those of any profile's metric, its text only where an intent asks for it."""
+    high = F.lit(not have.where("intent = 'high_score'").isEmpty())
+    asked = have.select(F.explode(text.tokens(F.col("metric"))).alias("w")).agg(F.collect_set("w").alias("_asked"))  # one row
+    shown = [F.when(high, F.col(c)).alias(c) for c in ("title", "summary")]
+    rows = index.entries(hits, "entry", [F.col("id").alias("entry"), *FACED, *shown, "_words"]).crossJoin(F.broadcast(asked))
+    return rows.select("entry", F.struct(*FACED, "title", "summary", F.array_intersect("_words", "_asked").alias("_words")).alias("e"))
 
 
 def fused(ranked: DataFrame) -> DataFrame:
@@ -167,7 +185,8 @@ def fused(ranked: DataFrame) -> DataFrame:
     )
 
 
-def _chosen(pool: DataFrame, wide: DataFrame, have: DataFrame, limit: int) -> Evidence:
+def _results(index, pool: DataFrame, limit: int) -> DataFrame:
+    wide = index.entries(pool, "entry")
     unknown = F.coalesce(F.nullif("competition_slug", F.lit("")), F.nullif("title", F.lit("")), F.lit("unknown"))
     cand = pool.join(wide.select(F.col("id").alias("entry"), unknown.alias("slug"), F.col("_diverse").alias("tokens")), "entry")
     picked = retrieval.diversify(cand.select("profile", "entry", F.col("final").alias("score"), "level", "slug", "tokens"), "profile", limit)
@@ -180,13 +199,16 @@ def _chosen(pool: DataFrame, wide: DataFrame, have: DataFrame, limit: int) -> Ev
     rest = rest.join(taken, ["profile", "spot"], "left_anti")
     rest = rest.withColumn("position", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("final"), "entry"))).where(F.col("position") <= vocab.RANKING["mechanism_bridge_limit"])
     named = picked.select("profile", "entry", "position", F.lit("result").alias("kind")).unionByName(rest.select("profile", "entry", "position", F.lit("bridge").alias("kind")))
+    named = store.kept(named, "named")
     risky = governance.risk_flags(F.concat_ws(" ", "title", "summary", F.array_join(F.coalesce("trick_highlights", F.array().cast(STRINGS)), " ")))
     filled = {"provenance_status": "unknown", "trust_level": "untrusted_external", "source_license": "unknown", "source_content_sha256": "", "code_evidence_status": "unknown"}
     cut = {c: F.slice(F.coalesce(c, F.array().cast(STRINGS)), 1, PAYLOAD.get(c, 1 << 30)) for c in LISTS}
     cut |= {"summary": F.substring(F.coalesce("summary", F.lit("")), 1, SUMMARY)} | {c: F.coalesce(F.nullif(c, F.lit("")), F.lit(v)) for c, v in filled.items()}
-    payload = wide.select(F.col("id").alias("entry"), *[cut.get(c, F.col(c)).alias(c) for c in [*TEXTS[1:], *LISTS, *NUMBERS]], risky.alias("flags"))
-    results = named.join(pool.select("profile", "entry", "final", "level", "lenses", "reasons"), ["profile", "entry"]).join(payload, "entry")
+    payload = index.entries(named, "entry").select(F.col("id").alias("entry"), *[cut.get(c, F.col(c)).alias(c) for c in [*TEXTS[1:], *LISTS, *NUMBERS]], risky.alias("flags"))
+    return named.join(pool.select("profile", "entry", "final", "level", "lenses", "reasons"), ["profile", "entry"]).join(payload, "entry")
+
+
+def _coverage(results: DataFrame, have: DataFrame) -> DataFrame:
     seen = results.where("kind = 'result'").withColumn("public_link", governance.public_url(F.col("source_url"))).withColumn("slug", F.coalesce(F.nullif("competition_slug", F.lit("")), "title"))
     wants = have.select("profile", F.arrays_overlap("domains", F.array(*map(F.lit, vocab.PRIMARY_DOMAINS))).alias("_p"), (F.size("validation_risks") > 0).alias("_r"))
-    covered = retrieval.coverage(wants.join(seen, "profile", "left"), ["profile"], F.coalesce("_p", F.lit(False)), F.col("_r"))
-    return Evidence(have, pool, results, covered)
+    return retrieval.coverage(wants.join(seen, "profile", "left"), ["profile"], F.coalesce("_p", F.lit(False)), F.col("_r"))

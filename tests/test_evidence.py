@@ -1,12 +1,13 @@
 """The persistent index, publishing, and retrieval for many profiles, against plain Python."""
 
+import re
 import threading
 import warnings
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlspar.functions import vocab
+from marlspar.functions import infer, text, vocab
 from marlspar.operators import evidence, retrieval
 from marlspar.sources import index, store
 
@@ -178,3 +179,19 @@ def test_rows_of_one_entry_are_one(spark, tmp_path):
     found = index.load_or_build(rows, "id", ONE(), f"file://{tmp_path}/index")
     assert found.entry_count == 2
     assert plain(found.rank(asked, 5)) == plain(retrieval.bm25(retrieval.postings(one, "id", ONE()), asked, 5))
+
+
+def test_phrases_are_not_held_against_all_words(spark):
+    rows = spark.createDataFrame([(["group", "kfold", "patient", "id"],), ([],)], "ws array<string>")
+    both = rows.select(text.names_held(F.col("ws"), vocab.RISKS).alias("r"), infer.entry_domain_scores(F.col("ws"), F.array().cast("array<string>")).alias("d"))
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"array_except\([^()]*(?:\([^()]*\))?[^()]*ws#", plan), plan
+    want = [[n for n, ps in vocab.RISKS.items() if any((t := {*text.tokens_py(p)}) and t <= {*r.ws} for p in ps)] for r in rows.collect()]
+    assert [r.r for r in both.collect()] == want and any(want)
+
+
+def test_candidates_alone_choose_no_results(spark, tmp_path, monkeypatch):
+    found = index.load_or_build(evidence.shaped(catalog(spark)), "id", retrieval.entry_fields(), f"file://{tmp_path}/index")
+    monkeypatch.setattr(retrieval, "diversify", lambda *_: pytest.fail("chosen"))
+    profiles = spark.createDataFrame([("p", "segmentation of dicom by patient", "macro f1")], "profile string, description string, metric string")
+    assert evidence.retrieve(found, profiles, recall=10, limit=3).candidates.count() > 0
