@@ -352,3 +352,21 @@ def test_plans_of_null_lists(spark):
     rows = spark.createDataFrame([(1, None, None, None, None)], "k int, domains array<string>, data array<string>, risks array<string>, metric_family string")
     assert [r.domain for r in planning.family_hypotheses(rows, "k").collect()] == ["unclassified"]
     assert [r.gate for r in planning.validation_contract(rows, "k").orderBy("place").collect()] == ["metric_reproduction", "submission_alignment"]
+
+
+def test_token_sets_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def split(t):
+        made.add(1)
+        return sorted({*t.split()})
+
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(words[k % 5 : 30 + k % 7])) for k in range(60)] + [(100, ""), (101, "")]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("tokens", F.udf(split, "array<string>")("t"))
+    got = {r.id: (r.class_id, r.n_links) for r in setjoin.set_classes(df, "id", "tokens", 0.8).collect()}
+    assert made.value == len(rows)
+    sets = {k: frozenset(t.split()) for k, t in rows}
+    first = {s: min(k for k in sets if sets[k] == s) for s in sets.values()}
+    near = lambda a: sum(len(a & b) >= 0.8 * len(a | b) for b in first if a != b and b)
+    assert got == {k: (first[s], near(s)) if s else (k, 0) for k, s in sets.items()}
